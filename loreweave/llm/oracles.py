@@ -43,4 +43,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from g"""
 
 
-SQL = {"op2_quality_rules": _quality()}
+DECONTAMINATE = r"""
+with words as (select 'd' side, doc_id id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') w from documents
+  union all select distinct 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') from benchmark),
+sh as (select distinct side, id, array_to_string(w[i : i + 4], ' ') s from words, unnest(range(1, len(w) - 3)) u(i)),
+items as (select *, count(*) over (partition by id) n from sh where side = 'b')
+select d.id doc_id, b.id item_id, n n_shingles, count(*) n_found from items b join sh d on d.side = 'd' and d.s = b.s
+group by 1, 2, 3 having count(*) >= 0.8 * n"""
+
+SQL = {"op2_quality_rules": _quality(), "op10_decontaminate": DECONTAMINATE}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, pii, quality, secret_scan, token_count
+from . import bpe_codec, chat, decontaminate, pii, quality, secret_scan, simhash, token_count
 from .common import table
 
 
@@ -73,4 +73,33 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_pii, op4_secret_scan, op5_chat_format, op6_bpe_codec)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), drop=("text",))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id",
+        F.col("leak.item").alias("item_id"),
+        F.col("leak.shingles").cast("long").alias("n_shingles"),
+        F.col("leak.found").cast("long").alias("n_found"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_rules,
+        op3_pii,
+        op4_secret_scan,
+        op5_chat_format,
+        op6_bpe_codec,
+        op8_simhash,
+        op10_decontaminate,
+    )
+}
