@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, decontaminate, pii, quality, secret_scan, simhash, token_count
+from . import bpe_codec, chat, decontaminate, lm_score, pii, quality, secret_scan, simhash, token_count
 from .common import table
 
 
@@ -80,6 +80,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), drop=("text",))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
@@ -100,6 +104,7 @@ QUERIES = {
         op5_chat_format,
         op6_bpe_codec,
         op8_simhash,
+        op9_lm_score,
         op10_decontaminate,
     )
 }
