@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, decontaminate, lm_score, pii, quality, secret_scan, simhash, token_count
+from . import bpe_codec, chat, decontaminate, lm_score, pii, quality, secret_scan, simhash, suffix_dedup, token_count
 from .common import table
 
 
@@ -73,6 +73,17 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return cut.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -103,6 +114,7 @@ QUERIES = {
         op4_secret_scan,
         op5_chat_format,
         op6_bpe_codec,
+        op7_suffix_dedup,
         op8_simhash,
         op9_lm_score,
         op10_decontaminate,
