@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import search_queries
+from . import graph_queries, review_queries, search_queries, vault_queries
 
-QUERIES = {**search_queries.QUERIES}
-SQL = {**search_queries.SQL}
+PARTS = (search_queries, graph_queries, review_queries, vault_queries)
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in PARTS for k, v in p.SQL.items()}
