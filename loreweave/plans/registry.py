@@ -6,4 +6,5 @@ from . import graph_queries, review_queries, search_queries, vault_queries
 
 PARTS = (search_queries, graph_queries, review_queries, vault_queries)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ROWS_ONLY: tuple[str, ...] = ()
 SQL = {k: v for p in PARTS for k, v in p.SQL.items()}
