@@ -29,3 +29,28 @@ def test_negated_filters_keep_nulls(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "en", "a b")], "id int, type string, text string")
     assert rows.where(~vault.of_type("en")).count() == 1
     assert rows.where(~vault.has_phrase("a b")).count() == 1
+
+
+def test_concepts_that_may_be_one(spark):
+    from loreweave.operators import resolve
+
+    titles = [
+        "Reinforcement Learning", "RL", "reinforcement-learning", "Markov Decision Process", "MDPs", "Neural Networks", "neural network", "Bayesian Optimisation",
+        "Bayesian Optimization", "GPT-3", "GPT-4", "Deep Reinforcement Learning", "cat", "car", "Learning, Reinforcement",
+    ]
+    out = resolve.merge_candidates(spark.createDataFrame([(t,) for t in titles], "title string")).collect()
+    found = {frozenset((r.a, r.b)): r.reason for r in out}
+    pair = lambda a, b: found.get(frozenset((a, b)))
+    assert pair("reinforcement-learning", "Reinforcement Learning") == "variant"
+    assert pair("RL", "Reinforcement Learning") == "acronym"
+    assert pair("MDPs", "Markov Decision Process") == "acronym"
+    assert pair("Neural Networks", "neural network") == "variant"
+    assert pair("Bayesian Optimization", "Bayesian Optimisation") == "typo"
+    assert pair("Learning, Reinforcement", "Reinforcement Learning") == "word-order"
+    assert not any({"GPT-3", "GPT-4"} == p or "cat" in p or "Deep Reinforcement Learning" in p for p in found)
+
+
+def test_jaro_winkler_has_no_boost_threshold():
+    from loreweave.operators.resolve import jaro_winkler
+
+    assert round(jaro_winkler("abcdef", "abxyzw"), 4) == 0.6444
