@@ -158,3 +158,13 @@ def quality_rules(
     )
     verdict = f"not base_failed and not coalesce(class_distance > {max_class_distance}D, false) and not coalesce(word_distance > {max_word_distance}D, false)"
     return judged.select("row.*", *named[:-1], F.expr(verdict).alias("kept"))
+
+
+def passing(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows that the rules keep, with the columns they came with.
+
+    The row's number is part of the condition, as a condition on a row that depends on its
+    place is not moved below the expressions it reads, where they would be worked out again.
+    """
+    judged = quality_rules(df, text_col, lang_col, **options).withColumn("lw_place", F.monotonically_increasing_id())
+    return judged.where("kept and lw_place >= 0").select(*[f"`{c}`" for c in df.columns])
