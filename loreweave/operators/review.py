@@ -138,3 +138,10 @@ def preview(states: DataFrame, days: float = 1.0) -> DataFrame:
 def undo_answer(log: DataFrame, undone: DataFrame) -> DataFrame:
     """The log without the answers (card_id, seq) that were taken back."""
     return log.join(undone.select("card_id", "seq"), ["card_id", "seq"], "left_anti")
+
+
+def introduced(log: DataFrame, now: str) -> DataFrame:
+    """One row: the cards whose first answer lies in the review day of ``now``; they use up the day's new cards."""
+    today = F.to_date(F.to_timestamp(F.lit(now)) - F.expr(f"interval {DAY_HOUR} hours"))
+    first = log.groupBy("card_id").agg(F.min("at").alias("at"))
+    return first.agg(F.count_if(review_day("at") == today).alias("introduced"))

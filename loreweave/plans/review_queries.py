@@ -6,6 +6,7 @@ from ..operators import review
 from ..sources.tables import review_log
 
 NOW = "2024-01-20 12:00:00"
+FIRST_DAY = "2024-01-02 12:00:00"
 
 
 def fsrs_schedule(spark, sf_dir):
@@ -45,6 +46,11 @@ def undo_answer(spark, sf_dir):
     return review.undo_answer(log, log.where("rating = 1"))
 
 
+def introduced_today(spark, sf_dir):
+    log = review_log(spark, sf_dir)
+    return review.introduced(log, FIRST_DAY)
+
+
 def _duck(sql: str) -> str:
     """The scalar formulas as DuckDB reads them."""
     import re
@@ -69,7 +75,7 @@ def _fold() -> str:
 
 
 WITH = f"with recursive {LOG}"
-QUERIES = {f.__name__: f for f in (fsrs_schedule, per_card_elapsed, streak, review_stats, forecast7, log_cap, build_queue, fsrs_preview, undo_answer)}
+QUERIES = {f.__name__: f for f in (fsrs_schedule, per_card_elapsed, streak, review_stats, forecast7, log_cap, build_queue, fsrs_preview, undo_answer, introduced_today)}
 SQL = {
     "fsrs_schedule": f"{WITH}, {_fold()} select card_id, reps, lapses, round(s, 6) stability, round(d, 6) difficulty, due_in from st",
     "per_card_elapsed": f"""{WITH} select card_id, seq, round(date_diff('microsecond', lag("at") over (partition by card_id order by "at", seq), "at") / 86400000000.0, 3) elapsed_days from log""",
@@ -85,5 +91,6 @@ SQL = {
       select bucket::int bucket, place::int place, card_id from p where place <= case bucket when 1 then 200 when 2 then 20 else 2147483647 end""",
     "fsrs_preview": f"""{WITH}, {_fold()}, p as (select card_id, g rating, {_duck(review.next_stability('round(s, 6)', 'round(d, 6)', 'g', '1.0::double'))} s from st, (values (1), (2), (3), (4)) v(g))
       select card_id, rating, round(s, 6) stability, {_duck(review.interval('s'))} due_in from p""",
+    "introduced_today": f"""{WITH} select count(*) filter ((a - interval 4 hour)::date = date '2024-01-02') introduced from (select min("at") a from log group by card_id)""",
     "undo_answer": f"""{WITH} select card_id, seq, "at", rating from log where rating <> 1""",
 }
