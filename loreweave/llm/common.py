@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -14,6 +16,8 @@ from pyspark.sql import types as T
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a class of a Java regular expression.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes of text that a worker handles and sends back at a time; a longer text is a piece of its own.
+PIECE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batch: pa.RecordBatch, text_col: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut so that the texts of a piece but for its last begin within ``size`` bytes."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = (np.cumsum(lengths) - lengths) // size
+    cuts = [0, *(np.flatnonzero(starts[1:] != starts[:-1]) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:]):
+        yield batch.slice(at, end - at)
+
+
 def map_texts(
     df: DataFrame,
     fn: Callable[[list[str]], list[pa.Array]],
@@ -60,8 +73,9 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is not None else "" for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *fn(texts)], names=[*names, *new])
+            for piece in pieces(batch, text_col):
+                texts = [t if t is not None else "" for t in piece.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *fn(texts)], names=[*names, *new])
 
     columns = list(dict.fromkeys([*names, text_col]))
     return df.select(*[f"`{c}`" for c in columns]).mapInArrow(run, out)

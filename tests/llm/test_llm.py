@@ -283,3 +283,18 @@ def test_pipeline_equals_plain_steps(spark):
         expected.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
     got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_pieces_of_a_batch_keep_every_row_in_order():
+    import pyarrow as pa
+
+    from loreweave.llm.common import pieces
+
+    texts = ["ab", None, "", "x" * 50, "c", "dé", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["id", "text"])
+    for size in (1, 3, 10, 1000):
+        cut = list(pieces(batch, "text", size))
+        assert [x for p in cut for x in p.column("id").to_pylist()] == list(range(7))
+        assert [x for p in cut for x in p.column("text").to_pylist()] == texts
+    assert len(list(pieces(batch, "text", 1000))) == 1
+    assert sum(p.num_rows for p in pieces(batch.slice(0, 0), "text")) == 0
