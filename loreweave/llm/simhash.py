@@ -207,18 +207,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     labelled = named.join(least, "root").select("simhash", "component")
     return prints.join(labelled, "simhash").select("id", "simhash", "component")
-
-
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that keep one document of each component: the one with the smallest id.
-
-    Of rows that share that id one stays; rows whose id is null stay all, as nothing tells them apart.
-    """
-    names = df.columns
-    key = F.col(f"`{id_col}`")
-    first = near_duplicates(df, id_col, text_col).where("id = component").groupBy(F.col("id").alias("lw_keep")).agg(F.count("*").alias("lw_n"))
-    kept = df.join(first, key == F.col("lw_keep"))
-    once = kept.where("lw_n = 1")
-    more = kept.where("lw_n > 1").dropDuplicates([id_col])  # no rows as a rule, and then no work
-    every = [f"`{c}`" for c in names]
-    return once.select(*every).unionByName(more.select(*every)).unionByName(df.where(key.isNull()).select(*every))
