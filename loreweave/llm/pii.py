@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -34,8 +34,9 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 STRANGE = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
 BRACKETED = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(at|dot|@|\.)[\x20\t]*[\])}>][\x20\t]*", re.I)
 SPELLED = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")(?:[\x20,-]{1,2}(?:plus|dot|point|dash|" + "|".join(DIGIT_WORDS) + r"|[0-9]+)\b){2,}", re.I)
-SPOKEN = re.compile(r"(?<![^\s<(\[:;,\"'])([A-Za-z0-9_%+-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9_%+-]+)*)\x20at\x20([A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+)", re.I)
-SPOKEN_IP = re.compile(r"[0-9]{1,3}(?:\x20(?:dot|point)\x20[0-9]{1,3}){3}", re.I)
+SPOKEN = re.compile(r"(?<![^\s<(\[:;,\"'])([A-Za-z0-9_%+-]++(?:(?:\x20dot\x20|\.)[A-Za-z0-9_%+-]++)*+)(\x20at\x20|@)([A-Za-z0-9-]++(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]++)++)", re.I)
+SPOKEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\x20(?:dot|point)\x20|\.)[0-9]{1,3}){3}", re.I)
+SAID_DOT, SAID_POINT = re.compile(r"\x20dot\x20", re.I), re.compile(r"\x20(?:dot|point)\x20", re.I)
 WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 #: What a text must hold for any transducer to change it.
 HINT = re.compile(r"[^\x00-\x7f]|[\[({<][\x20\t]*(?:at|dot|@|\.)[\x20\t]*[\])}>]|\x20(?:dot|point)\x20|\b(?:" + "|".join(DIGIT_WORDS) + r")[\x20,-]{1,2}(?:" + "|".join(DIGIT_WORDS) + r"|[0-9])", re.I)
@@ -88,70 +89,111 @@ def detect(text: str) -> list[Span]:
     return out
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """Pieces of ``text`` to be read as something else, in order and apart from each other."""
-    found = [(m.start(), m.end(), LOOKALIKES[m[0]]) for m in STRANGE.finditer(text)] if not text.isascii() else []
-    found += [(*m.span(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in BRACKETED.finditer(text)]
+Change = tuple[int, int, str]
+
+
+def spelled(text: str) -> list[Change]:
+    found = []
     for m in SPELLED.finditer(text):
+        if text[max(0, m.start() - 5) : m.start()].lower() == "plus ":
+            found.append((m.start() - 5, m.start(), "+"))
         last = m.start()
         for w in WORD.finditer(text, *m.span()):
             said = DIGIT_WORDS.get(w[0].lower()) or {"plus": "+", "dot": ".", "point": ".", "dash": "-"}.get(w[0].lower(), w[0])
             found.append((last, w.end(), said))
             last = w.end()
-        if (before := text[max(0, m.start() - 5) : m.start()].lower()) == "plus ":
-            found.append((m.start() - 5, m.start(), "+"))
+    return found
+
+
+def spoken(text: str, dots: set[int]) -> list[Change]:
+    """Spoken signs of addresses; a plain `` at `` needs a dot that was spoken or, at ``dots``, bracketed, as prose has it too."""
+    found = []
     for m in SPOKEN.finditer(text):
-        found.append((m.end(1), m.start(2), "@"))
-        for part in (1, 2):
-            found += [(d.start(), d.end(), ".") for d in re.compile(r"\x20dot\x20", re.I).finditer(text, *m.span(part))]
-    for m in SPOKEN_IP.finditer(text):
-        found += [(d.start(), d.end(), ".") for d in re.compile(r"\x20(?:dot|point)\x20", re.I).finditer(text, *m.span())]
-    out, end = [], 0
-    for start, stop, said in sorted(found, key=lambda x: (x[0], -x[1])):
-        if start >= end:
-            out.append((start, stop, said))
-            end = stop
-    return out
+        said = [d.span() for part in (1, 3) for d in SAID_DOT.finditer(text, *m.span(part))]
+        if m[2] == "@":
+            found += [(*d, ".") for d in said]
+        elif any(d[0] > m.end(2) for d in said) or any(p in dots for p in range(*m.span(3))):
+            found += [(*m.span(2), "@"), *[(*d, ".") for d in said]]
+    return found
+
+
+class Reading:
+    """A text as it is read after changes; each changed piece keeps the source span that it stands for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.marks: list[tuple[int, int, int, int]] = []  # begin and end here, start and stop in the source
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def back(self, p: int, last: bool) -> int:
+        """The source offset of one of this reading."""
+        k = bisect_right(self.ends, p - last)
+        if k < len(self.marks) and self.begins[k] <= p - last:
+            return self.marks[k][3] if last else self.marks[k][2]
+        return self.marks[k - 1][3] + p - self.ends[k - 1] if k else p
+
+    def change(self, found: list[Change]) -> list[int]:
+        """Apply changes of this reading, the first and longest of those that overlap; where each of them now begins."""
+        if not found:
+            return []
+        parts, marks, at, size, k, new = [], [], 0, 0, 0, []
+        for start, stop, said in sorted(found, key=lambda x: (x[0], -x[1])):
+            if start < at:
+                continue
+            while k < len(self.marks) and self.ends[k] <= start:
+                marks.append((self.begins[k] + size - at, self.ends[k] + size - at, *self.marks[k][2:]))
+                k += 1
+            while k < len(self.marks) and self.begins[k] < stop:
+                k += 1  # the new change stands for what the old one did
+            parts += [self.text[at:start], said]
+            size += start - at
+            new.append(size)
+            marks.append((size, size + len(said), self.back(start, False), self.back(stop, True)))
+            size += len(said)
+            at = stop
+        marks += [(b + size - at, e + size - at, s, t) for b, e, s, t in self.marks[k:]]
+        parts.append(self.text[at:])
+        self.text, self.marks = "".join(parts), marks
+        self.begins, self.ends = [m[0] for m in marks], [m[1] for m in marks]
+        return new
+
+
+def read(text: str) -> Reading:
+    """``text`` through all transducers, each on the output of the one before."""
+    r = Reading(text)
+    if not text.isascii():
+        r.change([(m.start(), m.end(), LOOKALIKES[m[0]]) for m in STRANGE.finditer(text)])
+    at = r.change([(*m.span(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in BRACKETED.finditer(r.text)])
+    r.change(spoken(r.text, {p for p in at if r.text[p] == "."}))
+    r.change(spelled(r.text))
+    r.change([(*d.span(), ".") for m in SPOKEN_IP.finditer(r.text) for d in SAID_POINT.finditer(r.text, *m.span())])
+    return r
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans found only after normalising, mapped back to the text; those that touch a base span are dropped.
+    """Spans found only after normalising, mapped back to the text; those that equal or lie inside a base span are dropped.
 
-    Each normalised character keeps the source span that it stands for, so a match
-    maps back from the start of its first to the end of its last.
+    A match maps back from the start of its first character to the end of its last.
+    One that is larger than the base span it meets stays: the base pattern has then
+    seen a plain piece of it only.
     """
-    if not HINT.search(text) or not (changes := edits(text)):
+    if not HINT.search(text):
         return []
-    parts, marks, at, size = [], [], 0, 0  # marks: where in the normalised text each change lies
-    for start, stop, said in changes:
-        parts += [text[at:start], said]
-        size += start - at
-        marks.append((size, size + len(said), start, stop))
-        size += len(said)
-        at = stop
-    parts.append(text[at:])
-    spans = detect("".join(parts))
+    r = read(text)
+    spans = detect(r.text) if r.marks else []
     if not spans:
         return []
-    begins, ends = [m[0] for m in marks], [m[1] for m in marks]
-
-    def back(p: int, last: bool) -> int:
-        """The source offset of the normalised one."""
-        k = bisect_right(ends, p - last)
-        if k < len(marks) and begins[k] <= p - last:
-            return marks[k][3] if last else marks[k][2]
-        return marks[k - 1][3] + p - ends[k - 1] if k else p
-
     taken = sorted((s, e) for _, s, e in base)
     reach = list(accumulate((e for _, e in taken), max))
     out = []
     for kind, s, e in spans:
-        k = bisect_right(ends, s)
-        if k >= len(marks) or begins[k] >= e:
+        k = bisect_right(r.ends, s)
+        if k >= len(r.marks) or r.begins[k] >= e:
             continue  # nothing in it was disguised
-        source = (back(s, False), back(e, True))
-        k = bisect_left(taken, (source[1],))
-        if k and reach[k - 1] > source[0]:
+        source = (r.back(s, False), r.back(e, True))
+        k = bisect_right(taken, source[0], key=lambda x: x[0])
+        if k and reach[k - 1] >= source[1]:
             continue
         out.append((kind, *source))
     return out
