@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -12,213 +11,399 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, map_texts, stored
+from .common import map_texts, pieces, stored
 
 FOLDS, HELD_OUT = 10, 0
 #: Common tokens whose counts are sent to the workers (bounded); the others meet their counts in a join.
 COMMON = 1 << 17
-#: Slots of a predictor's table, as a power of two; contexts of one, two and four bytes.
-SLOTS, ORDERS = 18, 3
-RATE, CLIP, BLOCK, STEP = 0.4, 8.0, 1 << 17, 8192
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of context that the two predictors with counts from the corpus look at.
+ORDERS = (2, 4)
+#: Their slots, as powers of two: so many bits fewer than the number of training bytes has, within these bounds.
+FEWER_BITS, LEAST_BITS, MOST_BITS = 8, 18, 24
+#: A table is made in parts that the leading bits of a context's hash pick.
+PART_BITS = 8
+#: Steps of a stretched probability in a table: a byte holds log odds of up to 8.
+STEPS, CLIP = 16, 7.9
+#: Bytes of a text that are coded one after the other, and blocks that go side by side.
+BLOCK, LANES = 2048, 4096
+#: Slots of the predictor that a block fills itself, as a power of two, and its rate.
+OWN_BITS, OWN_RATE = 10, 0.3
+#: First weights of the predictors (corpus, corpus, own) and the rate at which errors move them.
+WEIGHTS, RATE = (0.5, 0.5, 0.3), 0.02
+#: Cells of the refinement, over half steps of the mix's log odds, and its rate.
+CELLS, REFINE_RATE = 33, 0.02
+#: Different (context, byte) pairs that a task holds before it sends them on.
+HELD = 1 << 21
 #: The end of a text among the tokens; no word holds a blank.
-END = " "
-HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
+END = b" "
 
 
-def tokens(text: str) -> list[str]:
-    text = text.lower() if text.isascii() else text.translate(LOWER)
-    return [*WORD.findall(text), END]
+def tokens(raw: bytes) -> list[bytes]:
+    """Words, lowered, and the end; of bytes, ``lower`` changes A-Z alone and ``split`` knows the six blanks alone."""
+    return [*raw.lower().split(), END]
+
+
+def scattered(v: np.ndarray) -> np.ndarray:
+    """A 32-bit mixing of unsigned numbers."""
+    v = v * np.uint32(0x9E3779B1)
+    v ^= v >> np.uint32(15)
+    v *= np.uint32(0x85EBCA6B)
+    v ^= v >> np.uint32(13)
+    return v
+
+
+def tree_paths(weights: list[int]) -> list[list[tuple[int, int]]]:
+    """For each byte its (node, bit) steps down a Huffman tree for the weights."""
+    heap = [(w, b, (b,)) for b, w in enumerate(weights)]
+    heapq.heapify(heap)
+    paths: list[list[tuple[int, int]]] = [[] for _ in weights]
+    node = 0
+    while len(heap) > 1:
+        (w, _, xs), (v, _, ys) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, part in ((0, xs), (1, ys)):
+            for c in part:
+                paths[c].append((node, bit))
+        heapq.heappush(heap, (w + v, 256 + node, xs + ys))
+        node += 1
+    return [p[::-1] for p in paths]
 
 
 class Codes:
-    """A binary code for bytes by their weights (Huffman), as flat arrays of tree nodes and branches."""
-
-    def __init__(self, weights: np.ndarray):
-        heap = [(int(w), b, (b,)) for b, w in enumerate(weights)]
-        heapq.heapify(heap)
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        node = 0
-        while len(heap) > 1:
-            (w, a, xs), (v, b, ys) = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, part in ((0, xs), (1, ys)):
-                for c in part:
-                    paths[c].append((node, bit))
-            heapq.heappush(heap, (w + v, 256 + node, xs + ys))
-            node += 1
-        flat = [step for p in paths for step in reversed(p)]
-        self.length = np.array([len(p) for p in paths])
-        self.start = np.cumsum(self.length) - self.length
-        self.node = np.array([n for n, _ in flat], np.uint32) * HASHES[3]
-        self.bit = np.array([b for _, b in flat], np.uint8)
-
-
-def pieces(raw: bytes):
-    """A text in blocks, each with the four bytes before it."""
-    for at in range(0, len(raw), BLOCK):
-        yield (b"\0\0\0\0" + raw)[at : at + 4] if at < 4 else raw[at - 4 : at], raw[at : at + BLOCK]
-
-
-def slots(parts: list[tuple[bytes, bytes]], codes: Codes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For every bit of the parts: its slot in each predictor's table, the bit, and each part's number of bits."""
-    joined = np.frombuffer(b"".join(h + p for h, p in parts), np.uint8)
-    own = np.ones(len(joined), bool)
-    firsts = np.cumsum([0] + [len(p) + 4 for _, p in parts[:-1]])
-    for k in range(4):
-        own[firsts + k] = False
-    at = np.flatnonzero(own)
-    symbols = joined[at]
-    wide = joined.astype(np.uint32)
-    c1 = wide[at - 1]
-    c2 = c1 | wide[at - 2] << np.uint32(8)
-    c4 = c2 | wide[at - 3] << np.uint32(16) | wide[at - 4] << np.uint32(24)
-    length = codes.length[symbols]
-    ends = np.cumsum(length)
-    step = np.repeat(codes.start[symbols] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-    node = codes.node[step]
-    out = []
-    for c, m in zip((c1, c2, c4), HASHES):
-        h = c * m
-        h ^= h >> np.uint32(15)
-        slot = np.repeat(h * HASHES[1], length) + node
-        slot *= HASHES[0]
-        out.append(slot >> np.uint32(32 - SLOTS))
-    bounds = np.cumsum([0] + [len(p) for _, p in parts])
-    return out, codes.bit[step], np.diff(np.concatenate([[0], ends])[bounds])
-
-
-def blocks(raws: list[bytes]):
-    """Parts of texts, a block's worth at a time, with the index of each part's text."""
-    held, owner, size = [], [], 0
-    for i, raw in enumerate(raws):
-        for part in pieces(raw):
-            held.append(part)
-            owner.append(i)
-            size += len(part[1])
-            if size >= BLOCK:
-                yield held, owner
-                held, owner, size = [], [], 0
-    if held:
-        yield held, owner
+    """Binary codes for a byte after each byte (Huffman by pair counts): the decisions that predictors are asked for.
+
+    ``start`` and ``length`` of a pair (before << 8 | byte) point into ``node``: hashes
+    of tree nodes whose lowest bit is the branch taken and whose leading
+    ``PART_BITS`` are free for the context's.
+    """
+
+    def __init__(self, pairs: np.ndarray):
+        single = pairs.sum(0)
+        start, length, nodes, bits, roots = [], [], [], [], []
+        for before in range(256):
+            # a byte not seen here is coded by its share of all bytes; none is impossible
+            paths = tree_paths((pairs[before] * 256 + single * 255 // max(1, single.sum()) + 1).tolist())
+            for p in paths:
+                start.append(len(nodes))
+                length.append(len(p))
+                nodes += [before << 8 | n for n, _ in p]
+                bits += [b for _, b in p]
+            roots.append(nodes[start[-1]])
+        self.start, self.length = np.array(start, np.int32), np.array(length, np.int32)
+        free = np.uint32((1 << (32 - PART_BITS)) - 2)
+        self.node = scattered(np.array(nodes, np.uint32)) & free | np.array(bits, np.uint32)
+        self.root = scattered(np.array(roots, np.uint32)) & free
+
+
+def context_key(wide: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """The ``order`` bytes before each place, the nearest one lowest."""
+    c = wide[at - 1]
+    for j in range(2, order + 1):
+        c = c | wide[at - j] << np.uint32(8 * (j - 1))
+    return c
+
+
+def context_hash(key: np.ndarray, order: int) -> np.ndarray:
+    return scattered(key + np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF))
+
+
+def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log odds in ``STEPS`` as bytes; 0 is kept for what was not seen."""
+    cells = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * STEPS), -127, 127).astype(np.int8)
+    cells[(cells == 0) & (zeros + ones > 0)] = 1
+    return cells
 
 
 class Mixer:
-    """Predictors' stretched probabilities, mixed by weights that follow the text."""
+    """Bit predictors mixed by gated weights and refined, all of which move after every byte.
+
+    A text is coded in blocks of ``BLOCK`` bytes.  Each starts with the corpus's
+    tables, the first weights and an even refinement, and sees the bytes before
+    it.  For each bit of a byte's code: two predictors by hashed contexts from the
+    corpus and one that the block fills itself give log odds; weights picked by which
+    of the corpus's contexts are known mix them; cells by the mix's log odds refine it, and the
+    mean of both is the bit's chance.  Then errors move all three.  Blocks are worked
+    on side by side, a byte of each at a time; no block sees another.
+    """
 
-    def __init__(self, codes: Codes, stretched: list[np.ndarray]):
-        self.codes, self.stretched = codes, stretched
+    def __init__(self, codes: Codes, tables: list[np.ndarray]):
+        self.codes, self.tables = codes, [t.view(np.uint8) for t in tables]
+        self.shift = np.uint32(33 - len(tables[0]).bit_length())
 
     def bits(self, raws: list[bytes]) -> list[float]:
-        """The bits that each text costs.
-
-        A gate picks the weights by which of the longer contexts were seen in
-        training; after every ``STEP`` bits, and first after a quarter of that, each
-        gate's weights move against the error they made.
-        """
+        """The bits that each text costs."""
+        blocks = [(b"\0\0\0\0" + raw[max(0, at - 4) : at])[-4:] + raw[at : at + BLOCK] for raw in raws for at in range(0, len(raw), BLOCK)]
+        owner = [i for i, raw in enumerate(raws) for _ in range(0, len(raw), BLOCK)]
+        order = sorted(range(len(blocks)), key=lambda j: -len(blocks[j]))
         cost = [0.0] * len(raws)
-        weights, last = None, -1
-        for parts, owner in blocks(raws):
-            where, bit, sizes = slots(parts, self.codes)
-            st = [t.take(w) for t, w in zip(self.stretched, where)]
-            gates = (st[1] != 0) + 2 * (st[2] != 0)
-            sign = bit.astype(np.float32) * 2 - 1
-            end = 0
-            for i, n in zip(owner, sizes.tolist()):
-                if i != last:
-                    weights, last, step = np.full((ORDERS, 4), 0.4, np.float32), i, STEP // 4
-                at, end = end, end + n
-                while at < end:
-                    to = min(end, at + step)
-                    s, g, y = [t[at:to] for t in st], gates[at:to], sign[at:to]
-                    x = weights[0].take(g) * s[0]
-                    for k in range(1, ORDERS):
-                        x += weights[k].take(g) * s[k]
-                    np.clip(x, -CLIP, CLIP, out=x)
-                    x *= y
-                    e = np.exp(-x)
-                    cost[i] += float(np.log1p(e).sum(dtype=np.float64)) / math.log(2)
-                    err = y * e / (1 + e)
-                    n_gate = np.maximum(np.bincount(g, minlength=4), 1)
-                    for k in range(ORDERS):
-                        weights[k] += RATE * np.bincount(g, weights=err * s[k], minlength=4) / n_gate
-                    at, step = to, STEP
+        for at in range(0, len(order), LANES):
+            lanes = order[at : at + LANES]
+            for j, c in zip(lanes, self.side_by_side([blocks[j] for j in lanes]).tolist()):
+                cost[owner[j]] += c
         return cost
 
+    def side_by_side(self, blocks: list[bytes]) -> np.ndarray:
+        """The bits of each block; blocks come with four bytes of history, the longest first."""
+        buf = np.frombuffer(b"".join(blocks), np.uint8)
+        wide = buf.astype(np.uint32)
+        sizes = np.array([len(b) for b in blocks])
+        first = np.cumsum(sizes) - sizes + 4
+        sizes -= 4
+        n_lanes, n_gates = len(blocks), 1 << len(ORDERS)
+        lane = np.arange(n_lanes)
+        state = (
+            [np.full(n_lanes * n_gates, w, np.float32) for w in WEIGHTS],
+            np.zeros(n_lanes << OWN_BITS, np.float32),
+            np.tile((1 / (1 + np.exp((CELLS // 2 - np.arange(CELLS)) / 2))).astype(np.float32), n_lanes),
+        )
+        active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
+        cost, t = np.zeros(n_lanes), 0
+        while t < len(active):
+            # what depends on the corpus alone is looked up for some steps at once
+            to = min(len(active), t + max(1, (1 << 12) // active[t]))
+            n_at = active[t:to]
+            own = np.concatenate([lane[:n] for n in n_at])
+            at = first[own] + np.repeat(np.arange(t, to), n_at)
+            self.steps(wide, at, own, np.cumsum([0, *n_at]).tolist(), state, cost)
+            t = to
+        return cost
+
+    def steps(self, wide: np.ndarray, at: np.ndarray, own: np.ndarray, steps: list[int], state: tuple, cost: np.ndarray) -> None:
+        weights, filled, cells = state
+        codes = self.codes
+        before = wide[at - 1]
+        pair = before << np.uint32(8) | wide[at]
+        length = codes.length.take(pair)
+        ends = np.cumsum(length)
+        starts = ends - length
+        rep = np.repeat(np.arange(len(at)), length)
+        node = codes.node.take((codes.start.take(pair) - starts).take(rep) + np.arange(ends[-1]))
+        bit = node & np.uint32(1)
+        sign = bit.astype(np.float32) * 2 - 1
+        zero = np.float32(1) - bit
+        lane = own.take(rep)
+        gate, inputs = own * (1 << len(ORDERS)), []
+        for k, (order, table) in enumerate(zip(ORDERS, self.tables)):
+            c = context_hash(context_key(wide, at, order), order)
+            gate += (table.take((c ^ codes.root.take(before)) >> self.shift) != 0).astype(np.int64) << k
+            h = c.take(rep) ^ node
+            inputs.append(table.take(h >> self.shift).view(np.int8) * np.float32(1 / STEPS))
+            if k == 0:
+                place = (h >> np.uint32(1) & np.uint32((1 << OWN_BITS) - 1)).astype(np.int64) + (lane << OWN_BITS)
+        row = lane * CELLS + CELLS // 2
+        chance = np.empty(len(rep), np.float32)
+        limit, rate, own_rate, refine = np.float32(CLIP), np.float32(RATE), np.float32(OWN_RATE), np.float32(REFINE_RATE)
+        for b, e in zip(steps[:-1], steps[1:]):
+            f, to = starts[b], ends[e - 1]
+            s, g, place_s = lane[f:to], gate[b:e], place[f:to]
+            own_s = filled.take(place_s)
+            ins = [x[f:to] for x in inputs] + [own_s]
+            ws = [w.take(g) for w in weights]
+            mix = ws[0].take(s)
+            mix *= ins[0]
+            for w, x in zip(ws[1:], ins[1:]):
+                part = w.take(s)
+                part *= x
+                mix += part
+            np.maximum(mix, -limit, out=mix)
+            np.minimum(mix, limit, out=mix)
+            cell = np.rint(mix + mix).astype(np.int64)
+            cell += row[f:to]
+            y, z = sign[f:to], zero[f:to]
+            mix *= y
+            np.negative(mix, out=mix)
+            err = np.exp(mix)
+            right = err + 1
+            np.reciprocal(right, out=right)  # the chance of the bit that comes
+            refined = cells.take(cell)
+            toward = refined - z
+            np.abs(toward, out=toward)  # and by the refinement
+            np.add(right, toward, out=chance[f:to])
+            toward -= 1
+            toward *= y
+            toward *= refine
+            refined -= toward
+            cells[cell] = refined
+            err *= right
+            err *= y
+            filled[place_s] = own_s + err * own_rate
+            err *= rate
+            at_byte = starts[b:e] - f
+            for w, old, x in zip(weights, ws, ins):
+                w[g] = old + np.add.reduceat(x * err, at_byte)
+        per_byte = np.add.reduceat(np.log2(chance), starts)
+        cost += np.bincount(own, length - per_byte.astype(np.float64), minlength=len(cost))
+
+
+def pair_counts(training: DataFrame) -> DataFrame:
+    """(part, key, n) from all rows: how often a byte follows a context; a task sums its own rows first, so keys repeat.
+
+    A key is the context's bytes and the byte, with the predictor's number above;
+    nothing is hashed or left out, so these rows grow with the corpus.
+    """
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[at], np.add.reduceat(n[order], at)
+
+    def rows(held):
+        keys, n = merged(held)
+        order = keys >> np.uint64(40)
+        for k, o in enumerate(ORDERS):
+            own = order == k
+            c = (keys[own] >> np.uint64(8)).astype(np.uint32)
+            part = (context_hash(c, o) >> np.uint32(32 - PART_BITS)).astype(np.int32) + np.int32(k << PART_BITS)
+            for i in range(0, len(part), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(keys[own][cut].view(np.int64)), pa.array(n[own][cut])], names=["part", "key", "n"])
 
-def table_counts(docs: DataFrame, codes: Codes) -> DataFrame:
-    """(slot, zeros, ones): how often each bit came at each slot, over all rows; a task sums its own rows first."""
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                raws = [t.encode("utf-8") for t in piece.column("text").to_pylist() if t]
+                if not raws:
+                    continue
+                joined = np.frombuffer(b"".join(b"\0\0\0\0" + r for r in raws), np.uint8)
+                sizes = np.array([len(r) + 4 for r in raws])
+                own = np.ones(len(joined), bool)
+                for k in range(4):
+                    own[np.cumsum(sizes) - sizes + k] = False
+                at, wide = np.flatnonzero(own), joined.astype(np.uint32)
+                for k, order in enumerate(ORDERS):
+                    c = context_key(wide, at, order)
+                    keys = c << np.uint32(8) | wide[at] if order < 4 else c.astype(np.uint64) << np.uint64(8) | wide[at]
+                    keys.sort()
+                    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    held.append((keys[cuts].astype(np.uint64) | np.uint64(k << 40), np.diff(np.append(cuts, len(keys)))))
+                    size += len(cuts)
+                if size > HELD:
+                    yield from rows(held)
+                    held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    return training.select("text").mapInArrow(run, "part int, key long, n long")
+
+
+def slot_tables(pairs: DataFrame, codes: Codes, bits: int) -> list[np.ndarray]:
+    """Each predictor's table of log odds; executors count and shrink it to a byte a slot, the driver gets ``1 << bits`` bytes for each."""
+    low = bits - PART_BITS
 
     def run(batches):
-        total = np.zeros((ORDERS, 2 << SLOTS), np.int64)
+        zeros: dict[int, np.ndarray] = {}
+        ones: dict[int, np.ndarray] = {}
         for batch in batches:
-            raws = [t.encode("utf-8") for t in batch.column(0).to_pylist() if t]
-            for parts, _ in blocks(raws):
-                where, bit, _ = slots(parts, codes)
-                for k, w in enumerate(where):
-                    total[k] += np.bincount(w.astype(np.int64) * 2 + bit, minlength=2 << SLOTS)
-        both = total.reshape(-1, 2)
-        used = np.flatnonzero(both.any(1))
-        for at in range(0, len(used), 1 << 16):
-            s = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(both[s, 0]), pa.array(both[s, 1])], names=["slot", "zeros", "ones"])
-
-    return docs.select("text").mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-
-
-def fit(training: DataFrame, common: list[tuple[str, int]]) -> Mixer:
-    """A mixer from all training texts; its tables have ``3 << SLOTS`` slots whatever the corpus."""
-    weights = np.ones(256, np.int64)
-    for word, n in common:
-        for b, k in Counter(word.encode("utf-8")).items():
-            weights[b] += n * k
-    weights[32] += sum(n for _, n in common)
-    codes = Codes(weights)
-    counts = table_counts(training, codes).toPandas()
-    stretched = np.zeros(ORDERS << SLOTS, np.float32)
-    ones, zeros = counts["ones"].to_numpy(float), counts["zeros"].to_numpy(float)
-    stretched[counts["slot"].to_numpy()] = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -CLIP, CLIP)
-    return Mixer(codes, list(stretched.reshape(ORDERS, -1)))
+            if not batch.num_rows:
+                continue
+            part, keys, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            hashes = np.empty(len(keys), np.uint32)
+            for k, order in enumerate(ORDERS):
+                of = part >> PART_BITS == k
+                hashes[of] = context_hash((keys[of] >> 8).astype(np.uint32), order)
+            pair = keys & 0xFFFF
+            length = codes.length[pair]
+            rep = np.repeat(np.arange(len(keys)), length)
+            node = codes.node[np.repeat(codes.start[pair] - (np.cumsum(length) - length), length) + np.arange(len(rep))]
+            slot = ((hashes[rep] ^ node) >> np.uint32(32 - bits)).astype(np.int64) & ((1 << low) - 1)
+            found, which = np.unique(part, return_inverse=True)
+            cell = which[rep] << low | slot
+            one = (node & np.uint32(1)).astype(bool)
+            for into, side in ((zeros, ~one), (ones, one)):
+                sums = np.bincount(cell[side], n[rep[side]], minlength=len(found) << low).reshape(len(found), -1)
+                for p, row in zip(found.tolist(), sums):
+                    into[p] = into[p] + row if p in into else row.copy()
+        for p in zeros:
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([stretched(zeros[p], ones[p]).tobytes()], pa.binary())], names=["part", "cells"])
+
+    tables = np.zeros((len(ORDERS), 1 << PART_BITS, 1 << low), np.int8)
+    for r in pairs.repartition(64, "part").mapInArrow(run, "part int, cells binary").collect():
+        tables[r.part >> PART_BITS, r.part & ((1 << PART_BITS) - 1)] = np.frombuffer(r.cells, np.int8)
+    return list(tables.reshape(len(ORDERS), -1))
+
+
+def fit(training: DataFrame) -> Mixer:
+    """A mixer from all training texts; its tables grow with them up to ``1 << MOST_BITS`` slots."""
+    pairs = stored(pair_counts(training))
+    by_pair = pairs.where(f"part < {1 << PART_BITS}").groupBy(F.expr("cast(key & 65535 as int)").alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
+    counts = np.zeros(1 << 16, np.int64)
+    counts[by_pair["pair"].to_numpy(int)] = by_pair["n"].to_numpy(np.int64)
+    codes = Codes(counts.reshape(256, 256))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(counts.sum()).bit_length() - FEWER_BITS))
+    return Mixer(codes, slot_tables(pairs, codes, bits))
+
+
+def token_counts(training: DataFrame) -> DataFrame:
+    """(token, c): the words of all rows, lowered; a task counts its own rows first."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts.update((t or "").encode("utf-8").lower().split())
+                if len(counts) > HELD:
+                    yield made(counts)
+                    counts = Counter()
+        yield made(counts)
+
+    def made(counts):
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["token", "c"])
+
+    return training.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def commonest(counts: DataFrame, size: int) -> tuple[list[tuple[str, int]], bool]:
+    """Up to ``size`` tokens that come most often, and whether those are all.
+
+    Classes of like counts (sixteen to a doubling, so a few hundred) are counted
+    first; the tokens of the highest classes that fit together are taken.
+    """
+    classed = counts.withColumn("class", F.floor(F.log2("c") * 16).cast("int"))
+    sizes = sorted(((r["class"], r["n"]) for r in classed.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, n = None, 0
+    for c, k in sizes:
+        if n + k > size:
+            return ([(r.token, r.c) for r in classed.where(F.col("class") >= least).collect()] if least is not None else []), False
+        least, n = c, n + k
+    return [(r.token, r.c) for r in counts.collect()], True
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_size: int = COMMON) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     Rows whose crc32 of the id as text is 0 modulo 10 are held out; all others
     train both models.  Tokens are words, A-Z lowered, and one end for each text; a
     null text is empty and has the end alone.  A null id counts as the empty
     string.  ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))), and ``score``
-    is the mixer's log10 probability of the text's bytes (0 for no bytes).  Repeated
-    rows come back as often; an empty table gives an empty one.
+    is the mixer's log10 probability of the text's bytes (0 for no bytes, whose
+    ``bits_per_byte`` is null).  Repeated rows come back as often; an empty table
+    gives an empty one.  Other columns of ``df``, whatever their names, are not used.
 
-    Counts of the ``common_size`` commonest tokens go to the workers, where a row is
+    Counts of up to ``common_size`` common tokens go to the workers, where a row is
     scored; its other tokens, one row for each, meet their counts in a join.
     """
     own = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     own = own.withColumn("held_out", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT)
     training = own.where("not held_out")
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = training.select(F.explode(F.split(lowered, BLANK_CLASS + "+")).alias("token")).where("token <> ''")
-    counts = stored(words.groupBy("token").agg(F.count("*").alias("c")))
+    counts = stored(token_counts(training))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train = training.count()
     n_all, v = totals[0] + n_train, totals[1] + (n_train > 0)
-    top = [(r.token, r.c) for r in counts.orderBy(F.desc("c"), "token").limit(common_size).collect()]
-    mixer = fit(training, top)
+    top, whole = commonest(counts, common_size)
+    mixer = fit(training)
     bottom = math.log10(n_all + 0.1 * (v + 1))
-    known = {t: math.log10(c + 0.1) - bottom for t, c in top}
+    known = {t.encode("utf-8"): math.log10(c + 0.1) - bottom for t, c in top}
     if n_train:
         known[END] = math.log10(n_train + 0.1) - bottom
-    if len(top) < common_size:  # then the list is the whole vocabulary
-        unknown = math.log10(0.1) - bottom
-    else:
-        unknown = None
+    unknown = math.log10(0.1) - bottom if whole else None
 
     def run(texts: list[str]) -> list[pa.Array]:
         raws = [t.encode("utf-8") for t in texts]
         n, n_known, base, rare_words, rare_counts, sizes = [], [], [], [], [], [0]
-        for t in texts:
-            words = tokens(t)
+        for raw in raws:
+            words = tokens(raw)
             rest: Counter = Counter()
             score, hits = 0.0, 0
             for w, k in Counter(words).items():
@@ -236,19 +421,21 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rare_counts += rest.values()
             sizes.append(len(rare_words))
         where = pa.array(sizes, pa.int32())
+        bits = mixer.bits(raws)
         return [
             pa.array(n, pa.int64()),
             pa.array(n_known, pa.int64()),
             pa.array(base, pa.float64()),
-            pa.array([-b * math.log10(2) for b in mixer.bits(raws)], pa.float64()),
-            pa.ListArray.from_arrays(where, pa.array(rare_words, pa.string())),
+            pa.array([-b * math.log10(2) for b in bits], pa.float64()),
+            pa.array([b / len(r) if r else None for b, r in zip(bits, raws)], pa.float64()),
+            pa.ListArray.from_arrays(where, pa.array(rare_words, pa.binary()).cast(pa.string())),
             pa.ListArray.from_arrays(where, pa.array(rare_counts, pa.int64())),
         ]
 
-    fields = "n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<bigint>"
+    fields = "n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rare array<string>, times array<bigint>"
     keyed = own.withColumn("mark", F.xxhash64("text"))  # with the id it tells rows apart, but for repeated ones
     scored = stored(map_texts(keyed, run, fields, drop=("text",)))
-    shown = ["id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"]
+    shown = ["id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte"]
     if unknown is not None:
         return scored.select(*shown)
     loose = scored.select("id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("id", "mark", "r.rare", "r.times")

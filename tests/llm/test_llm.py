@@ -234,28 +234,93 @@ def test_components_of_a_chain(spark):
 @pytest.mark.parametrize("common", [10, 1 << 17])
 def test_base_scores_equal_brute_force(spark, common):
     rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' limit 60").fetchall() + [(10**6 + i, t) for i, t in ODD[:7]]
-    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in lm_score.tokens(t or ""))
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in lm_score.tokens((t or "").encode()))
     n, v = sum(counts.values()), len(counts)
     out = lm_score.score_documents(spark.createDataFrame(rows, SCHEMA), common_size=common).collect()
     assert len(out) == len(rows)
     for x in out:
         t = next(t for i, t in rows if i == x.id)
-        words = lm_score.tokens(t or "")
+        words = lm_score.tokens((t or "").encode())
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(words), sum(w in counts for w in words), n)
         assert abs(x.base_score - sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) < 1e-8
         assert x.score <= 0 and (x.score < 0) == bool(t)
 
 
+def a_mixer(bits=lm_score.LEAST_BITS):
+    r = np.random.default_rng(0)
+    codes = lm_score.Codes(r.integers(0, 50, (256, 256)))
+    return lm_score.Mixer(codes, [r.normal(0, 20, 1 << bits).clip(-127, 127).astype(np.int8) for _ in lm_score.ORDERS])
+
+
 def test_mixer_is_a_probability():
     """The codes are complete, so the chances of all bytes after any history add up to one."""
-    codes = lm_score.Codes(np.arange(1, 257))
-    assert abs(sum(2.0 ** -n for n in codes.length.tolist()) - 1) < 1e-9
-    r = np.random.default_rng(0)
-    mixer = lm_score.Mixer(codes, [r.normal(0, 1, 1 << lm_score.SLOTS).astype(np.float32) for _ in range(lm_score.ORDERS)])
+    mixer = a_mixer()
+    for before in range(256):
+        n = mixer.codes.length[before << 8 : (before + 1) << 8].tolist()
+        assert abs(sum(2.0**-k for k in n) - 1) < 1e-9
     before = mixer.bits([b"abc"])[0]
     assert abs(sum(2 ** (before - c) for c in mixer.bits([b"abc" + bytes([b]) for b in range(256)])) - 1) < 1e-3
 
 
+def plain_bits(mixer, raw):
+    """A text's bits one at a time, by the rules of ``Mixer`` in plain numbers."""
+    codes, total = mixer.codes, 0.0
+    mixed = lambda v: int(lm_score.scattered(np.array([v], np.uint32))[0])
+    for at in range(0, len(raw), lm_score.BLOCK):
+        weights = [list(lm_score.WEIGHTS) for _ in range(4)]
+        own = [0.0] * (1 << lm_score.OWN_BITS)
+        cells = [1 / (1 + math.exp((lm_score.CELLS // 2 - i) / 2)) for i in range(lm_score.CELLS)]
+        for i in range(at, min(len(raw), at + lm_score.BLOCK)):
+            history = (b"\0" * 4 + raw[:i])[-4:]
+            pair = history[3] << 8 | raw[i]
+            hashes = [mixed((int.from_bytes(history[-o:], "big") + (o * 0x3C6EF372)) & 0xFFFFFFFF) for o in lm_score.ORDERS]
+            odds = lambda h: [int(t[(x ^ h) >> int(mixer.shift)].view(np.int8)) for t, x in zip(mixer.tables, hashes)]
+            w = weights[sum((o != 0) << k for k, o in enumerate(odds(int(codes.root[history[3]]))))]
+            moves = []
+            for node in codes.node[codes.start[pair] : codes.start[pair] + codes.length[pair]].tolist():
+                bit = node & 1
+                slot = (hashes[0] ^ node) >> 1 & ((1 << lm_score.OWN_BITS) - 1)
+                x = [o / lm_score.STEPS for o in odds(node)] + [own[slot]]
+                mix = min(lm_score.CLIP, max(-lm_score.CLIP, sum(a * b for a, b in zip(w, x))))
+                p, cell = 1 / (1 + math.exp(-mix)), round(2 * mix) + lm_score.CELLS // 2
+                q = (p + cells[cell]) / 2
+                total -= math.log2(q if bit else 1 - q)
+                moves.append((slot, own[slot], cell, cells[cell], bit, bit - p, x))
+            for slot, was, cell, old, bit, err, x in moves:
+                own[slot] = was + lm_score.OWN_RATE * err
+                cells[cell] = old + lm_score.REFINE_RATE * (bit - old)
+            for k in range(3):
+                w[k] += lm_score.RATE * sum(err * x[k] for *_, err, x in moves)
+    return total
+
+
+def test_mixer_equals_a_plain_one():
+    mixer = a_mixer()
+    texts = [t.encode() for _, t in ODD if t] + [t.encode()[:5000] for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' limit 6").fetchall()]
+    for got, raw in zip(mixer.bits(texts), texts):
+        assert abs(got - plain_bits(mixer, raw)) < 2e-3 * got + 0.01
+
+
+def test_tables_hold_the_counts_of_all_training_texts(spark):
+    docs = [(t,) for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' limit 20").fetchall()] + [(None,), ("",)]
+    mixer = lm_score.fit(spark.createDataFrame(docs, "text string"))
+    cells = {}
+    for (t,) in docs:
+        raw = b"\0" * 4 + (t or "").encode()
+        for i in range(4, len(raw)):
+            for k, o in enumerate(lm_score.ORDERS):
+                h = int(lm_score.scattered(np.array([(int.from_bytes(raw[i - o : i], "big") + o * 0x3C6EF372) & 0xFFFFFFFF], np.uint32))[0])
+                pair = raw[i - 1] << 8 | raw[i]
+                for node in mixer.codes.node[mixer.codes.start[pair] : mixer.codes.start[pair] + mixer.codes.length[pair]].tolist():
+                    cells.setdefault((k, (h ^ node) >> int(mixer.shift)), [0, 0])[node & 1] += 1
+    for k, table in enumerate(mixer.tables):
+        expected = np.zeros(len(table), np.int8)
+        for (order, slot), (zeros, ones) in cells.items():
+            if order == k:
+                expected[slot] = lm_score.stretched(np.array([zeros]), np.array([ones]))[0]
+        assert (table.view(np.int8) == expected).all()
+
+
 def test_contained_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 40)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
