@@ -94,12 +94,13 @@ class Codes:
         self.root = scattered(np.array(roots, np.uint32)) & free
 
 
-def context_key(wide: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """The ``order`` bytes before each place, the nearest one lowest."""
-    c = wide[at - 1]
-    for j in range(2, order + 1):
-        c = c | wide[at - j] << np.uint32(8 * (j - 1))
-    return c
+def contexts(buf: np.ndarray) -> np.ndarray:
+    """The four bytes before each place as a number, the nearest one lowest; the first four places have no whole one."""
+    out = np.zeros(len(buf), np.uint32)
+    wide = buf.astype(np.uint32)
+    for j in range(1, 5):
+        out[4:] |= wide[4 - j : len(buf) - j] << np.uint32(8 * (j - 1))
+    return out
 
 
 def context_hash(key: np.ndarray, order: int) -> np.ndarray:
@@ -128,6 +129,8 @@ class Mixer:
     def __init__(self, codes: Codes, tables: list[np.ndarray]):
         self.codes, self.tables = codes, [t.view(np.uint8) for t in tables]
         self.shift = np.uint32(33 - len(tables[0]).bit_length())
+        self.signs = np.array([-1, 1], np.float32)
+        self.odds = np.arange(256, dtype=np.uint8).view(np.int8) * np.float32(1 / STEPS)
 
     def bits(self, raws: list[bytes]) -> list[float]:
         """The bits that each text costs."""
@@ -143,60 +146,65 @@ class Mixer:
 
     def side_by_side(self, blocks: list[bytes]) -> np.ndarray:
         """The bits of each block; blocks come with four bytes of history, the longest first."""
-        buf = np.frombuffer(b"".join(blocks), np.uint8)
-        wide = buf.astype(np.uint32)
-        sizes = np.array([len(b) for b in blocks])
-        first = np.cumsum(sizes) - sizes + 4
-        sizes -= 4
-        n_lanes, n_gates = len(blocks), 1 << len(ORDERS)
+        width = len(blocks[0])
+        padded = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in blocks), np.uint8).reshape(-1, width)
+        rows = np.ascontiguousarray(padded.T)  # a row holds a byte of every block
+        sizes = np.array([len(b) for b in blocks]) - 4
+        n_lanes = len(blocks)
         lane = np.arange(n_lanes)
         state = (
-            [np.full(n_lanes * n_gates, w, np.float32) for w in WEIGHTS],
+            [np.full(n_lanes << len(ORDERS), w, np.float32) for w in WEIGHTS],
             np.zeros(n_lanes << OWN_BITS, np.float32),
-            np.tile((1 / (1 + np.exp((CELLS // 2 - np.arange(CELLS)) / 2))).astype(np.float32), n_lanes),
+            np.tile((1 / (1 + np.exp((CELLS // 2 - np.arange(CELLS)) / 2)) - 0.5).astype(np.float32), n_lanes),
         )
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left").tolist()
         cost, t = np.zeros(n_lanes), 0
         while t < len(active):
             # what depends on the corpus alone is looked up for some steps at once
-            to = min(len(active), t + max(1, (1 << 12) // active[t]))
-            n_at = active[t:to]
-            own = np.concatenate([lane[:n] for n in n_at])
-            at = first[own] + np.repeat(np.arange(t, to), n_at)
-            self.steps(wide, at, own, np.cumsum([0, *n_at]).tolist(), state, cost)
+            to = min(len(active), t + max(1, (1 << 13) // active[t]))
+            n_at = np.array(active[t:to])
+            there = lane[: active[t]] < n_at[:, None]
+            wide = rows[t : to + 4, : active[t]].astype(np.uint32)
+            history = wide[3:-1] | wide[2:-2] << np.uint32(8) | wide[1:-3] << np.uint32(16) | wide[:-4] << np.uint32(24)
+            own = np.broadcast_to(lane[: active[t]], there.shape)[there]
+            self.steps(wide[4:][there], history[there], own, [0, *np.cumsum(n_at).tolist()], state, cost)
             t = to
         return cost
 
-    def steps(self, wide: np.ndarray, at: np.ndarray, own: np.ndarray, steps: list[int], state: tuple, cost: np.ndarray) -> None:
+    def steps(self, byte: np.ndarray, history: np.ndarray, own: np.ndarray, steps: list[int], state: tuple, cost: np.ndarray) -> None:
         weights, filled, cells = state
         codes = self.codes
-        before = wide[at - 1]
-        pair = before << np.uint32(8) | wide[at]
+        before = history & np.uint32(255)
+        pair = (before << np.uint32(8) | byte).astype(np.intp)
         length = codes.length.take(pair)
         ends = np.cumsum(length)
         starts = ends - length
-        rep = np.repeat(np.arange(len(at)), length)
+        rep = np.repeat(np.arange(len(byte)), length)
         node = codes.node.take((codes.start.take(pair) - starts).take(rep) + np.arange(ends[-1]))
-        bit = node & np.uint32(1)
-        sign = bit.astype(np.float32) * 2 - 1
-        zero = np.float32(1) - bit
+        sign = self.signs.take(node & np.uint32(1))
+        push = sign * np.float32(REFINE_RATE / 2)
         lane = own.take(rep)
-        gate, inputs = own * (1 << len(ORDERS)), []
+        gate, inputs = own << len(ORDERS), []
         for k, (order, table) in enumerate(zip(ORDERS, self.tables)):
-            c = context_hash(context_key(wide, at, order), order)
-            gate += (table.take((c ^ codes.root.take(before)) >> self.shift) != 0).astype(np.int64) << k
-            h = c.take(rep) ^ node
-            inputs.append(table.take(h >> self.shift).view(np.int8) * np.float32(1 / STEPS))
+            c = context_hash(history & np.uint32((1 << 8 * order) - 1), order)
+            gate += (table.take((c ^ codes.root.take(before)) >> self.shift) != 0).astype(np.intp) << k
+            h = c.take(rep)
+            h ^= node
+            inputs.append(self.odds.take(table.take(h >> self.shift)))
             if k == 0:
-                place = (h >> np.uint32(1) & np.uint32((1 << OWN_BITS) - 1)).astype(np.int64) + (lane << OWN_BITS)
-        row = lane * CELLS + CELLS // 2
+                h >>= np.uint32(1)
+                h &= np.uint32((1 << OWN_BITS) - 1)
+                place = lane << OWN_BITS
+                place += h
+        row = lane * CELLS
+        row += CELLS // 2
         chance = np.empty(len(rep), np.float32)
-        limit, rate, own_rate, refine = np.float32(CLIP), np.float32(RATE), np.float32(OWN_RATE), np.float32(REFINE_RATE)
+        limit, rate, own_rate, fade = np.float32(CLIP), np.float32(RATE), np.float32(OWN_RATE), np.float32(1 - REFINE_RATE)
         for b, e in zip(steps[:-1], steps[1:]):
             f, to = starts[b], ends[e - 1]
-            s, g, place_s = lane[f:to], gate[b:e], place[f:to]
+            s, g, place_s, y = lane[f:to], gate[b:e], place[f:to], sign[f:to]
             own_s = filled.take(place_s)
-            ins = [x[f:to] for x in inputs] + [own_s]
+            ins = [*(x[f:to] for x in inputs), own_s]
             ws = [w.take(g) for w in weights]
             mix = ws[0].take(s)
             mix *= ins[0]
@@ -206,39 +214,42 @@ class Mixer:
                 mix += part
             np.maximum(mix, -limit, out=mix)
             np.minimum(mix, limit, out=mix)
-            cell = np.rint(mix + mix).astype(np.int64)
+            np.add(mix, mix, out=part)
+            np.rint(part, out=part)
+            cell = part.astype(np.intp)
             cell += row[f:to]
-            y, z = sign[f:to], zero[f:to]
             mix *= y
-            np.negative(mix, out=mix)
             err = np.exp(mix)
-            right = err + 1
-            np.reciprocal(right, out=right)  # the chance of the bit that comes
+            err += 1
+            np.reciprocal(err, out=err)  # how far the mix is from the bit that comes
             refined = cells.take(cell)
-            toward = refined - z
-            np.abs(toward, out=toward)  # and by the refinement
-            np.add(right, toward, out=chance[f:to])
-            toward -= 1
-            toward *= y
-            toward *= refine
-            refined -= toward
+            np.multiply(refined, y, out=part)
+            part -= err
+            chance[f:to] = part  # twice the bit's chance, less one and a half
+            refined *= fade
+            refined += push[f:to]
             cells[cell] = refined
-            err *= right
             err *= y
-            filled[place_s] = own_s + err * own_rate
+            np.multiply(err, own_rate, out=part)
+            part += own_s
+            filled[place_s] = part
             err *= rate
             at_byte = starts[b:e] - f
             for w, old, x in zip(weights, ws, ins):
-                w[g] = old + np.add.reduceat(x * err, at_byte)
-        per_byte = np.add.reduceat(np.log2(chance), starts)
-        cost += np.bincount(own, length - per_byte.astype(np.float64), minlength=len(cost))
+                np.multiply(x, err, out=part)
+                old += np.add.reduceat(part, at_byte)
+                w[g] = old
+        chance += np.float32(1.5)
+        np.log(chance, out=chance)
+        per_byte = np.add.reduceat(chance, starts) * (1 / math.log(2))
+        cost += np.bincount(own, length - per_byte, minlength=len(cost))
 
 
 def pair_counts(training: DataFrame) -> DataFrame:
     """(part, key, n) from all rows: how often a byte follows a context; a task sums its own rows first, so keys repeat.
 
-    A key is the context's bytes and the byte, with the predictor's number above;
-    nothing is hashed or left out, so these rows grow with the corpus.
+    A key is the context's bytes and the byte; ``part`` tells the predictor and the
+    part of its table.  Nothing is hashed or left out, so these rows grow with the corpus.
     """
 
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,15 +260,15 @@ def pair_counts(training: DataFrame) -> DataFrame:
         return keys[at], np.add.reduceat(n[order], at)
 
     def rows(held):
-        keys, n = merged(held)
-        order = keys >> np.uint64(40)
+        longest, n_longest = merged(held)
         for k, o in enumerate(ORDERS):
-            own = order == k
-            c = (keys[own] >> np.uint64(8)).astype(np.uint32)
+            # a shorter context's counts are sums over the longer ones that end in it
+            keys, n = (longest, n_longest) if o == 4 else merged([(longest & np.uint64((1 << 8 * (o + 1)) - 1), n_longest)])
+            c = (keys >> np.uint64(8)).astype(np.uint32)
             part = (context_hash(c, o) >> np.uint32(32 - PART_BITS)).astype(np.int32) + np.int32(k << PART_BITS)
             for i in range(0, len(part), 1 << 16):
                 cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(keys[own][cut].view(np.int64)), pa.array(n[own][cut])], names=["part", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(keys[cut].view(np.int64)), pa.array(n[cut])], names=["part", "key", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -271,14 +282,14 @@ def pair_counts(training: DataFrame) -> DataFrame:
                 own = np.ones(len(joined), bool)
                 for k in range(4):
                     own[np.cumsum(sizes) - sizes + k] = False
-                at, wide = np.flatnonzero(own), joined.astype(np.uint32)
-                for k, order in enumerate(ORDERS):
-                    c = context_key(wide, at, order)
-                    keys = c << np.uint32(8) | wide[at] if order < 4 else c.astype(np.uint64) << np.uint64(8) | wide[at]
-                    keys.sort()
-                    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    held.append((keys[cuts].astype(np.uint64) | np.uint64(k << 40), np.diff(np.append(cuts, len(keys)))))
-                    size += len(cuts)
+                keys = contexts(joined).astype(np.uint64)
+                keys <<= np.uint64(8)
+                keys |= joined
+                keys = keys[own]
+                keys.sort()
+                cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                held.append((keys[cuts], np.diff(np.append(cuts, len(keys)))))
+                size += len(cuts)
                 if size > HELD:
                     yield from rows(held)
                     held, size = [], 0
@@ -405,15 +416,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for raw in raws:
             words = tokens(raw)
             rest: Counter = Counter()
-            score, hits = 0.0, 0
-            for w, k in Counter(words).items():
-                if (s := known.get(w)) is not None:
-                    score += k * s
-                    hits += k
-                elif w == END or unknown is not None:
-                    score += k * (math.log10(0.1) - bottom)
-                else:
-                    rest[w] = k
+            score = 0.0
+            found = list(map(known.get, words))
+            if hits := len(words) - found.count(None):
+                score = math.fsum(s for s in found if s is not None) if hits < len(words) else math.fsum(found)
+            if hits < len(words):
+                rest = Counter(w for w, s in zip(words, found) if s is None)
+                sure = rest.total() if unknown is not None else rest[END]
+                score += sure * (math.log10(0.1) - bottom)
+                if unknown is not None:
+                    rest.clear()
+                del rest[END]
             n.append(len(words))
             n_known.append(hits)
             base.append(score)
