@@ -85,23 +85,3 @@ def previous_text(blocks: DataFrame) -> DataFrame:
     before = Window.partitionBy("page_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     filled = F.when(F.trim("text") != "", F.substring("text", 1, 300))
     return blocks.withColumn("context", F.last(filled, ignorenulls=True).over(before))
-
-
-def unlinked_mentions(blocks: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
-    """(target, page_id, ord): blocks in which a page's title stands as words.
-
-    Titles of up to ``longest`` words meet the runs of as many words in an equi-join,
-    so no block is held against every title.
-    """
-    words = F.expr(r"regexp_extract_all(lower(text), r'[\p{L}\p{N}\p{M}]+', 0)")
-    runs = blocks.select("page_id", "ord", words.alias("w")).select(
-        "page_id",
-        "ord",
-        F.explode(
-            F.expr(
-                f"array_distinct(flatten(transform(sequence(1, {longest}), n -> if(size(w) < n, cast(array() as array<string>), "
-                "transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))))"
-            )
-        ).alias("norm"),
-    )
-    return runs.join(names.withColumnRenamed("page_id", "target"), "norm").where("target <> page_id").select("target", "page_id", "ord").distinct()

@@ -120,14 +120,6 @@ def log_cap(log: DataFrame, cap: int = 5000) -> DataFrame:
     return log.orderBy(F.desc("at"), F.desc("seq")).limit(cap)
 
 
-def build_queue(states: DataFrame, new_cap: int = 20, review_cap: int = 200) -> DataFrame:
-    """(bucket, place, card_id): what to study: short steps first, then reviews, then new cards, each up to its cap."""
-    bucket = F.when(F.col("lapses") > 2, 0).when(F.col("reps") > 1, 1).otherwise(2)
-    placed = states.withColumn("bucket", bucket).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("due_in", "card_id")))
-    cap = F.when(F.col("bucket") == 1, review_cap).when(F.col("bucket") == 2, new_cap).otherwise(2**31 - 1)
-    return placed.where(F.col("place") <= cap).select("bucket", "place", "card_id")
-
-
 def preview(states: DataFrame, days: float = 1.0) -> DataFrame:
     """(card_id, rating, stability, due_in): the four outcomes of an answer now, without a change of state."""
     each = states.select("card_id", "stability", "difficulty", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("rating"))

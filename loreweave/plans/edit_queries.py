@@ -141,7 +141,7 @@ def lens_ref(spark, sf_dir):
     return references(spark, sf_dir).join(asked, "norm", "left_semi").select("page_id", "ord").distinct()
 
 
-def lens_page(spark, sf_dir):
+def lens_page_ids(spark, sf_dir):
     held = blocks(spark, sf_dir)
     return held.join(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select("page_id", "ord")
 
@@ -154,7 +154,7 @@ def lens_text_phrase(spark, sf_dir):
     return blocks(spark, sf_dir).where(vault.has_phrase("of the")).select("page_id", "ord")
 
 
-def lens_text_word(spark, sf_dir):
+def lens_prefix(spark, sf_dir):
     return blocks(spark, sf_dir).where(vault.has_word("ther")).select("page_id", "ord")
 
 
@@ -171,7 +171,7 @@ QUERIES = {
     for f in (
         get_page, page_blocks, find_page_by_title, resolve_page, ensure_daily, ensure_concept, update_page, trash_page, touch_page, delete_block, insert_blocks,
         move_block, convert_block, seminar_notebook, dismissed_pairs, incremental_index, answer, read_log, session_review_day, missing_fields, bib_equal,
-        body_font_size, stroke_outline, label_min_weight, lens_ref, lens_page, lens_or, lens_text_phrase, lens_text_word, tag_name_filter,
+        body_font_size, stroke_outline, label_min_weight, lens_ref, lens_page_ids, lens_or, lens_text_phrase, lens_prefix, tag_name_filter,
     )
 }
 SQL = {
@@ -216,10 +216,10 @@ SQL = {
     "label_min_weight": f"""with {REFS}, {NAMES}, {EDGES}, n as (select (sum(weight) + 1)::bigint weight from (select src node, weight from edges union all select dst, weight from edges) group by node)
       select greatest(min(weight), 2)::bigint weight from (select weight from n order by weight desc limit 31)""",
     "lens_ref": f"with {REFS}, {NAMES} select distinct page_id, ord from refs where norm in (select norm from names where page_id % 5 = 0)",
-    "lens_page": f"with {BLOCKS} select page_id, ord from blocks where page_id in (select doc_id from labels where quality = 1)",
+    "lens_page_ids": f"with {BLOCKS} select page_id, ord from blocks where page_id in (select doc_id from labels where quality = 1)",
     "lens_or": f"with {BLOCKS} select page_id, ord from blocks where coalesce(type = 'de', false) or list_contains({WORDS}, 'the')",
     "lens_text_phrase": rf"with {BLOCKS} select page_id, ord from blocks where contains(regexp_replace(lower(text), '\s+', ' ', 'g'), 'of the')",
-    "lens_text_word": f"with {BLOCKS} select page_id, ord from blocks where len(list_filter({WORDS}, lambda w: starts_with(w, 'ther'))) > 0",
+    "lens_prefix": f"with {BLOCKS} select page_id, ord from blocks where len(list_filter({WORDS}, lambda w: starts_with(w, 'ther'))) > 0",
     "tag_name_filter": """select distinct name from (select unnest([p_partkey::varchar, hex(p_partkey * 4099 + 11259375), p_name]) as name from part)
       where not regexp_full_match(name, '[0-9]+') and not (regexp_full_match(lower(name), '[0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8}') and regexp_matches(name, '[0-9]'))""",
 }

@@ -27,7 +27,7 @@ def resolve_name(spark, sf_dir):
     return graph.resolve_name(references(spark, sf_dir), names_of(spark, sf_dir)).select("page_id", "ord", "norm", "target")
 
 
-def backlinks(spark, sf_dir):
+def web_backlinks(spark, sf_dir):
     return graph.backlinks(references(spark, sf_dir), names_of(spark, sf_dir))
 
 
@@ -39,11 +39,11 @@ def blocks_referencing(spark, sf_dir):
     return graph.blocks_referencing(references(spark, sf_dir), ASKED)
 
 
-def concepts(spark, sf_dir):
+def web_concepts(spark, sf_dir):
     return graph.concepts(references(spark, sf_dir), names_of(spark, sf_dir))
 
 
-def outgoing(spark, sf_dir):
+def web_outgoing(spark, sf_dir):
     return graph.outgoing(references(spark, sf_dir))
 
 
@@ -69,11 +69,6 @@ def flashcard_context(spark, sf_dir):
     return graph.previous_text(blocks(spark, sf_dir)).select("page_id", "ord", "context")
 
 
-def unlinked_mentions(spark, sf_dir):
-    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("title"))
-    return graph.unlinked_mentions(blocks(spark, sf_dir), graph.name_map(parts))
-
-
 REFS = r"""refs as (select page_id, (i - 1)::int ord, spelling, lower(trim(regexp_replace(spelling, '\s+', ' ', 'g'))) norm
   from (select page_id, regexp_extract_all(html, 'href="/([^"]*)"', 1) l from pages), lateral (select unnest(l) spelling, generate_subscripts(l, 1) i))"""
 NAMES = r"""names as (select lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) norm, min(page_id) page_id
@@ -86,8 +81,8 @@ BLOCKS = """blocks as (select page_id, (i - 1)::int ord, text from (select doc_i
 QUERIES = {
     f.__name__: f
     for f in (
-        name_map, display_name, resolve_name, backlinks, pages_linking_to, blocks_referencing, concepts, outgoing, graph_edges, graph_nodes,
-        k_hop, sort_blocks, flashcard_context, unlinked_mentions,
+        name_map, display_name, resolve_name, web_backlinks, pages_linking_to, blocks_referencing, web_concepts, web_outgoing, graph_edges, graph_nodes,
+        k_hop, sort_blocks, flashcard_context,
     )
 }
 SQL = {
@@ -95,13 +90,13 @@ SQL = {
       from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) title from pages) where trim(title) <> '' group by 1""",
     "display_name": f"with {REFS} select norm, arg_min(spelling, (page_id, ord)) spelling from refs group by 1",
     "resolve_name": f"with {REFS}, {NAMES} select r.page_id, ord, norm, n.page_id target from refs r left join names n using (norm)",
-    "backlinks": f"with {REFS}, {NAMES} select distinct n.page_id target, r.page_id, ord from refs r join names n using (norm) where n.page_id <> r.page_id",
+    "web_backlinks": f"with {REFS}, {NAMES} select distinct n.page_id target, r.page_id, ord from refs r join names n using (norm) where n.page_id <> r.page_id",
     "pages_linking_to": f"with {REFS} select distinct norm, page_id from refs",
     "blocks_referencing": f"with {REFS} select distinct page_id, ord from refs where norm in ('the', 'is', 'de')",
-    "concepts": f"""with {REFS}, {NAMES}, c as (select norm, count(distinct (page_id, ord)) blocks from refs group by 1)
+    "web_concepts": f"""with {REFS}, {NAMES}, c as (select norm, count(distinct (page_id, ord)) blocks from refs group by 1)
       select coalesce(c.norm, n.norm) norm, coalesce(blocks, 0)::bigint blocks, page_id from c full join names n on c.norm = n.norm
       where coalesce(c.norm, n.norm) not in ('flashcard', 'flashcards')""",
-    "outgoing": f"with {REFS} select page_id, norm, count(distinct ord) blocks from refs group by 1, 2",
+    "web_outgoing": f"with {REFS} select page_id, norm, count(distinct ord) blocks from refs group by 1, 2",
     "graph_edges": f"with {REFS}, {NAMES}, {EDGES} select * from edges",
     "graph_nodes": f"with {REFS}, {NAMES}, {EDGES} select node, (sum(weight) + 1)::bigint weight from (select src node, weight from edges union all select dst, weight from edges) group by 1",
     "k_hop": f"""with recursive {REFS}, {NAMES}, {EDGES}, b as (select src a, dst b from edges union select dst, src from edges),
@@ -110,8 +105,4 @@ SQL = {
     "sort_blocks": "select conv_id page_id, turn ord, role, conv_id % 17 updated_at from conversations",
     "flashcard_context": f"""with {BLOCKS} select page_id, ord, last_value(case when trim(text) <> '' then substr(text, 1, 300) end ignore nulls)
       over (partition by page_id order by ord rows between unbounded preceding and 1 preceding) context from blocks""",
-    "unlinked_mentions": rf"""with {BLOCKS}, t as (select item_id page_id, lower(regexp_extract(text, '^(\S+ \S+)', 1)) title from benchmark),
-      n as (select title norm, min(page_id) page_id from t where title <> '' group by 1),
-      w as (select page_id, ord, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+'), ' ') || ' ' s from blocks)
-      select distinct n.page_id target, w.page_id, ord from w join n on contains(s, ' ' || norm || ' ') where n.page_id <> w.page_id""",
 }

@@ -37,11 +37,11 @@ def records(spark, sf_dir):
 
 
 def cite_keys(spark, sf_dir):
-    return resolve.cite_keys(records(spark, sf_dir).where("id < 600"))
+    return resolve.cite_keys(records(spark, sf_dir))
 
 
 def bib_match(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey < 400")
+    part = table(spark, sf_dir, "part")
     entry = part.select(F.col("p_partkey").alias("id"), F.expr("if(p_partkey % 3 = 0, concat('https://doi.org/10.1234/P', p_partkey), null)").alias("doi"), F.col("p_name").alias("title"), F.col("p_size").alias("year"))
     source = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1000).alias("id"), F.expr("if(p_partkey % 4 = 0, concat('DOI: 10.1234/p', p_partkey), null)").alias("doi"), F.upper("p_name").alias("title"), F.col("p_size").alias("year"))
     return resolve.bib_match(entry, source)
@@ -74,9 +74,9 @@ NGRAMS = f"""w as (select doc_id, list_transform({TERMS.format("coalesce(text, '
   c as (select doc_id, array_to_string(g, ' ') phrase, len(g) size, count(*) n from g where len(g) > 0 and list_count(g) = len(g) group by all)"""
 KEY = r"regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
 DOI = r"lower(regexp_replace(trim({0}), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', ''))"
-PART = """p as (select * from part where p_partkey < 400),
+PART = """p as (select * from part),
   e as (select p_partkey id, case when p_partkey % 3 = 0 then '10.1234/p' || p_partkey end doi, p_name t, p_size y from p),
-  s as (select p_partkey + 1000 id, case when p_partkey % 4 = 0 then '10.1234/p' || p_partkey end doi, p_name t, p_size y from p where p_partkey % 2 = 0)"""
+  s as (select p_partkey + 10000000 id, case when p_partkey % 4 = 0 then '10.1234/p' || p_partkey end doi, p_name t, p_size y from p where p_partkey % 2 = 0)"""
 SING = """case when length(w) <= 3 then w when regexp_matches(w, 'ies$') and length(w) > 4 then left(w, length(w) - 3) || 'y' when regexp_matches(w, '(sses|(x|ch|sh|zz)es)$') then left(w, length(w) - 2)
   when regexp_matches(w, '(ss|us|is|ics)$') then w when regexp_matches(w, 's$') then left(w, length(w) - 1) else w end"""
 QUERIES = {f.__name__: f for f in (ngram_counts, keyphrases, summarize, merge_candidates, cite_keys, bib_match, normalize_doi, title_year_key, find_identifiers, concept_tokens)}
@@ -98,7 +98,7 @@ SQL = {
       k as (select *, row_number() over (partition by doc_id order by sc desc, i) k from r)
       select doc_id, string_agg(s, ' ' order by i) summary from k where k <= 3 group by 1""",
     "cite_keys": rf"""with b as (select p_partkey id, {KEY.format('p_type')} || lpad(p_size::varchar, 4, '0') ||
-        coalesce(list_filter(string_split_regex(strip_accents(lower('The ' || p_name)), '[^a-z0-9]+'), lambda w: w <> '' and w not in ({KEYSTOP}))[1], '') base from part where p_partkey < 600),
+        coalesce(list_filter(string_split_regex(strip_accents(lower('The ' || p_name)), '[^a-z0-9]+'), lambda w: w <> '' and w not in ({KEYSTOP}))[1], '') base from part),
       n as (select *, row_number() over (partition by base order by id)::int n from b)
       select id, base || case when n = 1 then '' when n <= 27 then chr(95 + n) else chr(97 + ((n - 28) // 26)) || chr(97 + ((n - 28) % 26)) end cite_key from n""",
     "bib_match": f"""with {PART}, k as (select id, doi, t, y from e),

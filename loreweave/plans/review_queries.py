@@ -33,10 +33,6 @@ def log_cap(spark, sf_dir):
     return review.log_cap(review_log(spark, sf_dir).selectExpr("card_id", "at", "rating", "seq"))
 
 
-def build_queue(spark, sf_dir):
-    return review.build_queue(fsrs_schedule(spark, sf_dir))
-
-
 def fsrs_preview(spark, sf_dir):
     return review.preview(fsrs_schedule(spark, sf_dir))
 
@@ -75,7 +71,7 @@ def _fold() -> str:
 
 
 WITH = f"with recursive {LOG}"
-QUERIES = {f.__name__: f for f in (fsrs_schedule, per_card_elapsed, streak, review_stats, forecast7, log_cap, build_queue, fsrs_preview, undo_answer, introduced_today)}
+QUERIES = {f.__name__: f for f in (fsrs_schedule, per_card_elapsed, streak, review_stats, forecast7, log_cap, fsrs_preview, undo_answer, introduced_today)}
 SQL = {
     "fsrs_schedule": f"{WITH}, {_fold()} select card_id, reps, lapses, round(s, 6) stability, round(d, 6) difficulty, due_in from st",
     "per_card_elapsed": f"""{WITH} select card_id, seq, round(date_diff('microsecond', lag("at") over (partition by card_id order by "at", seq), "at") / 86400000000.0, 3) elapsed_days from log""",
@@ -86,9 +82,6 @@ SQL = {
       round(avg(case when "at" > timestamp '{NOW}' - interval 30 day and "at" <= timestamp '{NOW}' then (rating > 1)::int::double end), 6) retention from log""",
     "forecast7": f"""{WITH}, {_fold()} select t.day::int as day, count(due_in) due from range(7) t(day) left join st on greatest(0, due_in) = t.day group by 1""",
     "log_cap": f"""{WITH} select * from log order by "at" desc, seq desc limit 5000""",
-    "build_queue": f"""{WITH}, {_fold()}, b as (select *, case when lapses > 2 then 0 when reps > 1 then 1 else 2 end bucket from st),
-      p as (select *, row_number() over (partition by bucket order by due_in, card_id) place from b)
-      select bucket::int bucket, place::int place, card_id from p where place <= case bucket when 1 then 200 when 2 then 20 else 2147483647 end""",
     "fsrs_preview": f"""{WITH}, {_fold()}, p as (select card_id, g rating, {_duck(review.next_stability('round(s, 6)', 'round(d, 6)', 'g', '1.0::double'))} s from st, (values (1), (2), (3), (4)) v(g))
       select card_id, rating, round(s, 6) stability, {_duck(review.interval('s'))} due_in from p""",
     "introduced_today": f"""{WITH} select count(*) filter ((a - interval 4 hour)::date = date '2024-01-02') introduced from (select min("at") a from log group by card_id)""",
