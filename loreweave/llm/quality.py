@@ -4,35 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BLANK_CLASS
+from .common import BLANK_CLASS, fresh
 
-#: Fixed values. Shares of characters in plain prose of each language:
-#: blank, A-Z, symbol, punctuation, any other; then the shares of the ten commonest words.
+#: Fixed values, as ``fitted`` gives them for sf0.1: shares of characters in each language (blank, A-Z, symbol, punctuation,
+#: any other) and of its twenty commonest words.
 REFERENCES = {
     "en": (
-        [0.167, 0.014, 0.0, 0.024, 0.795],
-        {"the": 0.055, "of": 0.029, "and": 0.023, "to": 0.017, "a": 0.014, "in": 0.012, "is": 0.010, "that": 0.009, "it": 0.008, "for": 0.008},
+        [0.1666, 0.0138, 0.0, 0.0237, 0.7959],
+        {"the": 0.0625, "of": 0.0365, "and": 0.0264, "to": 0.0197, "a": 0.0158, "in": 0.0134, "is": 0.012, "that": 0.0107, "it": 0.0093, "for": 0.0088, "was": 0.008, "on": 0.0073, "with": 0.007, "as": 0.0058, "this": 0.0057, "by": 0.0055, "are": 0.0055, "be": 0.0051, "th": 0.0044, "at": 0.0044},
     ),
     "de": (
-        [0.155, 0.012, 0.0, 0.022, 0.811],
-        {"der": 0.055, "die": 0.029, "und": 0.023, "in": 0.017, "den": 0.014, "von": 0.012, "zu": 0.010, "das": 0.010, "mit": 0.008, "sich": 0.008},
+        [0.1549, 0.0123, 0.0, 0.0219, 0.8109],
+        {"der": 0.0623, "die": 0.0369, "und": 0.0263, "in": 0.02, "den": 0.0165, "von": 0.0137, "zu": 0.0112, "das": 0.011, "mit": 0.0094, "sich": 0.0083, "des": 0.0081, "auf": 0.0073, "für": 0.0066, "ist": 0.006, "dem": 0.0056, "im": 0.0055, "nicht": 0.0054, "ein": 0.0051, "eine": 0.005, "sch": 0.0043},
     ),
     "fr": (
-        [0.167, 0.010, 0.0, 0.024, 0.799],
-        {"de": 0.055, "la": 0.030, "le": 0.022, "et": 0.017, "les": 0.014, "des": 0.012, "en": 0.011, "un": 0.009, "du": 0.008, "une": 0.007},
+        [0.1668, 0.0104, 0.0, 0.0239, 0.7989],
+        {"de": 0.0626, "la": 0.038, "le": 0.025, "et": 0.0206, "les": 0.0165, "des": 0.0139, "en": 0.0125, "un": 0.0108, "du": 0.0091, "une": 0.0081, "que": 0.0078, "pour": 0.0075, "est": 0.0071, "dans": 0.0059, "qui": 0.0056, "par": 0.0051, "sur": 0.0051, "pas": 0.005, "au": 0.0047, "avec": 0.0044},
     ),
     "es": (
-        [0.162, 0.012, 0.0, 0.023, 0.803],
-        {"de": 0.055, "la": 0.029, "que": 0.022, "el": 0.017, "en": 0.014, "y": 0.011, "los": 0.010, "se": 0.009, "las": 0.009, "del": 0.008},
+        [0.1617, 0.012, 0.0, 0.0231, 0.8032],
+        {"de": 0.0623, "la": 0.0366, "que": 0.0256, "el": 0.0198, "en": 0.0162, "y": 0.0136, "los": 0.0115, "se": 0.0104, "las": 0.0094, "del": 0.0092, "un": 0.0082, "por": 0.0077, "con": 0.0067, "no": 0.0066, "una": 0.0057, "su": 0.0056, "para": 0.0055, "al": 0.005, "es": 0.0049, "os": 0.0043},
     ),
 }
 UPPER, SYMBOLS, PUNCTUATION = "[A-Z]+", "[#*$%&|<>]+", r"""[.,;:!?'"()-]+"""
+#: What may stick to a word.
+MARKS = ".,;:!?'\"()-"
 #: Largest Jensen-Shannon distances, and the sizes below which a histogram says too little to be judged.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS = 0.18, 0.22, 100, 100
+#: The distances are just over the largest among the 3,401 labelled rows of quality 1 in sf0.1 (0.125 and 0.265).
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS = 0.13, 0.27, 100, 100
 WINDOW = 8
 
 
+MARKS_SQL = '"' + MARKS.replace('"', '\\"') + '"'
+
+
 def bind(value: str, name: str, body: str) -> str:
     """SQL for ``body`` with ``name`` standing for ``value``, which is worked out once."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -135,7 +142,7 @@ def quality_rules(
                     by_language(word_lists),
                     "list",
                     bind(
-                        "filter(transform(w, x -> lower(x)), x -> array_contains(list, x))",
+                        f"filter(transform(w, x -> lower(trim(BOTH {MARKS_SQL} FROM x))), x -> array_contains(list, x))",
                         "found",
                         "transform(list, c -> size(filter(found, x -> x = c)))",
                     ),
@@ -160,11 +167,35 @@ def quality_rules(
     return judged.select("row.*", *named[:-1], F.expr(verdict).alias("kept"))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = 500, words: int = 20) -> dict:
+    """References by language from labelled rows of quality 1 that are not toxic: the ``rows`` with the lowest ids of each.
+
+    Shares of character classes, and of the ``words`` commonest words; ``REFERENCES`` is
+    what this gives for sf0.1.  The sample's bound is all that reaches the driver as counts.
+    """
+    good = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id").where("text is not null and lang is not null")
+    held = good.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where(F.col("k") <= rows)
+    lacking = [F.sum(F.length("text") - F.length(F.regexp_replace("text", chars, ""))) for chars in (BLANK_CLASS, UPPER, SYMBOLS, PUNCTUATION)]
+    totals = held.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(lacking)]).collect()
+    each = held.select("lang", F.explode(F.expr(rf"filter(split(text, r'{BLANK_CLASS}+'), x -> x <> '')")).alias("w")).select("lang", F.expr(f"lower(trim(BOTH {MARKS_SQL} FROM w))").alias("w"))
+    counted = each.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    sums = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    top = counted.where("w <> ''").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("k") <= words).orderBy("lang", "k").collect()
+    out = {}
+    for t in totals:
+        shares = [round(t[f"c{i}"] / t.n, 4) for i in range(4)]
+        out[t.lang] = ([*shares, round(1 - sum(shares), 4)], {r.w: round(r.n / sums[t.lang], 4) for r in top if r.lang == t.lang})
+    return out
+
+
 def passing(df: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows that the rules keep, with the columns they came with.
+    """The rows that the rules keep, with the columns they came with, whatever their names; repeated rows as often as they came.
+
+    Null, empty and short texts go, as the base rules reject them; an empty table gives an empty one.
 
     The row's number is part of the condition, as a condition on a row that depends on its
     place is not moved below the expressions it reads, where they would be worked out again.
     """
-    judged = quality_rules(df, text_col, lang_col, **options).withColumn("lw_place", F.monotonically_increasing_id())
-    return judged.where("kept and lw_place >= 0").select(*[f"`{c}`" for c in df.columns])
+    judged = quality_rules(df, text_col, lang_col, **options)
+    judged = judged.withColumn(place := fresh(judged, "place"), F.monotonically_increasing_id())
+    return judged.where(f"kept and {place} >= 0").select(*[f"`{c}`" for c in df.columns])
