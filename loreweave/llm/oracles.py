@@ -30,7 +30,7 @@ f as (
     (n - {lacking(quote(quality.SYMBOLS))})::bigint n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {word})) lines,
     [n - {lacking(blank)}, n - {lacking(quote(quality.UPPER))}, n - {lacking(quote(quality.SYMBOLS))}, n - {lacking(quote(quality.PUNCTUATION))}] classes,
-    list_transform({lists}, lambda c: len(list_filter(w, lambda x: lower(x) = c))) common
+    list_transform({lists}, lambda c: len(list_filter(w, lambda x: lower(trim(x, {quote(quality.MARKS)})) = c))) common
   from w),
 g as (
   select doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(c, 0)::bigint n_repeat_words,
@@ -46,9 +46,10 @@ from g"""
 DECONTAMINATE = r"""
 with words as (select 'd' side, doc_id id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') w from documents
   union all select distinct 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F])+') from benchmark),
-sh as (select distinct side, id, array_to_string(w[i : i + 4], ' ') s from words, unnest(range(1, len(w) - 3)) u(i)),
+sizes as (select distinct least(5, len(w)) k from words where side = 'b' and len(w) > 0),
+sh as (select distinct side, id, k, array_to_string(w[i : i + k - 1], ' ') s from words, sizes, unnest(range(1, len(w) - k + 2)) u(i) where side = 'd' or k = least(5, len(w))),
 items as (select *, count(*) over (partition by id) n from sh where side = 'b')
-select d.id doc_id, b.id item_id, n n_shingles, count(*) n_found from items b join sh d on d.side = 'd' and d.s = b.s
+select d.id doc_id, b.id item_id, n n_shingles, count(*) n_found from items b join sh d on d.side = 'd' and d.s = b.s and d.k = b.k
 group by 1, 2, 3 having count(*) >= 0.8 * n"""
 
 SQL = {"op2_quality_rules": _quality(), "op10_decontaminate": DECONTAMINATE}
