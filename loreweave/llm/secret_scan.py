@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 import string
@@ -17,9 +18,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 
-#: A candidate is a run of key characters this long or longer that has a letter and a digit.
-CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=~-]{20,}+"), 20
+#: A candidate is a run of key characters as long as the shortest secret of the base patterns, with a letter and a digit.
+CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=~-]{8,}+"), 8
+#: Characters that the network sees before, in and after a candidate; a longer one is seen in overlapping parts.
 BEFORE, INSIDE, AFTER = 24, 48, 8
+PART_STEP = INSIDE // 2
 WIDTH = BEFORE + INSIDE + AFTER
 CLASSES = 20
 #: Training: labelled findings at most, share held out for calibration, recall that the threshold must reach there.
@@ -52,12 +55,17 @@ def classes() -> np.ndarray:
 CLASS_OF = classes()
 
 
+def parts(span: tuple[int, int]) -> list[tuple[int, int]]:
+    """A candidate in parts of at most ``INSIDE`` characters that overlap by half and cover all of it."""
+    s, e = span
+    return [(at, min(e, at + INSIDE)) for at in range(s, max(s + 1, e - INSIDE + PART_STEP), PART_STEP)]
+
+
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Character classes around and in each span, one row a span; the middle of a long one is left out."""
+    """Character classes around and in each span of at most ``INSIDE`` characters, one row a span."""
     out = np.zeros((len(spans), WIDTH), np.int64)
     for row, (s, e) in zip(out, spans):
-        inside = text[s:e] if e - s <= INSIDE else text[s : s + INSIDE // 2] + text[e - INSIDE // 2 : e]
-        before, after = text[max(0, s - BEFORE) : s], text[e : e + AFTER]
+        inside, before, after = text[s:e], text[max(0, s - BEFORE) : s], text[e : e + AFTER]
         for at, part in ((BEFORE - len(before), before), (BEFORE, inside), (BEFORE + INSIDE, after)):
             row[at : at + len(part)] = CLASS_OF[[min(ord(c), 128) for c in part]]
     return out
@@ -128,12 +136,20 @@ class Network:
             self.shift -= 0.5 * float(np.mean(q - truth))
         true = np.sort(self.score_of(z[truth == 1]))
         loses = int((1 - RECALL) * len(true))
-        # the highest threshold that keeps the recall, but never one at which a finding is less likely than not
-        self.threshold = max(0.5, float(true[loses]) if len(true) else 0.5)
+        self.threshold = float(true[loses]) if len(true) else 0.5  # the highest one that keeps the recall
 
     def score_of(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * z + self.shift)))
 
+    def score_spans(self, texts: list[str], spans: list[list[tuple[int, int]]]) -> list[list[float]]:
+        """The score of each candidate of each text: the highest of its parts."""
+        cut = [[parts(span) for span in own] for own in spans]
+        shapes = [windows(t, [p for ps in own for p in ps]) for t, own in zip(texts, cut) if own]
+        flat = self.score(np.concatenate(shapes)) if shapes else np.zeros(0)
+        sizes = [len(ps) for own in cut for ps in own]
+        best = iter(np.maximum.reduceat(flat, np.cumsum([0, *sizes[:-1]])).tolist() if sizes else [])
+        return [[next(best) for _ in own] for own in cut]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.score_of(self.forward(x[i : i + 512])[0]) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
@@ -151,6 +167,8 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
         lambda: r.choice(["ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"]) + some(low + up + num, 24, 48),
         lambda: "AKIA" + some(up + num, 16, 20),
         lambda: "eyJ" + some(low + up + num + "-_", 40, 90),
+        lambda: some(low + up + num, 14, 22),
+        lambda: "/".join([word() for _ in range(r.randint(2, 5))]) + "/key=" + r.choice(["ghp_", "sk-", ""]) + some(low + up + num, 28, 40) + "/" + word(),
     ]
     plain = [
         lambda: "-".join([word() for _ in range(4)] + [str(r.randint(1, 2030))]) + word(),
@@ -160,6 +178,11 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
         lambda: word() + word() + word() + str(r.randint(1, 9)) + word(),
         lambda: "=" * r.randint(18, 40) + word() + str(r.randint(1, 9)),
         lambda: "-".join(some(low[:6] + num, k, k) for k in (8, 4, 4, 4, 12)),
+        lambda: word() + str(r.randint(1, 99999)) + r.choice(["", word()]),
+        lambda: str(r.randint(1, 9999)) + r.choice(["-", "", "_"]) + word(),
+        lambda: some(num, 4, 12) + r.choice(["-", "/", ""]) + some(num, 2, 8) + r.choice(low + up),
+        lambda: word().capitalize() + "-" + word() + "-" + str(r.randint(1, 2030)),
+        lambda: "/".join([word() for _ in range(r.randint(3, 12))]) + "/" + str(r.randint(1, 99)),
     ]
     names = ["token", "key", "secret", "auth", "Authorization: Bearer", "credential", "access_key", "private_key", "client_secret", "pwd"]
     out = []
@@ -167,7 +190,7 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
         label = i % 2
         run = r.choice(secret if label else plain)()
         if len(run) < SHORTEST:
-            run += some(low + num, SHORTEST, SHORTEST + 4)
+            run += "-" + some(low, SHORTEST, SHORTEST + 4)
         said = label if r.random() < 0.8 else 1 - label  # the name before it is a hint and no more
         left = f"{r.choice(names)}{r.choice([' = ', '=', ': ', ' '])}{r.choice(['', chr(34), chr(39)])}" if said else " ".join([word() for _ in range(r.randint(0, 4))]) + " "
         left = " ".join([word() for _ in range(r.randint(0, 4))]) + " " + left
@@ -179,18 +202,21 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
 def train(findings: list[tuple[str, int, int, int]] | None = None) -> Network:
     """A network from labelled findings, at most ``MAX_LABELLED`` of them; a few seconds of numpy."""
     findings = (findings or labelled_findings())[:MAX_LABELLED]
-    x = np.concatenate([windows(t, [(s, e)]) for t, s, e, _ in findings])
+    # of a plain run every part is plain; of a secret the part with most kinds of characters stands for it
+    kinds = lambda t, p: len({CLASS_OF[min(ord(c), 128)] for c in t[p[0] : p[1]]})
+    rows = [(t, p, y) for t, s, e, y in findings for p in ([max(parts((s, e)), key=lambda p: kinds(t, p))] if y else parts((s, e)))]
     net = Network()
-    net.fit(x, np.array([y for *_, y in findings], float))
+    net.fit(np.concatenate([windows(t, [p]) for t, p, _ in rows]), np.array([y for *_, y in rows], float))
     return net
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", network: Network | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``secrets``: an array of (kind, start, end, score), by start and then kind.
 
-    Base findings have a null score where no candidate lies in them; a candidate
-    that touches no base span is added with kind ``model`` if its calibrated
-    score reaches the network's threshold.  The network is trained on the driver
+    Every candidate is scored over its whole length.  Base findings have a null
+    score where no candidate touches them; a candidate that touches no base span is
+    added with kind ``model`` if its calibrated score reaches the network's threshold,
+    the highest that keeps ``RECALL`` of the findings held out in training.  The network is trained on the driver
     from a bounded set and sent to the workers (a few kilobytes).  Offsets count
     code points, ends are exclusive.  A null or empty text has an empty array.
     Other columns and repeated rows stay, an empty table gives an empty one, and a
@@ -202,13 +228,15 @@ def find_secrets(df: DataFrame, text_col: str = "text", network: Network | None
     def run(texts: list[str]) -> list[pa.Array]:
         base = [detect(t) for t in texts]
         runs = [candidates(t) for t in texts]
-        shapes = [windows(t, r) for t, r in zip(texts, runs) if r]
-        scores = iter(net.score(np.concatenate(shapes)).tolist() if shapes else [])
         rows = []
-        for spans, own in zip(base, runs):
-            scored = [(s, e, next(scores)) for s, e in own]
-            out = [(k, s, e, max((p for x, y, p in scored if x < e and s < y), default=None)) for k, s, e in spans]
-            out += [("model", s, e, p) for s, e, p in scored if p >= net.threshold and not any(x < e and s < y for _, x, y in spans)]
+        for spans, own, scores in zip(base, runs, net.score_spans(texts, runs)):
+            out, begins, ends = [], [s for s, _ in own], [e for _, e in own]
+            free = np.ones(len(own), bool)
+            for k, s, e in spans:  # candidates are apart and in order, so those that a span touches are a range
+                lo, hi = bisect.bisect_right(ends, s), bisect.bisect_left(begins, e)
+                free[lo:hi] = False
+                out.append((k, s, e, max(scores[lo:hi], default=None)))
+            out += [("model", s, e, p) for (s, e), p, f in zip(own, scores, free.tolist()) if f and p >= net.threshold]
             out.sort(key=lambda f: (f[1], (*KINDS, "model").index(f[0])))
             rows.append([dict(zip(("kind", "start", "end", "score"), f)) for f in out])
         return [pa.array(rows, pa.list_(item))]
