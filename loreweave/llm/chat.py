@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ RELABEL, RELABEL_SYSTEM, NAME, MERGE, INSERT = 3, 4, 1, 1, 5
 #: The legal next turns of each state, and the states in which a conversation may end.
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 ENDS = (0, 3)
-#: Turn numbers that share a block; a block is repaired in one piece for each pair of border states.
+#: Turns of a block at most; a block is repaired in one piece for each pair of border states.
 BLOCK = 256
 
 
@@ -142,29 +143,40 @@ def repair_roles(
     empty.  Repeated rows are turns of their own, an empty table gives an empty
     one, and columns named like a result are replaced.
 
-    A conversation may be of any length: blocks of 256 turn numbers are repaired
-    apart, for each pair of border states, and a second step of sixteen numbers a
-    block chooses the borders.
+    A conversation may be of any length, and numbers may repeat: all turns are dealt
+    out by ranges of their order, equal ones too, and cut into blocks of at most 256
+    turns, which are repaired apart for each pair of border states; a second step of
+    sixteen numbers a block chooses the borders.
     """
     made = ["new_role", "action", "inserted", "appended", "rendered", "cost"]
-    rest = df.select(*[f"`{c}`" for c in df.columns if c not in made])
-    keyed = rest.withColumn("lw_block", F.coalesce(F.floor(F.col(f"`{turn_col}`") / BLOCK), F.lit(-1)).cast("long"))
-    order = [conv_col, "lw_block", turn_col, role_col, text_col]
-    dealt = keyed.repartition(F.col(f"`{conv_col}`"), "lw_block").sortWithinPartitions(*[f"`{c}`" for c in order])
-    schema = T.StructType([*keyed.schema, *T._parse_datatype_string("lw_paths string, lw_at int, lw_costs array<int>")])
+    columns = [c for c in df.columns if c not in made]
+    # so that no column clashes with those made here
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)])
+    conv_col, turn_col, role_col, text_col = (f"in_{columns.index(c)}" for c in (conv_col, turn_col, role_col, text_col))
+    order = [conv_col, turn_col, role_col, text_col, "lw_row"]
+    dealt = keyed.withColumn("lw_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("lw_row")
+    schema = T.StructType([*keyed.schema, *T._parse_datatype_string("lw_paths string, lw_at int, lw_costs array<int>, lw_block long")])
     names = keyed.columns
 
     def blocks(batches):
-        for g in groups(batches, [conv_col, "lw_block"]):
-            cost, paths = repair_block(g.column(role_col).to_pylist())
-            n = len(paths)
-            arrays = [g.column(c).combine_chunks() for c in names]
-            arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            more = [pa.array(paths), pa.array(range(n), pa.int32()), pa.array([None] * (n - 1) + [cost], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*arrays, *more], names=[*names, "lw_paths", "lw_at", "lw_costs"])
+        block = TaskContext.get().partitionId() << 40  # blocks of later ranges come later
+        for batch in batches:
+            convs = batch.column(conv_col).to_pylist()
+            cuts = [0]
+            for i in range(1, len(convs) + 1):
+                if i == len(convs) or convs[i] != convs[i - 1] or i - cuts[-1] == BLOCK:
+                    cuts.append(i)
+            for at, end in zip(cuts, cuts[1:]):
+                if end > at:
+                    g = batch.slice(at, end - at)
+                    cost, paths = repair_block(g.column(role_col).to_pylist())
+                    n = end - at
+                    more = [pa.array(paths), pa.array(range(n), pa.int32()), pa.array([None] * (n - 1) + [cost], pa.list_(pa.int32())), pa.array([block] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*(g.column(c) for c in names), *more], names=[*names, "lw_paths", "lw_at", "lw_costs", "lw_block"])
+                    block += 1
 
     done = stored(dealt.mapInArrow(blocks, schema))
-    conv_type = df.schema[conv_col].dataType
+    conv_type = keyed.schema[conv_col].dataType
     chain_schema = T.StructType([T.StructField("lw_conv", conv_type), *T._parse_datatype_string("lw_of long, lw_path int, lw_start int, lw_last boolean, cost int")])
 
     def chain(batches):
@@ -215,4 +227,4 @@ def repair_roles(
             ),
         )
     )
-    return shown.select(*[f"`{c}`" for c in rest.columns], *made)
+    return shown.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)], *made)
