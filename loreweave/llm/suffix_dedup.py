@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat import groups
-from .common import stored
+from .common import pieces, stored
 from .decontaminate import mixed, powers
 
 #: Bytes of a string that must not occur twice, and of the grams that anchors are chosen by.
@@ -173,30 +173,29 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], windows: list[in
 
 def runs_of(docs: DataFrame) -> DataFrame:
     """(id, mark, gram, hi, lo, first, windows, offset): the runs of every text, with a 128-bit hash of their bytes."""
+    names = ["id", "mark", "gram", "hi", "lo", "first", "windows", "offset"]
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for i, mark, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                raw = (text or "").encode("utf-8")
-                if len(raw) < LENGTH:
-                    continue
-                for gram, first, windows, offset in anchors(raw):
-                    d = xxhash.xxh3_128_digest(raw[first : first + windows + LENGTH - 1])
-                    for c, v in zip(cols, (i, mark, gram, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), first, windows, offset)):
-                        c.append(v)
-                if len(cols[0]) > 100_000:
-                    yield batch_of(cols)
-                    cols = [[] for _ in range(8)]
-            yield batch_of(cols)
-
-    names = ["id", "mark", "gram", "hi", "lo", "first", "windows", "offset"]
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 3
-
-    def batch_of(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, gram long, hi long, lo long, first int, windows int, offset int")
+            kinds = [batch.schema.field("id").type, *[pa.int64()] * 4, *[pa.int32()] * 3]
+            cols: list[list] = [[] for _ in names]
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)  # noqa: E731, B023
+            for piece in pieces(batch, "text"):
+                for i, mark, text in zip(*(piece.column(c).to_pylist() for c in range(3))):
+                    raw = (text or "").encode("utf-8")
+                    if len(raw) < LENGTH:
+                        continue
+                    for gram, first, windows, offset in anchors(raw):
+                        d = xxhash.xxh3_128_digest(raw[first : first + windows + LENGTH - 1])
+                        for c, v in zip(cols, (i, mark, gram, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), first, windows, offset)):
+                            c.append(v)
+                        if len(cols[0]) > 100_000:
+                            yield made()
+                            cols = [[] for _ in names]
+            yield made()
+
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, mark long, gram long, hi long, lo long, first int, windows int, offset int"
+    return docs.select("id", "mark", "text").mapInArrow(run, schema)
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
@@ -218,6 +217,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     near = same.join(odd, "gram").select("one.*", "gram", "n", "contexts")
     looked = stored(contexts_of(docs, near))
 
+    id_type = docs.schema["id"].dataType.simpleString()
+
     def compare(batches):
         for g in groups(batches, ["gram"]):
             contexts, offsets, windows = (g.column(c).to_pylist() for c in ("context", "offset", "windows"))
@@ -225,27 +226,23 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
             ids, marks, firsts, n = (g.column(c).to_pylist() for c in ("id", "mark", "first", "n"))
             rows = [(ids[k], marks[k], firsts[k] + p, size) for k, own in enumerate(found) if n[k] == 1 for p, size in own]
             if rows:
-                i, m, p, w = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(m, pa.int64()), pa.array(p, pa.int32()), pa.array(w, pa.int32())], names=["id", "mark", "first", "windows"])
+                kinds = (g.schema.field("id").type, pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "mark", "first", "windows"])
 
-    schema = "id long, mark long, first int, windows int"
     dealt = looked.where(f"contexts <= {MOST}").repartition("gram").sortWithinPartitions("gram", "id", "mark", "first")
-    sorted_out = dealt.mapInArrow(compare, schema)
+    sorted_out = dealt.mapInArrow(compare, f"id {id_type}, mark long, first int, windows int")
 
     def hashed(batches):
         for batch in batches:
-            rows = []
-            for i, m, first, w, n, c in zip(*(batch.column(x).to_pylist() for x in ("id", "mark", "first", "windows", "n", "context"))):
-                for k in range(w):
-                    d = xxhash.xxh3_128_digest(c[k : k + LENGTH])
-                    rows.append((i, m, first + k, n, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-            if rows:
-                cols = zip(*rows)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "mark", "first", "n", "hi", "lo"])
+            for i in range(batch.num_rows):  # a context has at most SPAN windows
+                c, w = batch.column("context")[i].as_py(), batch.column("windows")[i].as_py()
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c[k : k + LENGTH]) for k in range(w)), ">i8").astype(np.int64).reshape(-1, 2)
+                own = [pa.repeat(batch.column(x)[i], w) for x in ("id", "mark", "n")]
+                first = pa.array(np.arange(w, dtype=np.int32) + batch.column("first")[i].as_py())
+                yield pa.RecordBatch.from_arrays([*own[:2], first, own[2], pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["id", "mark", "first", "n", "hi", "lo"])
 
     # the windows of very common anchors: counted within tasks first, so that no task gets a common one's rows
-    each = looked.where(f"contexts > {MOST}").mapInArrow(hashed, "id long, mark long, first int, n long, hi long, lo long")
+    each = looked.where(f"contexts > {MOST}").mapInArrow(hashed, f"id {id_type}, mark long, first int, n long, hi long, lo long")
     shared = each.groupBy("hi", "lo").agg(F.count("*").alias("k")).where("k > 1").select("hi", "lo")
     counted = each.where("n = 1").join(shared, ["hi", "lo"], "left_semi").select("id", "mark", "first", F.lit(1).alias("windows"))
     return whole.unionByName(sorted_out).unionByName(counted)
@@ -254,19 +251,23 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def contexts_of(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with the bytes of their windows."""
 
+    names = ["id", "mark", "first", "windows", "offset", "gram", "n", "contexts"]
+
     def run(batches):
         for batch in batches:
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                raw = (text or "").encode("utf-8")
-                made = [raw[r["first"] : r["first"] + r["windows"] + LENGTH - 1] for r in own]
-                cols = [pa.array([r[c] for r in own], k) for c, k in zip(names, kinds)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.binary())], names=[*names, "context"])
+            id_kind = batch.schema.field("runs").type.value_type.field("id").type
+            kinds = [id_kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            for piece in pieces(batch, "text"):
+                for text, own in zip(piece.column("text").to_pylist(), piece.column("runs").to_pylist()):
+                    raw = (text or "").encode("utf-8")
+                    made = [raw[r["first"] : r["first"] + r["windows"] + LENGTH - 1] for r in own]
+                    cols = [pa.array([r[c] for r in own], k) for c, k in zip(names, kinds)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.binary())], names=[*names, "context"])
 
-    names = ["id", "mark", "first", "windows", "offset", "gram", "n", "contexts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     keyed = runs.withColumns({"own_id": F.col("id"), "own_mark": F.col("mark")})
     held = with_runs(docs, keyed, "inner").select("text", F.expr("transform(runs, r -> named_struct('id', r.own_id, 'mark', r.own_mark, 'first', r.first, 'windows', r.windows, 'offset', r.offset, 'gram', r.gram, 'n', r.n, 'contexts', r.contexts))").alias("runs"))
-    return held.mapInArrow(run, "id long, mark long, first int, windows int, offset int, gram long, n long, contexts long, context binary")
+    id_type = docs.schema["id"].dataType.simpleString()
+    return held.mapInArrow(run, f"id {id_type}, mark long, first int, windows int, offset int, gram long, n long, contexts long, context binary")
 
 
 def removed_spans(size: int, runs: list[dict]) -> list[tuple[int, int]]:
@@ -294,23 +295,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an anchor's in one task up to ``MOST`` of them; beyond, windows are counted by hash.
     """
     # ids need not be numbers, and rows may share one: a hash of the text goes with it
-    own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"), F.col(f"`{text_col}`").alias("text"))
     found = with_runs(own, repeated_runs(own), "left")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
-            sizes, spans, kept = [], [], []
-            for t, r in zip(texts, runs):
-                raw = (t or "").encode("utf-8")
-                cut = removed_spans(len(raw), r or [])
-                sizes.append(len(raw))
-                spans.append([{"start": s, "end": e} for s, e in cut])
-                ends = [0, *(e for _, e in cut)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in cut), len(raw)])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "removed", "kept"],
-            )
-
-    return found.select("id", "text", "runs").mapInArrow(run, "id long, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+            for piece in pieces(batch, "text"):
+                texts, runs = piece.column("text").to_pylist(), piece.column("runs").to_pylist()
+                sizes, spans, kept = [], [], []
+                for t, r in zip(texts, runs):
+                    raw = (t or "").encode("utf-8")
+                    cut = removed_spans(len(raw), r or [])
+                    sizes.append(len(raw))
+                    spans.append([{"start": s, "end": e} for s, e in cut])
+                    ends = [0, *(e for _, e in cut)]
+                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in cut), len(raw)])))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return found.select("id", "text", "runs").mapInArrow(run, f"id {id_type}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
