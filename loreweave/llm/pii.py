@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import fresh, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -245,8 +245,9 @@ def redacted(text: str) -> str:
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace every identifier in the text by ``[email]``, ``[ip]``, ``[card]`` or ``[phone]``.
 
-    A null text stays null; all rows and columns stay, in the same order.
+    A null text stays null, an empty one empty; all rows, repeated ones too, and all
+    columns stay, whatever their names, and an empty table gives an empty one.
     """
-    names = df.columns
-    done = map_texts(df, lambda texts: [pa.array([redacted(t) for t in texts], pa.string())], "loreweave_redacted string", text_col)
-    return done.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("loreweave_redacted"))).select(*[f"`{c}`" for c in names])
+    names, made = df.columns, fresh(df, "redacted")
+    done = map_texts(df, lambda texts: [pa.array([redacted(t) for t in texts], pa.string())], f"`{made}` string", text_col)
+    return done.withColumn(text_col, F.when(F.col(f"`{text_col}`").isNotNull(), F.col(made))).select(*[f"`{c}`" for c in names])
