@@ -163,7 +163,7 @@ def bibtex_entries(text: str) -> list[tuple[str, str, dict[str, str]]]:
             at = p
             continue
         if kind != "string":
-            m = re.compile(r"([^,\s}]*)\s*,?").match(text, p)
+            m = re.compile(r"([^,\s{}@=]*)\s*,?").match(text, p)
             key, p = m[1], m.end()
         while m := FIELD.match(text, p):
             value, p = _value(text, m.end(), strings)

@@ -43,7 +43,7 @@ def cite_keys(spark, sf_dir):
 def bib_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     entry = part.select(F.col("p_partkey").alias("id"), F.expr("if(p_partkey % 3 = 0, concat('https://doi.org/10.1234/P', p_partkey), null)").alias("doi"), F.col("p_name").alias("title"), F.col("p_size").alias("year"))
-    source = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 1000).alias("id"), F.expr("if(p_partkey % 4 = 0, concat('DOI: 10.1234/p', p_partkey), null)").alias("doi"), F.upper("p_name").alias("title"), F.col("p_size").alias("year"))
+    source = part.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 10000000).alias("id"), F.expr("if(p_partkey % 4 = 0, concat('DOI: 10.1234/p', p_partkey), null)").alias("doi"), F.upper("p_name").alias("title"), F.col("p_size").alias("year"))
     return resolve.bib_match(entry, source)
 
 

@@ -47,12 +47,16 @@ def introduced_today(spark, sf_dir):
     return review.introduced(log, FIRST_DAY)
 
 
-def _duck(sql: str) -> str:
-    """The scalar formulas as DuckDB reads them."""
-    import re
+def _grown(stability: str, difficulty: str, rating: str, days: str) -> str:
+    """The stability after an answer, written from the published formulas and weights, apart from the engine's own."""
+    recall = f"pow(1 + 19.0::double / 81 * greatest(0, {days}) / greatest(0.01, {stability}), -0.5)"
+    return f"""least(36500, greatest(0.01, case when {days} < 1 then {stability} * exp(0.51655 * ({rating} - 3 + 0.6621))
+      when {rating} = 1 then least(1.9395 * pow({difficulty}, -0.11) * (pow({stability} + 1, 0.29605) - 1) * exp(2.2698 * (1 - {recall})), {stability} / exp(0.51655 * 0.6621))
+      else {stability} * (1 + exp(1.54575) * (11 - {difficulty}) * pow({stability}, -0.1192) * (exp(1.01925 * (1 - {recall})) - 1) * case {rating} when 2 then 0.2315 when 4 then 2.9898 else 1 end) end))::double"""
 
-    sql = re.sub(r"(\d)D\b", r"\1::double", sql)
-    return sql.replace("element_at(array(", "list_extract(list_value(")
+
+#: At a recall of nine tenths a card is due after as many days as its stability has.
+DUE = "least(36500, greatest(1, floor(s + 0.5)))::int"
 
 
 LOG = """log as (select user_id as card_id, ts::timestamp as "at", case event_type when 'error' then 1 when 'view' then 2 when 'click' then 3 else 4 end::int as rating,
@@ -60,14 +64,12 @@ LOG = """log as (select user_id as card_id, ts::timestamp as "at", case event_ty
 
 
 def _fold() -> str:
-    r = review
-    days = """(date_diff('microsecond', f."at", x."at") / 86400000000.0)"""
-    s = _duck(r.next_stability("f.s", "f.d", "x.rating", days))
-    d = _duck(r.next_difficulty("f.d", "x.rating"))
+    days = """(date_diff('microsecond', f."at", x."at") / 86400000000.0)::double"""
+    harder = "least(10, greatest(1, 0.0046 * (7.1949 - exp(0.5345 * 3) + 1) + 0.9954 * (f.d - 1.4604 * (x.rating - 3) * (10 - f.d) / 9)))::double"
     return f"""o as (select *, row_number() over (partition by card_id order by "at", seq) k from log),
-    f as (select card_id, k, "at", 0 lapses, {_duck(r.init_stability('rating'))} s, {_duck(r.clamp_d(r.raw_difficulty('rating')))} d from o where k = 1
-      union all select x.card_id, x.k, x."at", f.lapses + (x.rating = 1)::int, {s}, {d} from f join o x on x.card_id = f.card_id and x.k = f.k + 1),
-    st as (select card_id, k::int reps, lapses::int lapses, s, d, {_duck(r.interval('s'))} due_in from f qualify k = max(k) over (partition by card_id))"""
+    f as (select card_id, k, "at", 0 lapses, (case rating when 1 then 0.40255 when 2 then 1.18385 when 3 then 3.173 else 15.69105 end)::double s, least(10, greatest(1, 7.1949 - exp(0.5345 * (rating - 1)) + 1))::double d from o where k = 1
+      union all select x.card_id, x.k, x."at", f.lapses + (x.rating = 1)::int, {_grown('f.s', 'f.d', 'x.rating', days)}, {harder} from f join o x on x.card_id = f.card_id and x.k = f.k + 1),
+    st as (select card_id, k::int reps, lapses::int lapses, s, d, {DUE} due_in from f qualify k = max(k) over (partition by card_id))"""
 
 
 WITH = f"with recursive {LOG}"
@@ -82,8 +84,8 @@ SQL = {
       round(avg(case when "at" > timestamp '{NOW}' - interval 30 day and "at" <= timestamp '{NOW}' then (rating > 1)::int::double end), 6) retention from log""",
     "forecast7": f"""{WITH}, {_fold()} select t.day::int as day, count(due_in) due from range(7) t(day) left join st on greatest(0, due_in) = t.day group by 1""",
     "log_cap": f"""{WITH} select * from log order by "at" desc, seq desc limit 5000""",
-    "fsrs_preview": f"""{WITH}, {_fold()}, p as (select card_id, g rating, {_duck(review.next_stability('round(s, 6)', 'round(d, 6)', 'g', '1.0::double'))} s from st, (values (1), (2), (3), (4)) v(g))
-      select card_id, rating, round(s, 6) stability, {_duck(review.interval('s'))} due_in from p""",
+    "fsrs_preview": f"""{WITH}, {_fold()}, p as (select card_id, g rating, {_grown('round(s, 6)', 'round(d, 6)', 'g', '1.0::double')} s from st, (values (1), (2), (3), (4)) v(g))
+      select card_id, rating, round(s, 6) stability, {DUE} due_in from p""",
     "introduced_today": f"""{WITH} select count(*) filter ((a - interval 4 hour)::date = date '2024-01-02') introduced from (select min("at") a from log group by card_id)""",
     "undo_answer": f"""{WITH} select card_id, seq, "at", rating from log where rating <> 1""",
 }

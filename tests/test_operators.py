@@ -54,3 +54,28 @@ def test_jaro_winkler_has_no_boost_threshold():
     from loreweave.operators.resolve import jaro_winkler
 
     assert round(jaro_winkler("abcdef", "abxyzw"), 4) == 0.6444
+
+
+def test_memory_model_literals(spark):
+    from loreweave.operators import review
+
+    value = lambda sql: spark.sql(f"select {sql}").first()[0]
+    assert len(review.W) == 19
+    assert abs(value(review.retrievability("10D", "10D")) - 0.9) < 1e-6 and value(review.retrievability("0D", "10D")) == 1
+    assert value(review.retrievability("20D", "10D")) < 0.9
+    assert abs(value(review.init_stability("1")) - 0.40255) < 1e-9 and abs(value(review.init_stability("4")) - 15.69105) < 1e-9
+    hard = [value(review.clamp_d(review.raw_difficulty(str(g)))) for g in (1, 2, 3, 4)]
+    assert abs(hard[0] - 7.1949) < 1e-9 and hard == sorted(hard, reverse=True)
+    assert [value(review.interval(f"{s}D")) for s in (0.01, 10.2, 10.6, 90000)] == [1, 10, 11, 36500]
+
+
+def test_merge_candidates_equal_all_pairs(spark):
+    """Blocking loses no pair that scores enough: the operator against itself over every pair of titles, two at a time."""
+    import itertools
+
+    from loreweave.operators import resolve
+
+    titles = ["Neural Network", "Network, Neural", "NN", "Bayesian Optimisation", "Bayesian Optimization", "GPT-3", "GPT-4"]
+    show = lambda ts: {(frozenset((r.a, r.b)), r.reason) for r in resolve.merge_candidates(spark.createDataFrame([(t,) for t in ts], "title string")).collect()}
+    alone = set().union(*(show(p) for p in itertools.combinations(titles, 2)))
+    assert {p for p, _ in show(titles)} == {p for p, _ in alone}
