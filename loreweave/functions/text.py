@@ -34,8 +34,8 @@ def fold(text: str) -> str:
 
 
 def terms(text: str) -> str:
-    """SQL for all folded words of a text, in order."""
-    return rf"regexp_extract_all({fold(text)}, r'{WORD}', 0)"
+    """SQL for all folded words of a text, in order; a text of ASCII alone needs no folding and a plain pattern."""
+    return rf"if(octet_length({text}) = length({text}), regexp_extract_all(lower({text}), r'[a-z0-9]+', 0), regexp_extract_all({fold(text)}, r'{WORD}', 0))"
 
 
 def quoted(values) -> str:

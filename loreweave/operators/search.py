@@ -47,6 +47,20 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return indexed(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def write_index(docs: DataFrame, path: str) -> None:
+    """Postings and corpus statistics as tables under ``path``: a search then reads the row groups of its terms alone.
+
+    Postings are dealt out by ranges of terms and sorted, so that minima and maxima prune.
+    """
+    by_term = postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    by_term.write.mode("overwrite").parquet(f"{path}/postings")
+    corpus_stats(docs).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def query_tokens(spark, queries: list[str], prefix: bool = True, fuzzy: bool = True) -> DataFrame:
     """(query_id, grp, token, as_prefix, as_fuzzy): at most twelve different words a query.
 
@@ -98,19 +112,22 @@ def one_edit(a: str, b: str):
 
 
 def bm25_search(docs: DataFrame, queries: list[str], limit: int = 20, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
-    """(query_id, rank, doc_id, score, matched): the best documents of each query.
+    """(query_id, rank, doc_id, score, matched): the best documents of each query, from the documents themselves."""
+    return search_index(postings(docs), corpus_stats(docs), queries, limit, prefix, fuzzy)
+
+
+def search_index(posts: DataFrame, stats: DataFrame, queries: list[str], limit: int = 20, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
+    """(query_id, rank, doc_id, score, matched): the best documents of each query, from postings and statistics.
 
     Documents that match every word count alone if there are any; otherwise a score
     is cut to the share of words matched, words that the index lacks included.
     """
-    spark = docs.sparkSession
-    tokens = query_tokens(spark, queries, prefix, fuzzy)
-    posts = postings(docs)
+    tokens = query_tokens(posts.sparkSession, queries, prefix, fuzzy)
     wanted = F.broadcast(expansions(doc_freq(posts), tokens))  # at most 12 x 57 rows a query
     n_groups = tokens.groupBy("query_id").agg(F.count("*").alias("n_groups"))
     scored = (
         posts.join(wanted, "term")
-        .join(F.broadcast(corpus_stats(docs)))
+        .join(F.broadcast(stats))  # one row
         .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("weight"))
         .withColumn(
             "part",
@@ -120,14 +137,15 @@ def bm25_search(docs: DataFrame, queries: list[str], limit: int = 20, prefix: bo
         .agg(F.sum("part").alias("score"), F.countDistinct("grp").alias("matched"))
         .join(F.broadcast(n_groups), "query_id")
     )
-    whole = F.max((F.col("matched") == F.col("n_groups")).cast("int")).over(Window.partitionBy("query_id"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    # whole matches first: then the limit holds within each task, before a query's hits meet, and only the best meet
+    best = Window.partitionBy("query_id").orderBy(F.desc("whole"), F.desc("score"), "doc_id")
     return (
-        scored.withColumn("any_whole", whole)
-        .where("any_whole = 0 or matched = n_groups")
+        scored.withColumn("whole", F.col("matched") == F.col("n_groups"))
         .withColumn("score", F.round(F.col("score") * F.col("matched") / F.col("n_groups"), 6))
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= limit)
+        .withColumn("any_whole", F.max("whole").over(Window.partitionBy("query_id")))
+        .where("whole or not any_whole")
         .select("query_id", "rank", "doc_id", "score", "matched")
     )
 
@@ -140,9 +158,11 @@ def match_all(docs: DataFrame, queries: list[str]) -> DataFrame:
         rows += [(q, g, w, len(words)) for g, w in enumerate(words)]
     tokens = docs.sparkSession.createDataFrame(rows, "query_id int, grp int, token string, n_groups int")
     found = (F.col("term") == F.col("token")) | ((F.length("token") >= 2) & F.col("term").startswith(F.col("token")))
+    posts = postings(docs)
+    # words meet the dictionary, each term once; the postings meet the terms found in an equi-join
+    terms = posts.select("term").distinct().join(F.broadcast(tokens), found)
     return (
-        postings(docs)
-        .join(F.broadcast(tokens), found)
+        posts.join(terms, "term")
         .groupBy("query_id", "doc_id", "n_groups")
         .agg(F.countDistinct("grp").alias("matched"))
         .where("matched = n_groups")

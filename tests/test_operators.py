@@ -79,3 +79,11 @@ def test_merge_candidates_equal_all_pairs(spark):
     show = lambda ts: {(frozenset((r.a, r.b)), r.reason) for r in resolve.merge_candidates(spark.createDataFrame([(t,) for t in ts], "title string")).collect()}
     alone = set().union(*(show(p) for p in itertools.combinations(titles, 2)))
     assert {p for p, _ in show(titles)} == {p for p, _ in alone}
+
+
+def test_a_stored_index_gives_the_same_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"alpha {'beta ' * (k % 3)} Gämma{k % 5} 1", 1.0) for k in range(30)], "doc_id long, text string, boost double")
+    search.write_index(docs, str(tmp_path))
+    asked = ["alpha bet", "gamma3 zzz"]
+    hits = lambda df: sorted(map(tuple, df.collect()))
+    assert hits(search.search_index(*search.read_index(spark, str(tmp_path)), asked)) == hits(search.bm25_search(docs, asked))
