@@ -60,7 +60,24 @@ def json_in(text: str, field: str) -> str:
     return "coalesce(" + ", ".join(f"get_json_object({p}, '$.{field}')" for p in places) + ")"
 
 
-def fnv32(text: str) -> str:
+def product32(a: str, b: str) -> str:
+    """SQL for the product of two 32-bit numbers modulo 2^32, without leaving 64 bits."""
+    return f"((({a}) * (({b}) & 65535L) + ((({a}) * shiftright({b}, 16) & 65535L) * 65536L)) & 4294967295L)"
+
+
+def fnv32(text: str, start: int = 0x811C9DC5, prime: int = 0x01000193) -> str:
     """SQL for the 32-bit FNV-1a hash of an ASCII text."""
-    step = "((h ^ c) * 16777619L) & 4294967295L"
-    return f"aggregate(transform(filter(split({text}, ''), c -> c <> ''), c -> cast(ascii(c) as long)), 2166136261L, (h, c) -> {step})"
+    step = product32("(h ^ c)", f"{prime}L")
+    return f"aggregate(transform(filter(split({text}, ''), c -> c <> ''), c -> cast(ascii(c) as long)), {start}L, (h, c) -> {step})"
+
+
+def hash64(text: str) -> str:
+    """SQL for two FNV passes with different starts and primes, to base 36."""
+    return f"lower(conv({fnv32(text)}, 10, 36) || conv({fnv32(text, 0xCBF29CE4, 0x100001B3)}, 10, 36))"
+
+
+def seeded_random(text: str) -> str:
+    """SQL for the number between 0 and 1 that a seed gives: its hash, moved on and mixed in 32 bits."""
+    first = f"transform(array(({fnv32(text)} + 1831565813L) & 4294967295L), t -> {product32('t ^ shiftright(t, 15)', 't | 1L')})[0]"
+    second = f"transform(array({first}), t -> (t ^ (t + {product32('t ^ shiftright(t, 7)', 't | 61L')})) & 4294967295L)[0]"
+    return f"transform(array({second}), t -> (t ^ shiftright(t, 14)) / 4294967296D)[0]"

@@ -222,6 +222,17 @@ def sink_latex(spark, sf_dir):
     return pages(spark, sf_dir).join(lines, "page_id").select("page_id", F.concat(title, "body").alias("latex"))
 
 
+def clean_markdown(spark, sf_dir):
+    return blocks(spark, sf_dir).select("id", "ord", F.expr(markup.cleaned("text")).alias("text"))
+
+
+def sink_markdown(spark, sf_dir):
+    """A page as Markdown: its title, then its blocks in order, code fenced and mathematics set apart."""
+    body = F.expr(f"case type when 'math' then '$$\n' || text || '\n$$' when 'code' then '```\n' || text || '\n```' else {markup.cleaned('text')} end")
+    lines = blocks(spark, sf_dir).distinct().select("page_id", F.struct("ord", "id", "text", body.alias("t")).alias("b")).groupBy("page_id").agg(F.expr("array_join(transform(array_sort(collect_list(b)), x -> x.t), '\n\n')").alias("body"))
+    return pages(spark, sf_dir).join(lines, "page_id").select("page_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("markdown"))
+
+
 # The same by hand for DuckDB.  RE2 has no look-behind, so a mark before a tag is matched with it.
 PAGES = """pages_ as (select p_partkey page_id, 'Widget ' || p_partkey title, case p_size % 5 when 0 then 'concept' when 1 then 'daily' when 2 then 'sidequest' else 'note' end kind,
   p_partkey * 7919 % 10007 updated_at, case when p_partkey % 2 = 0 then ['W-' || p_partkey, 'gadget  ' || p_partkey] else []::varchar[] end aliases,
@@ -258,6 +269,9 @@ BACK = "back_ as (select distinct n.target, r.page_id, id, ord from refs_ r join
 PLAIN = r"""plain_ as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '`([^`\n]+)`', '\1', 'g'), '\$([^$\n]+)\$', '\1', 'g'), '!?\[\[[^\[\]\n|]+\|([^\[\]\n]+)\]\]', '\1', 'g'), '!?\[\[([^\[\]\n]+?)(?:#\^[^\[\]\n]*)?\]\]', '\1', 'g'),
   '(^|[\s(])#([^\s#])', '\1\2', 'g'), '\(\([A-Za-z0-9_-]+\)\)', '', 'g'), '\{\{c\d+::(.*?)(?:::[^}]*)?\}\}', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\s+', ' ', 'g')) p from blocks_)"""
+CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\s*#flashcard\b', '', 'g'),
+  '\{\{c\d+::(.+?)(?:::[^}]*)?\}\}', '\1', 'g'), '#\[\[([^\]]+)\]\]', '\1', 'g'), '!\[\[([^\]|#]+)(?:#\^[^\]|]+)?(?:\|[^\]]+)?\]\]', '*(see: \1)*', 'g'),
+  '\[\[([^\]|]+)\|([^\]]+)\]\]', '\2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\(\([A-Za-z0-9_-]{6,}\)\)', '', 'g'), '\s+$', '')"""
 HAS_CARD = r"regexp_matches(text, '(?i)(?:^|[ \t])#flashcards?(?:[^\w/-]|$)')"
 STRIPPED = r"""trim(regexp_replace(regexp_replace(text, '(?i)(^|[ \t]+)#flashcards?\b', '\1', 'g'), '[ \t]+', ' ', 'g'))"""
 MADE = rf"""asked as (select distinct page_id, id, ord, {STRIPPED} t from blocks_ where {HAS_CARD}),
@@ -337,6 +351,9 @@ SQL = {
     "format_tag": r"""with n as (select unnest(['Widget ' || p_partkey, 'w' || p_partkey, p_partkey || '', 'a-' || p_partkey, 'abc' || p_partkey]) as name from part)
       select name, case when name like '% %' or regexp_full_match(name, '\d+') or (regexp_full_match(name, '(?i)[0-9a-f]+') and length(name) in (3, 4, 6, 8)) then '#[[' || name || ']]' else '#' || name end tag from n""",
     "escape_latex": rf"""with {BLOCKS} select id, ord, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '#', '\#'), '$', '\$'), '_', '\_'), '{{', '\{{'), '}}', '\}}'), '%', '\%'), '&', '\&'), '~', '\textasciitilde{{}}'), '^', '\textasciicircum{{}}') latex from blocks_""",
+    "clean_markdown": f"with {BLOCKS} select id, ord, {CLEANED} as text from blocks_",
+    "sink_markdown": f"""with {PAGES}, {BLOCKS}, b as (select distinct page_id, ord, id, text, anchor_source_id, created_at, case "type" when 'math' then '$$' || chr(10) || text || chr(10) || '$$' when 'code' then '```' || chr(10) || text || chr(10) || '```' else {CLEANED} end t from blocks_)
+      select page_id, '# ' || any_value(title) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by ord, id, text) markdown from b join pages_ using (page_id) group by 1""",
     "sink_latex": rf"""with {PAGES}, {BLOCKS}, {PLAIN}, b as (select distinct page_id, ord, id, text, anchor_source_id, created_at, case "type" when 'math' then '$$' || text || '$$' when 'code' then '\begin{{verbatim}}' || text || '\end{{verbatim}}' else replace(p, '_', '\_') end t from plain_)
       select page_id, '\section{{' || any_value(title) || '}}' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by ord, id, text) latex from b join pages_ using (page_id) group by 1""",
 }
@@ -345,6 +362,6 @@ QUERIES = {
     for f in (
         parse_refs, plain_text, mask_with, backlinks, concepts, outgoing, unlinked_mentions, block_references, blocks_for_source, *map(_lens, LENSES), lens_group_results, rename_page,
         merge_concepts, link_mention, tag_list_replace, snippet, generate_cards, sync_cards, build_queue, review_counts, set_card_flags, palette_recent, palette_sources, match_nodes, scan_sources,
-        highlights_for, snapshot_block, get_block, get_source, resolve_link_target, set_block_text, insert_after, srs_options, flashcard_tag, parse_clozes, format_tag, escape_latex, sink_latex,
+        highlights_for, snapshot_block, get_block, get_source, resolve_link_target, set_block_text, insert_after, srs_options, flashcard_tag, parse_clozes, format_tag, escape_latex, sink_latex, clean_markdown, sink_markdown,
     )
 }

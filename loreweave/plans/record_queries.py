@@ -346,6 +346,14 @@ def hash32(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.expr(scalars.fnv32("p_name")).alias("hash"))
 
 
+def hash64(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(scalars.hash64("p_name")).alias("hash"))
+
+
+def seeded_random(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.expr(scalars.seeded_random("(p_name || p_partkey)")), 9).alias("x"))
+
+
 ITEMS = """items_ as (select o_custkey doc_id, o_orderkey id, (o_orderkey % 100)::double x, (o_orderkey * 37 % 797)::double y, 20.0::double w, case when o_orderkey % 13 = 0 then 18.0 else 10.0 end::double h, o_orderpriority str from orders)"""
 BANDS = f"""{ITEMS}, b_ as (select *, max(y + h) over (partition by doc_id order by y, x, id rows between unbounded preceding and 1 preceding) under from items_),
   bands_ as (select *, sum((coalesce(y >= under, false))::int) over (partition by doc_id order by y, x, id rows unbounded preceding) band from b_),
@@ -431,6 +439,12 @@ SQL = {
     "extract_json": "select event_id, (props::json->>'k')::int k from events",
     "hash32": """with recursive h as (select p_partkey, p_name s, 1 i, 2166136261::bigint h from part union all select p_partkey, s, i + 1, (xor(h, ascii(s[i])::bigint) * 16777619) & 4294967295 from h where i <= length(s))
       select p_partkey, h hash from h where i = length(s) + 1""",
+    "hash64": """with recursive h as (select p_partkey, p_name s, 1 i, 2166136261::hugeint a, 3421674724::hugeint b from part
+        union all select p_partkey, s, i + 1, (xor(a, ascii(s[i])::hugeint) * 16777619) % 4294967296, (xor(b, ascii(s[i])::hugeint) * 268435891) % 4294967296 from h where i <= length(s))
+      select p_partkey, lower(to_base(a::bigint, 36) || to_base(b::bigint, 36)) hash from h where i = length(s) + 1""",
+    "seeded_random": """with recursive h as (select p_partkey, p_name || p_partkey s, 1 i, 2166136261::hugeint a from part union all select p_partkey, s, i + 1, (xor(a, ascii(s[i])::hugeint) * 16777619) % 4294967296 from h where i <= length(s)),
+      m0 as (select p_partkey, (a + 1831565813) % 4294967296 t from h where i = length(s) + 1), m1 as (select p_partkey, (xor(t, t >> 15) * (t | 1)) % 4294967296 t from m0),
+      m2 as (select p_partkey, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296)) % 4294967296 t from m1) select p_partkey, round(xor(t, t >> 14)::double / 4294967296, 9) x from m2""",
 }
 ROWS_ONLY = ("background_merge_scan",)
 QUERIES = {
@@ -439,6 +453,6 @@ QUERIES = {
         detect_kind, pdf_toc, landscape_ratio, pdf_page_texts, deck_text, xml_parse, arxiv_atom, epub_nav_ncx, crossref_json, sink_bibtex, bibtex_parse, bib_to_meta, import_bib, export_bib, refresh_citation, zotero_plan,
         zotero_match, zotero_to_meta, meta_to_zotero, confirm_ghost, dismiss_ghost, uniq_norm, update_source, restore_source, digest, concept_df, ghost_tags, ghost_tags_merge_ai, rank_ghost, search_pages,
         background_merge_scan, commit_budget, line_bands, group_lines, paragraphs, items_to_markdown, items_to_text, title_authors_guess, reading_labels, cluster_1d, align_shapes, centroid, items_in_polygon, near_strokes,
-        connector_snap, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32,
+        connector_snap, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
     )
 }

@@ -90,7 +90,7 @@ def create_page(spark, sf_dir):
     return vault.create_missing(pages, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "id")
 
 
-def sink_markdown(spark, sf_dir):
+def lines_markdown(spark, sf_dir):
     titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("Page "), "doc_id").alias("title"))
     return vault.markdown(blocks(spark, sf_dir), titles)
 
@@ -161,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_pages, scan_page_blocks, scan_all_blocks, get_updates, list_doc_ids, lww_meta, compaction, dedup_remote, manifest_diff, git_push, put_blob,
-        is_empty_page, merge_bib, remove_source, put_source, create_page, sink_markdown, html_to_text, page_titles_of, lens_query, lens_not,
+        is_empty_page, merge_bib, remove_source, put_source, create_page, lines_markdown, html_to_text, page_titles_of, lens_query, lens_not,
         lens_before_after, library_filter, palette_pages, stream_days, corpus_median, merge_intervals,
     )
 }
@@ -185,7 +185,7 @@ SQL = {
     "remove_source": "select c_custkey, c_nationkey source_id from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)",
     "put_source": "select n_nationkey, case when n_nationkey < 5 then lower(n_name) else n_name end n_name from nation",
     "create_page": "select c_custkey id, c_name title from customer union all select p_partkey, p_name from part where p_partkey not in (select c_custkey from customer)",
-    "sink_markdown": f"""with {BLOCKS} select page_id, '# Page ' || page_id || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by ord) || chr(10) markdown from blocks group by 1""",
+    "lines_markdown": f"""with {BLOCKS} select page_id, '# Page ' || page_id || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by ord) || chr(10) markdown from blocks group by 1""",
     "html_to_text": f"select page_id, {TEXT} as text from pages",
     "page_titles_of": "select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) title from pages",
     "lens_query": f"""with {BLOCKS} select page_id, ord, type from blocks where (len(list_filter({WORDS}, lambda w: starts_with(w, 'there'))) > 0
