@@ -32,7 +32,7 @@ UPPER, SYMBOLS, PUNCTUATION = "[A-Z]+", "[#*$%&|<>]+", r"""[.,;:!?'"()-]+"""
 #: What may stick to a word.
 MARKS = ".,;:!?'\"()-"
 #: Largest Jensen-Shannon distances, and the sizes below which a histogram says too little to be judged.
-#: The distances are just over the largest among the 3,401 labelled rows of quality 1 in sf0.1 (0.125 and 0.265).
+#: The distances are just over the largest among the 3,409 labelled rows of quality 1 in sf0.1 (0.125 and 0.265).
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS = 0.13, 0.27, 100, 100
 WINDOW = 8
 
