@@ -64,8 +64,9 @@ def put_blob(spark, sf_dir):
 
 
 def is_empty_page(spark, sf_dir):
-    halves = blocks(spark, sf_dir).select((F.col("page_id") * 1000 + F.col("ord")).alias("page_id"), "text")
-    return vault.empty_pages(halves)
+    """Orders are pages, and items that were neither returned nor accepted yet are blank blocks."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.expr("if(l_returnflag = 'N', ' ', l_returnflag)").alias("text"))
+    return vault.empty_pages(rows)
 
 
 def merge_bib(spark, sf_dir):
@@ -179,7 +180,7 @@ SQL = {
       full join {DIGEST.format('where event_id % 7 <> 0 and user_id % 5 <> 0')} b on a.doc_id = b.doc_id where a.digest is distinct from b.digest""",
     "git_push": "select doc_id path, sha256(text) sha from documents d where not exists (select 1 from documents e where e.doc_id + 1 = d.doc_id and e.text = d.text)",
     "put_blob": "select distinct sha256(text) blob_id, strlen(text)::int size from documents where text not in (select text from documents where source = 'src0')",
-    "is_empty_page": f"with {BLOCKS} select page_id * 1000 + ord page_id from blocks group by 1 having bool_and(trim(text) = '')",
+    "is_empty_page": "select l_orderkey page_id from lineitem group by 1 having bool_and(l_returnflag = 'N')",
     "merge_bib": """select s_suppkey id, coalesce(nullif(case when s_suppkey % 3 > 0 then s_name else '' end, ''), p_name) title, p_brand venue
       from supplier left join part on p_partkey = s_suppkey""",
     "remove_source": "select c_custkey, c_nationkey source_id from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)",
