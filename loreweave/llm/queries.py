@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, decontaminate, lm_score, pii, quality, secret_scan, simhash, suffix_dedup, token_count
+from . import bpe_codec, chat, decontaminate, lm_score, ngram_join, pii, quality, secret_scan, simhash, suffix_dedup, token_count
 from .common import table
 
 
@@ -105,6 +105,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_documents(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +123,6 @@ QUERIES = {
         op8_simhash,
         op9_lm_score,
         op10_decontaminate,
+        op13_ngram_join,
     )
 }
