@@ -21,6 +21,8 @@ RARE = 64
 PART, PART_TOKENS = 256, 1 << 18
 #: Sets whose names are sent to all workers to fetch their texts; more are joined.
 FEW = 1 << 20
+#: Bitmaps of a bucket that one task compares; a bitmap takes a sixty-fourth to a thirty-second of its set.
+PART_BITS = 1024
 #: Columns of the overlap matrix at a time.
 STEP = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,17 +115,69 @@ def similar(shared: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: int) -
     return 100 * shared >= similarity * (n + m - shared)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each hash slot, one if an odd number of tokens fall into it; there are more slots than tokens, 64 at least.
+
+    Two sets differ in as many tokens as their bitmaps do in bits, or more.
+    """
+    slots = 1 << max(6, len(tokens).bit_length())
+    odd = np.bincount((mixed(tokens ^ MIX) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many slots."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def forest(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, similarity: int) -> list[tuple[int, int]]:
+    """Pairs that span, as a forest, all pairs of sets that their bitmaps allow to be similar, or those of different ``side``."""
+    width = np.array([len(b) for b in bits])
+    here, half, open_ = {}, {}, {}
+    for w in np.unique(width).tolist():
+        open_[w] = np.flatnonzero(width == w)
+        here[w] = np.stack([bits[i] for i in open_[w]])
+        half[w] = folded(here[w]) if w > 1 else None
+    place = {int(i): k for w in open_ for k, i in enumerate(open_[w])}
+    free = np.ones(len(bits), bool)
+    out = []
+    for seed in range(len(bits)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        queue = [seed]
+        for i in queue:
+            w, k = int(width[i]), place[i]
+            for v, mine, theirs in ((w, here[w][k], here), (2 * w, here[w][k], half), (w // 2, half[w][k] if w > 1 else None, here)):
+                if v not in open_ or mine is None or theirs[v] is None:
+                    continue
+                js = open_[v]
+                kept = np.flatnonzero(free[js] if side is None else free[js] & (side[js] != side[i]))
+                if not len(kept):
+                    continue
+                apart = np.bitwise_count(theirs[v][kept] ^ mine).sum(1, dtype=np.int64)
+                js = js[kept]
+                n, m = sizes[i], sizes[js]
+                hit = js[((100 + similarity) * apart <= (100 - similarity) * (n + m)) & (100 * np.minimum(n, m) >= similarity * np.maximum(n, m))]
+                free[hit] = False
+                out += [(i, int(j)) for j in hit]
+                queue += hit.tolist()
+    return out
+
+
 def with_prefixes(df: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """(id, lw_copy, lw_set, lw_size, lw_prefix) of (id, text): a hash of the text, one of its set (null if empty), and its least tokens."""
+    """(id, lw_copy, lw_set, lw_size, lw_bits, lw_prefix) of (id, text): a hash of the text, one of its set (null if empty), its bitmap and least tokens."""
 
     def run(texts: list[str]) -> list[pa.Array]:
         sets = [shingles(t, shingle) for t in texts]
         names = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else None for s in sets]
         prefixes = [s[: prefix_length(len(s), similarity)].view(np.int64) for s in sets]
-        return [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+        bits = [bitmap(s).tobytes() if len(s) else None for s in sets]
+        return [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
 
     hashed = df.withColumn("lw_copy", F.xxhash64("text"))
-    return map_texts(hashed, run, "lw_set long, lw_size int, lw_prefix array<long>", drop=("text",))
+    return map_texts(hashed, run, "lw_set long, lw_size int, lw_bits binary, lw_prefix array<long>", drop=("text",))
 
 
 def indexed(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -200,9 +254,9 @@ def verified(pairs: DataFrame, tokens: DataFrame, similarity: int) -> DataFrame:
 
 
 def across(mixed_sets: DataFrame, tokens: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between sets of one bucket (sig, set, size, root) whose components differ, enough to join what is linked.
+    """Links (a, b) between sets of one cluster (sig, set, size, root) whose components differ, enough to join what is linked.
 
-    A bucket is cut into parts: a component of ``PART`` sets or more has parts of its own, which never meet each other;
+    A cluster is cut into parts: a component of ``PART`` sets or more has parts of its own, which never meet each other;
     the rest share parts.  Two parts are one task's work, done as an overlap matrix; only links come out of it.
     """
     weight = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("size") / PART_TOKENS)).cast("int")
@@ -266,22 +320,60 @@ def across(mixed_sets: DataFrame, tokens: DataFrame, similarity: int) -> DataFra
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def candidates(met: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): of the buckets (sig, set, size, bits), pairs that connect all sets that may be similar by their bitmaps.
+
+    A bucket of more than ``PART_BITS`` sets is cut; two parts are one task's work.  What comes out is a forest.
+    """
+    sizes = met.groupBy("sig").agg(F.ceil(F.count("*") / PART_BITS).cast("int").alias("parts"))
+    placed = met.join(sizes, "sig").withColumn("part", F.expr("cast(pmod(xxhash64(set), parts) as int)"))
+    placed = placed.select("sig", "set", "size", "bits", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    placed = placed.select("sig", "set", "size", "bits", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    dealt = placed.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "set")
+
+    def compare(batches):
+        held, name = [], None
+
+        def done():
+            part = np.array([h[2] for h in held])
+            pairs = forest([np.frombuffer(h[3], np.uint64) for h in held], np.array([h[1] for h in held]), part if name[1] != name[2] else None, similarity)
+            if not pairs:
+                return None
+            ends = [sorted((held[i][0], held[j][0])) for i, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*ends)], names=["a", "b"])
+
+        for batch in batches:
+            sig, lo, hi, *rest = (batch.column(c).to_pylist() for c in ("sig", "lo", "hi", "set", "size", "part", "bits"))
+            for this, row in zip(zip(sig, lo, hi), zip(*rest)):
+                if held and this != name:
+                    if (out := done()) is not None:
+                        yield out
+                    held = []
+                name = this
+                held.append(row)
+        if held and (out := done()) is not None:
+            yield out
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """(a, b): similar sets, enough of them to connect all that are linked.
 
-    Buckets of the same members count once.  First each set of a bucket is held against the bucket's least, which
-    settles clusters in as many pairs as rows; then what a bucket still holds of several components is compared whole.
+    Buckets of the same members count once.  Bitmaps tell in each bucket which sets may be similar; what they connect is
+    a cluster, and no link leaves one.  The pairs that made the clusters are verified first, which settles nearly all of
+    them; a cluster that then still holds several components is compared across those.
     """
     member = F.sum(F.xxhash64("set").cast("decimal(38,0)"))
-    buckets = signed.groupBy("sig").agg(F.count("*").alias("n"), member.alias("f"), F.min("set").alias("head"), F.min_by("size", "set").alias("head_size")).where("n > 1")
-    once = buckets.groupBy("n", "f", "head", "head_size").agg(F.min("sig").alias("sig")).select("sig", "head", "head_size")
-    met = stored(signed.join(once, "sig"))
-    fits = F.expr(f"100 * least(size, head_size) >= {similarity} * greatest(size, head_size)")
-    tokens = stored(with_tokens(docs, sets, met.select("set").distinct(), shingle))
-    first = met.where("set <> head").where(fits).select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    found = stored(verified(stored(first), tokens, similarity))
+    buckets = signed.groupBy("sig").agg(F.count("*").alias("n"), member.alias("f")).where("n > 1")
+    once = buckets.groupBy("n", "f").agg(F.min("sig").alias("sig")).select("sig")
+    met = signed.join(once, "sig").join(sets.select("set", "bits"), "set")
+    pairs = stored(candidates(met, similarity))
+    clusters = stored(components(pairs).withColumnRenamed("node", "set").withColumnRenamed("component", "sig"))
+    tokens = stored(with_tokens(docs, sets, clusters.select("set"), shingle))
+    found = stored(verified(pairs, tokens, similarity))
     root = components(found).withColumnRenamed("node", "set")
-    placed = met.select("sig", "set", "size").join(root, "set", "left").withColumn("root", F.coalesce("component", "set")).drop("component")
+    placed = clusters.join(sets.select("set", "size"), "set").join(root, "set", "left").withColumn("root", F.coalesce("component", "set")).drop("component")
     several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     rest = stored(placed.join(several, "sig"))
     return found.unionByName(across(rest, tokens, similarity))
@@ -300,7 +392,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = stored(with_prefixes(docs, shingle, similarity))
     sets = stored(
-        rows.where("lw_set is not null").groupBy(F.col("lw_set").alias("set")).agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("id").alias("least"))
+        rows.where("lw_set is not null").groupBy(F.col("lw_set").alias("set")).agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("lw_bits").alias("bits"), F.min("id").alias("least"))
     )
     signed = stored(indexed(rows, sets, similarity))
     found = components(links(signed, docs, sets, shingle, similarity))

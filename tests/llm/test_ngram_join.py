@@ -62,6 +62,7 @@ def found(spark, docs):
 def test_equals_all_pairs(spark, monkeypatch, seed, rare, part, few):
     monkeypatch.setattr(ngram_join, "RARE", rare)
     monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "PART_BITS", 2 * part)
     monkeypatch.setattr(ngram_join, "FEW", few)
     docs = near_copies(random.Random(seed), 300)
     assert found(spark, docs) == by_all_pairs(docs)
@@ -105,3 +106,26 @@ def test_overlaps_equal_intersections(monkeypatch):
     own = ngram_join.overlaps(a)  # but for the diagonal, which nothing reads
     assert all(own[i, j] == len(np.intersect1d(a[i], a[j])) for i in range(4) for j in range(4) if i != j)
     assert ngram_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_bitmaps_lose_no_similar_pair():
+    """The forest connects what all similar pairs connect, whatever the sizes and their halves."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 4, 20, 60, 70, 250, 260, 1000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for _ in range(6):
+            sets.append(np.unique(np.concatenate([rng.permutation(a)[n // 12 :], rng.integers(0, 1 << 63, n // 12, np.uint64)])))
+    bits, sizes = [ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+    pairs = ngram_join.forest(bits, sizes, None, 80)
+    top = list(range(len(sets)))
+    for i, j in pairs:
+        top = [top[i] if t == top[j] else t for t in top]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                assert top[i] == top[j]
+    assert len(pairs) < len(sets) and len(set(top)) >= 8
+    side = np.arange(len(sets)) % 2
+    assert all(side[i] != side[j] for i, j in ngram_join.forest(bits, sizes, side, 80))
