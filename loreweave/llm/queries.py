@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, decontaminate, lm_score, ngram_join, pii, quality, secret_scan, simhash, suffix_dedup, token_count
+from . import bpe_codec, chat, decontaminate, lm_score, ngram_join, pii, quality, secret_scan, simhash, structure, suffix_dedup, token_count, whitening
 from .common import table
 
 
@@ -105,6 +105,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")).select(
+        F.col("id").alias("vec_id"), F.expr("at + 1").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error"
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = structure.repair_structure(structure.damaged(turns))
+    every = turns.select("conv_id").groupBy("conv_id").agg(F.lit(1).alias("one")).join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    gaps = F.when(F.col("audit").isNull(), F.lit(0).cast("long")).otherwise(F.col("gaps")).alias("gaps")
+    return every.select("conv_id", gaps, *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_documents(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -123,6 +139,8 @@ QUERIES = {
         op8_simhash,
         op9_lm_score,
         op10_decontaminate,
+        op11_whitening,
+        op12_conversation_repair,
         op13_ngram_join,
     )
 }
