@@ -379,6 +379,15 @@ def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, sim
     return found.unionByName(across(rest, tokens, similarity))
 
 
+def classes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """The different sets of ``rows`` with their least id, and (set, root) of each: equal for all that links connect."""
+    by_set = rows.where("lw_set is not null").groupBy(F.col("lw_set").alias("set"))
+    sets = stored(by_set.agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("lw_bits").alias("bits"), F.min("id").alias("least")))
+    signed = stored(indexed(rows, sets, similarity))
+    found = components(links(signed, docs, sets, shingle, similarity))
+    return sets, sets.join(found, sets.set == found.node, "left").select("set", F.coalesce("component", "set").alias("root"))
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(id, size, component): each row's number of distinct shingles and the smallest id that links reach from it.
 
@@ -391,13 +400,39 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = stored(with_prefixes(docs, shingle, similarity))
-    sets = stored(
-        rows.where("lw_set is not null").groupBy(F.col("lw_set").alias("set")).agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("lw_bits").alias("bits"), F.min("id").alias("least"))
-    )
-    signed = stored(indexed(rows, sets, similarity))
-    found = components(links(signed, docs, sets, shingle, similarity))
-    named = sets.join(found, sets.set == found.node, "left").select("set", "least", F.coalesce("component", "set").alias("root"))
+    sets, named = classes(rows, docs, shingle, similarity)
+    named = named.join(sets.select("set", "least"), "set")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     labelled = named.join(least, "root").select(F.col("set").alias("lw_set"), "component")
     joined = rows.select("id", F.col("lw_size").cast("long").alias("size"), "lw_set").join(labelled, "lw_set", "left")
     return joined.select("id", "size", F.when(F.col("lw_set").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows that keep one document of each component of similar ones: the one with the smallest id.
+
+    Documents link as in ``similar_documents``, but texts without words are copies of each other here.  Of rows that
+    share the smallest id one text stays, and one of equal rows; rows whose id is null stay all, as nothing tells them
+    apart.  An empty table gives an empty one; all columns stay, whatever their names.
+
+    Only ids and hashes of texts are shuffled: what goes is taken out of ``df`` by an anti join.
+    """
+    names = df.columns
+    df = df.toDF(*[f"in_{i}" for i in range(len(names))])  # so that no column clashes with those made here
+    id_col, text_col = (f"in_{names.index(c)}" for c in (id_col, text_col))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = stored(with_prefixes(docs, shingle, similarity))
+    _, named = classes(rows, docs, shingle, similarity)
+    rooted = rows.where("id is not null").select("id", "lw_copy", F.col("lw_set").alias("set")).join(named, "set", "left")
+    copies = stored(rooted.groupBy("root", "id", "lw_copy").agg(F.count("*").alias("n")))
+    first = copies.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("id", "lw_copy")).alias("first"))
+    # rows that go, and those of which one of several equal ones stays
+    marked = copies.join(first, F.col("root").eqNullSafe(F.col("r"))).where("n > 1 or not (struct(id, lw_copy) <=> first)")
+    marked = stored(marked.select(F.col("id").alias("lw_id"), "lw_copy", F.expr("struct(id, lw_copy) <=> first").alias("lw_one")))
+    few = marked.count() <= FEW
+    marked = F.broadcast(marked) if few else marked
+    copy = F.xxhash64(F.col(text_col))
+    here = (F.col(id_col) == F.col("lw_id")) & (copy == F.col("lw_copy"))
+    kept = df.join(marked, here, "left_anti")
+    one = df.join(marked.where("lw_one"), here).dropDuplicates(["lw_id", "lw_copy"]).select(*df.columns)
+    return kept.unionByName(one).toDF(*names)

@@ -18,7 +18,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loreweave.llm import bpe_codec, chat, components, decontaminate, lm_score, near_copies, oracles, pii, quality, queries, secret_scan, simhash, suffix_dedup, token_count
+from loreweave.llm import bpe_codec, chat, components, decontaminate, lm_score, ngram_join, oracles, pii, quality, queries, secret_scan, simhash, suffix_dedup, token_count
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -203,7 +203,7 @@ CLASHING = [
     ("op8", lambda d: simhash.near_duplicates(d), {"simhash": "s", "component": "c"}),
     ("op9", lambda d: lm_score.score_documents(d), {"held_out": "h", "mark": "m", "token": "t"}),
     ("op10", lambda d: decontaminate.decontaminate(d, d.selectExpr("doc_id as item_id", "'zz' as text")), {"leaks": "l", "leaks0": "k"}),
-    ("near", lambda d: near_copies.deduplicate(d), {"lw_set": "s", "lw_row": "r"}),
+    ("near", lambda d: ngram_join.deduplicate(d), {"lw_set": "s", "lw_row": "r"}),
 ]
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loreweave.llm import near_copies
+from loreweave.llm import ngram_join
 
 SCHEMA = "doc_id long, text string"
 
@@ -38,14 +38,14 @@ def test_near_copies_equal_brute_force(spark, changes):
                 copy[at] = r.choice(words)
             rows.append((len(rows), " ".join(copy)))
     r.shuffle(rows)
-    got = sorted(x.doc_id for x in near_copies.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
+    got = sorted(x.doc_id for x in ngram_join.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == plain(rows)
 
 
 def test_one_changed_word_in_a_long_text_is_a_copy(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "PART", 3)
+    monkeypatch.setattr(ngram_join, "PART", 3)
     r = random.Random(8)
     text = [f"w{r.randrange(3000)}" for _ in range(300)]
     rows = [(i, " ".join([*text[: 20 * i], "changed", *text[20 * i + 1 :]])) for i in range(12)] + [(None, "no id"), (None, "no id")]
-    got = near_copies.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = ngram_join.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [x.doc_id for x in got if x.doc_id is not None] == [0] and len(got) == 3
