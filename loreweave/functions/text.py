@@ -33,6 +33,17 @@ def fold(text: str) -> str:
     return rf"regexp_replace(translate(lower({text}), '{MARKED}', '{PLAIN}'), r'\p{{M}}', '')"
 
 
+def folded(value: str) -> str:
+    """The same of a value at hand."""
+    return "".join(c for c in unicodedata.normalize("NFD", value.lower().translate(str.maketrans(MARKED, PLAIN))) if not unicodedata.combining(c))
+
+
+def spelt(term: str) -> str:
+    """A pattern that finds a folded word in a text as it is written: letters with any marks, in any case."""
+    marked = {p: "".join(m for m, q in zip(MARKED, PLAIN) if q == p) for p in set(PLAIN)}
+    return "".join((f"[{c}{marked[c]}]" if c in marked else c if c.isalnum() else f"\\x{{{ord(c):x}}}") + r"\p{M}*+" for c in term)
+
+
 def terms(text: str) -> str:
     """SQL for all folded words of a text, in order; a text of ASCII alone needs no folding and a plain pattern."""
     return rf"if(octet_length({text}) = length({text}), regexp_extract_all(lower({text}), r'[a-z0-9]+', 0), regexp_extract_all({fold(text)}, r'{WORD}', 0))"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import markup
-from ..functions.text import fold
+from ..functions import cloze, markup
+from ..functions.text import fold, folded, quoted, spelt
 
 BLOCK = ("page_id", "id", "ord")
 
@@ -52,22 +54,34 @@ def outgoing(refs: DataFrame, named: DataFrame) -> DataFrame:
     return met.groupBy("page_id", "goal").agg(F.countDistinct("id", "ord").alias("blocks"))
 
 
+#: Words, blanks and single marks: what a text and a name are compared by.
+TOKEN = r"[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"
+WORDS = r"^[\p{L}\p{N}_]"
+#: First words of names that go along with the plan; more are joined instead.
+FIRST_WORDS = 1000
+
+
 def mentions(blocks: DataFrame, named: DataFrame, linked: DataFrame) -> DataFrame:
-    """(target, page_id, id, ord): blocks in which a page's title or alias stands as words outside all markup, and which do not refer to the page.
+    """(target, page_id, id, ord): blocks in which a page's title or alias stands outside all regions and references, and which do not refer to the page.
 
-    Names of any length: only lengths that names have are tried, and a run must
-    begin with some name's first word, so few runs reach the join.  The lists of
-    lengths and, where it is short, of first words go along with the plan.
+    A name counts as it is written, marks and all, in any case and with any blanks, between word borders.  Only runs
+    of as many tokens as some name has are tried, and only those that begin with a name's first token: the runs are
+    made inside the row, so that what is exploded and joined is one short string for each try.
     """
-    words = F.expr(rf"regexp_extract_all(norm, r'[\p{{L}}\p{{N}}_]+', 0)")
-    parts = named.withColumn("w", words).where("size(w) > 0").select("target", F.col("w")[0].alias("first"), F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct()
-    lengths = parts.groupBy("first").agg(F.collect_set("n").alias("lengths"))  # no more than lengths there are
-    bare = F.expr(f"regexp_replace(regexp_replace(regexp_replace({markup.masked('text')}, r'{markup.BRACKETS}', ' ] '), r'{markup.TAG}', ' ] '), r'{markup.BLOCK_REF}', ' ] ')")
-    tokens = F.expr(r"regexp_extract_all(lower(bare), r'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]', 0)")
-    heads = blocks.select(*BLOCK, bare.alias("bare")).select(*BLOCK, tokens.alias("w"))
-    at = heads.select(*BLOCK, "w", F.posexplode("w").alias("p", "first")).join(lengths, "first")
-    runs = at.select(*BLOCK, F.explode("lengths").alias("n"), "w", "p", "first").where("p + n <= size(w)").select(*BLOCK, "first", "n", F.expr("array_join(slice(w, p + 1, n), ' ')").alias("run"))
-    met = runs.join(parts, ["first", "n", "run"]).where("target <> page_id").select("target", *BLOCK).distinct()
+    tokens = lambda c: F.expr(f"transform(regexp_extract_all({c}, r'{TOKEN}', 0), t -> if(t rlike r'^\\s', ' ', t))")
+    parts = named.select("target", tokens("norm").alias("w")).where("size(w) > 0").select("target", F.col("w")[0].alias("first"), F.size("w").alias("n"), F.array_join("w", "").alias("run")).distinct()
+    sizes = [r.n for r in parts.select("n").distinct().orderBy("n").collect()]  # no more than lengths of names there are
+    if not sizes:
+        return linked.limit(0)
+    firsts = [r.first for r in parts.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
+    begins = f"w[p] in ({quoted(firsts)})" if len(firsts) <= FIRST_WORDS else "w[p] <> ' '"
+    bare = F.expr(f"lower(regexp_replace(text, r'{markup.LINKED}', '{markup.HOLE}'))")
+    heads = blocks.select(*BLOCK, bare.alias("bare")).select(*BLOCK, tokens("bare").alias("w"))
+    border = f"((w[p] rlike r'{WORDS}' or p = 0 or not w[p - 1] rlike r'{WORDS}') and (w[p + n - 1] rlike r'{WORDS}' or p + n = size(w) or not w[p + n] rlike r'{WORDS}'))"
+    at = f"filter(sequence(0, size(w) - 1), p -> {begins})"
+    runs = f"flatten(transform({at}, p -> transform(filter(array({', '.join(map(str, sizes))}), n -> p + n <= size(w) and {border}), n -> array_join(slice(w, p + 1, n), ''))))"
+    tried = heads.where("size(w) > 0").select(*BLOCK, F.explode(F.array_distinct(F.expr(runs))).alias("run"))
+    met = tried.join(parts.select("target", "run"), "run").where("target <> page_id").select("target", *BLOCK).distinct()
     return met.join(linked, ["target", *BLOCK], "left_anti")
 
 
@@ -79,132 +93,193 @@ def block_references(refs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ lenses
 
-LEXEMES = re.compile(r'\s*(?:(-)|(\()|(\))|(OR\b)|(AND\b)|((?:[A-Za-z]+:)?"[^"]*"|\[\[[^\]]*\]\]|#\[\[[^\]]*\]\]|[^\s()]+))')
+LEXEMES = re.compile(
+    r'''\s*(?:(?P<not>(?<![^\s(])-(?=\S))|(?P<open>\()|(?P<close>\))|(?P<tag>\#?)\[\[(?P<name>.*?)(?:\]\]|(?P<cut>$))|"(?P<phrase>[^"]*)(?:"|(?P<unquoted>$))
+    |\#(?P<bare>(?=\w)[^\s()]+)|(?P<key>(?i:tag|page|source|src|type|is|has|before|after)):(?:"(?P<quoted>[^"]*)(?:"|(?P<uncut>$))|\[\[(?P<inner>.*?)(?:\]\]|$)|(?P<value>[^\s()]*))|(?P<word>[^\s()]+))''',
+    re.S | re.X,
+)
+TYPES = ("text", "math", "code", "ink", "image", "slide", "embed")
+
+
+def lens_term(found: re.Match, errors: list[str]) -> tuple | None:
+    """A ('term', kind, value) of what one lexeme says; None, and what is wrong, if it says nothing."""
+    if found["name"] is not None:
+        if found["cut"] is not None:
+            errors.append("Unclosed [[")
+        kind, value = "tag" if found["tag"] else "ref", found["name"].strip()
+    elif found["phrase"] is not None:
+        if found["unquoted"] is not None:
+            errors.append("Unclosed quote")
+        kind, value = "phrase", found["phrase"].strip()
+    elif found["bare"]:
+        kind, value = "tag", found["bare"]
+    elif found["key"]:
+        if found["uncut"] is not None:
+            errors.append("Unclosed quote")
+        kind, value = found["key"].lower().replace("src", "source"), (found["quoted"] or found["inner"] or found["value"] or "").strip()
+        if not value:
+            errors.append(f"Missing value for {found['key']}:")
+    else:
+        kind, value = "word", found["word"]
+        if unknown := re.match("([A-Za-z]+):", value):
+            errors.append(f'Unknown filter "{unknown[1]}:" (searching it as text)')
+    if not value:
+        return None
+    if kind in ("before", "after"):
+        try:
+            dt.date.fromisoformat(value if re.fullmatch(r"\d{4}-\d\d-\d\d", value) else "")
+        except ValueError:
+            errors.append(f'Invalid date "{value}" (use YYYY-MM-DD)')
+            return None
+    allowed = {"type": TYPES, "is": ("flashcard", "card"), "has": ("anchor",)}.get(kind)
+    if allowed and value.lower() not in allowed:
+        errors.append(f'Unknown block type "{value}" (use {", ".join(TYPES)})' if kind == "type" else f"Unknown filter {kind}:{value} (use {kind}:{allowed[0]})")
+        return None
+    return ("term", kind, value.lower() if allowed else value)
+
 
+def parse_lens(query: str) -> tuple[tuple | None, list[str]]:
+    """A query as nested ('or' | 'and' | 'not' | 'term', ...) tuples, None if it says nothing, and what is wrong with it.
 
-def parse_lens(query: str) -> tuple | None:
-    """A query as nested ('or' | 'and' | 'not' | 'term', ...) tuples: juxtaposition binds closer than OR; ``-`` negates; stray marks are passed over."""
-    tokens = [m for m in LEXEMES.finditer(query)]
-    place = 0
+    Terms side by side are all wanted and bind closer than OR; ``-`` negates.  A term that can't be read is left out.
+    """
+    tokens, errors, place = list(LEXEMES.finditer(query)), [], 0
+
+    def joint(name: str) -> bool:
+        word = tokens[place]["word"] if place < len(tokens) else None
+        return word in {"or": ("OR", "|", "||"), "and": ("AND", "&&")}[name]
+
+    def joined(name: str, parts: list) -> tuple | None:
+        parts = [p for p in parts if p]
+        return (name, *parts) if len(parts) > 1 else parts[0] if parts else None
 
     def either():
         nonlocal place
         parts = [both()]
-        while place < len(tokens) and tokens[place][4]:
+        while joint("or"):
             place += 1
             parts.append(both())
-        parts = [p for p in parts if p]
-        return parts[0] if len(parts) == 1 else ("or", *parts) if parts else None
+            if not parts[-1]:
+                errors.append("OR without a right-hand side")
+        return joined("or", parts)
 
     def both():
         nonlocal place
         parts = []
-        while place < len(tokens) and not tokens[place][4] and not tokens[place][3]:
-            if tokens[place][5]:
+        while place < len(tokens) and not joint("or") and not tokens[place]["close"]:
+            if joint("and"):
                 place += 1
-            elif one := single():
-                parts.append(one)
-        return parts[0] if len(parts) == 1 else ("and", *parts) if parts else None
+            else:
+                parts.append(single())
+        return joined("and", parts)
 
     def single():
         nonlocal place
         negated = False
-        while place < len(tokens) and tokens[place][1]:
+        while place < len(tokens) and tokens[place]["not"]:
             negated, place = not negated, place + 1
         if place == len(tokens):
+            errors.append('Dangling "-"')
             return None
-        token, place = tokens[place], place + 1
-        if token[2]:
+        found, place = tokens[place], place + 1
+        if found["open"]:
             inner = either()
-            place += place < len(tokens) and bool(tokens[place][3])
+            if place < len(tokens) and tokens[place]["close"]:
+                place += 1
+            else:
+                errors.append('Missing ")"')
         else:
-            inner = lens_term(token[6]) if token[6] else None
+            inner = None if found["close"] or found["word"] in ("OR", "|", "||", "AND", "&&") else lens_term(found, errors)
         return ("not", inner) if negated and inner else inner
 
     whole = []
     while place < len(tokens):
-        if part := either():
-            whole.append(part)
-        place += place < len(tokens) and bool(tokens[place][3])
-    return whole[0] if len(whole) == 1 else ("and", *whole) if whole else None
-
-
-def lens_term(token: str) -> tuple:
-    named = re.fullmatch(r"([A-Za-z]+):(.*)", token, re.S)
-    if named and named[1].lower() in ("tag", "ref", "page", "source", "type", "is", "has", "before", "after") and named[2]:
-        return ("term", named[1].lower(), named[2].strip('"'))
-    if token.startswith("[["):
-        return ("term", "ref", token[2:-2])
-    if token.startswith("#"):
-        return ("term", "tag", token.lstrip("#").removeprefix("[[").removesuffix("]]"))
-    return ("term", "phrase" if token.startswith('"') else "word", token.strip('"'))
+        whole.append(either())
+        if place < len(tokens) and tokens[place]["close"]:
+            errors.append('Unmatched ")"')
+            place += 1
+    return joined("and", whole), errors
 
 
 def lens(query: str, blocks: DataFrame, refs: DataFrame, pages: DataFrame, named: DataFrame, sources: DataFrame) -> DataFrame:
-    """The blocks that a lens query finds; an empty query finds none.
+    """The blocks that a lens query finds; a query that says nothing finds none, and ``parse_lens`` tells what is wrong with one.
 
-    Terms that need other tables become flags by left joins, one for each term; the
-    rest are conditions of the row, so the whole query is one filter.
+    The references of all terms are gathered in one pass to a bit mask a block, and the pages to another; each meets the
+    blocks in one join, whatever the number of terms, and the rest are conditions of the row.  A condition that a null
+    leaves open does not hold, so that its negation does.
     """
-    tree = parse_lens(query)
+    tree, _ = parse_lens(query)
     if tree is None:
         return blocks.where("false")
-    df, flags = blocks, []
-
-    def flagged(found: DataFrame, on: list[str]) -> Column:
-        nonlocal df
-        name = f"lens_flag_{len(flags)}"
-        flags.append(name)
-        df = df.join(found.select(*on).distinct().withColumn(name, F.lit(True)), on, "left")
-        return F.coalesce(F.col(name), F.lit(False))
-
-    def same_name(value: str) -> DataFrame:
-        """The names that lead to the same page as ``value``, and itself."""
-        wanted = blocks.sparkSession.createDataFrame([(value,)], "v string").select(F.expr(markup.norm("v")).alias("norm"))
-        page = named.join(F.broadcast(wanted), "norm").select("target")  # one row at most
-        return named.join(F.broadcast(page), "target", "left_semi").select("norm").union(wanted).distinct()
+    terms: list[tuple] = []
 
-    def condition(node: tuple) -> Column:
-        if node[0] == "not":
-            return ~condition(node[1])
-        if node[0] in ("or", "and"):
-            out = condition(node[1])
-            for n in node[2:]:
-                out = out | condition(n) if node[0] == "or" else out & condition(n)
-            return out
+    def gather(node: tuple) -> None:
+        if node[0] == "term":
+            terms.append(node)
+        else:
+            for n in node[1:]:
+                gather(n)
+
+    gather(tree)
+    spark = blocks.sparkSession
+    names = [t for t in dict.fromkeys(terms) if t[1] in ("tag", "ref", "page")]
+    origins = [t for t in dict.fromkeys(terms) if t[1] == "source"]
+    df, bit = blocks, {}
+
+    def mask(found: DataFrame, on: list[str], name: str) -> DataFrame:
+        """A column of the numbers of the terms that hold for a row of ``found``."""
+        return found.groupBy(*on).agg(F.collect_set("term").alias(name))  # no more than terms there are
+
+    if names:
+        wanted = spark.createDataFrame([(i, markup.normed(t[2]), t[1]) for i, t in enumerate(names)], "term int, norm string, kind string")
+        pages_of = named.join(F.broadcast(wanted), "norm").select("term", "kind", "target")  # as many rows as terms, at most
+        alike = named.join(F.broadcast(pages_of), "target").select("term", "kind", "norm").union(wanted.select("term", "kind", "norm")).distinct()
+        by_ref = refs.where("kind <> 'block'").withColumnRenamed("kind", "of").join(F.broadcast(alike), "norm").where("kind = 'ref' or kind = 'tag' and of = 'tag'")
+        df = df.join(mask(by_ref, list(BLOCK), "lens_refs"), list(BLOCK), "left")
+        by_page = pages_of.where("kind = 'page'").select(F.col("target").alias("page_id"), "term")
+        df = df.join(F.broadcast(mask(by_page, ["page_id"], "lens_pages")), "page_id", "left")
+        bit |= {t: F.array_contains("lens_pages" if t[1] == "page" else "lens_refs", i) for i, t in enumerate(names)}
+    if origins:
+        ids = [source_ids(sources, t[2]).withColumn("term", F.lit(i)) for i, t in enumerate(origins)]
+        ids = functools.reduce(DataFrame.unionByName, ids)
+        df = df.join(mask(ids.withColumnRenamed("id", "anchor_source_id"), ["anchor_source_id"], "lens_sources"), "anchor_source_id", "left")
+        made = pages.join(ids.withColumnRenamed("id", "source_id"), "source_id")
+        df = df.join(mask(made, ["page_id"], "lens_made"), "page_id", "left")
+        bit |= {t: F.coalesce(F.array_contains("lens_sources", i), F.lit(False)) | F.coalesce(F.array_contains("lens_made", i), F.lit(False)) for i, t in enumerate(origins)}
+
+    def holds(node: tuple) -> Column:
         _, kind, value = node
-        if kind in ("tag", "ref"):
-            wanted = refs.where("kind = 'tag'" if kind == "tag" else "kind <> 'block'").join(same_name(value), "norm", "left_semi")
-            return flagged(wanted, list(BLOCK))
-        if kind == "page":
-            return flagged(named.join(same_name(value), "norm", "left_semi").select(F.col("target").alias("page_id")), ["page_id"])
-        if kind == "source":
-            ids = source_ids(sources, value)
-            by_page = pages.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-            return flagged(ids.select(F.col("id").alias("anchor_source_id")), ["anchor_source_id"]) | flagged(by_page, ["page_id"])
+        if node in bit:
+            return bit[node]
         if kind == "type":
             return F.col("type") == value
         if kind == "is":
             return F.expr(markup.has_card_tag("text"))
         if kind == "has":
-            return F.coalesce(F.col("anchor_source_id") != "", F.lit(False))
+            return F.col("anchor_source_id") != ""
         if kind in ("before", "after"):
-            day = F.to_date(F.lit(value))
+            day = F.lit(dt.date.fromisoformat(value))
             return F.col("created_at") < day if kind == "before" else F.col("created_at") >= day
-        words = re.findall(r"\w+", value.lower())
         text = F.expr(fold(markup.plain("text")))
+        words = re.findall(r"\w+", folded(value))
         out = F.lit(bool(words))
         for w in words:
             out = out & text.rlike(rf"(?<![\p{{L}}\p{{N}}\p{{M}}]){w}" + ("" if kind == "word" else r"(?![\p{L}\p{N}\p{M}])"))
-        return out & F.regexp_replace(text, r"\s+", " ").contains(" ".join(value.lower().split())) if kind == "phrase" else out
+        return out & F.regexp_replace(text, r"\s+", " ").contains(" ".join(folded(value).split())) if kind == "phrase" else out
+
+    def condition(node: tuple) -> Column:
+        if node[0] == "not":
+            return ~condition(node[1])
+        if node[0] == "term":
+            return F.coalesce(holds(node), F.lit(False))
+        return functools.reduce((lambda a, b: a | b) if node[0] == "or" else (lambda a, b: a & b), map(condition, node[1:]))
 
-    keep = condition(tree)
-    return df.where(keep).drop(*flags)
+    return df.where(condition(tree)).select(*blocks.columns)
 
 
 def source_ids(sources: DataFrame, value: str) -> DataFrame:
     """(id): sources whose id, key, title or file name is ``value``; if none is, those whose title holds it (three characters or more)."""
-    wanted = F.expr(markup.norm("'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"))
+    wanted = F.lit(markup.normed(value))
     normed = [F.expr(markup.norm(c)) for c in ("title", "bib_key", "file_name")]
     exact = (F.col("id") == value) | (normed[0] == wanted) | (normed[1] == wanted) | (normed[2] == wanted)
     rank = F.when(exact, 0).when((F.length(wanted) >= 3) & normed[0].contains(wanted), 1)
@@ -224,7 +299,7 @@ def grouped_results(found: DataFrame, pages: DataFrame, cap: int = 400) -> DataF
 
 def rename_page(pages: DataFrame, blocks: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
     """Pages and blocks after a page has been renamed: its title, and all references that spell the old one."""
-    is_old = F.expr(markup.norm("title")) == " ".join(old.lower().split())
+    is_old = F.expr(markup.norm("title")) == markup.normed(old)
     return pages.withColumn("title", F.when(is_old, F.lit(new)).otherwise(F.col("title"))), blocks.withColumn("text", F.expr(markup.renamed("text", old, new)))
 
 
@@ -235,12 +310,13 @@ def merge_concepts(pages: DataFrame, blocks: DataFrame, gone: str, kept: str) ->
     blocks follow the kept page's, and the page that is gone is marked as trash.
     """
     norm = F.expr(markup.norm("title"))
-    old = pages.where(norm == gone.lower()).select(F.col("page_id").alias("old_id"), F.concat(F.array("title"), "aliases").alias("old_names"))
-    new = pages.where(norm == kept.lower()).select(F.col("page_id").alias("new_id"))
+    gone_norm, kept_norm = markup.normed(gone), markup.normed(kept)
+    old = pages.where(norm == gone_norm).select(F.col("page_id").alias("old_id"), F.concat(F.array("title"), "aliases").alias("old_names"))
+    new = pages.where(norm == kept_norm).select(F.col("page_id").alias("new_id"))
     pair = F.broadcast(old.crossJoin(new))  # one row: a title has one page
     met = pages.join(pair, F.col("page_id") == F.col("new_id"), "left")
     more = F.array_distinct(F.concat("aliases", F.coalesce("old_names", F.array())))
-    after = met.withColumn("aliases", more).drop("old_id", "old_names", "new_id").withColumn("trashed", norm == gone.lower())
+    after = met.withColumn("aliases", more).drop("old_id", "old_names", "new_id").withColumn("trashed", norm == gone_norm)
     last = blocks.join(pair, F.col("page_id") == F.col("new_id"), "left_semi").agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("after"))
     moved = blocks.join(pair, F.col("page_id") == F.col("old_id"), "left").join(F.broadcast(last)).withColumn("ord", F.when(F.col("new_id").isNull(), F.col("ord")).otherwise(F.col("ord") + F.col("after")))
     moved = moved.withColumn("page_id", F.coalesce("new_id", "page_id")).drop("old_id", "old_names", "new_id", "after")
@@ -248,28 +324,45 @@ def merge_concepts(pages: DataFrame, blocks: DataFrame, gone: str, kept: str) ->
 
 
 def link_mention(text: str, name: str) -> str:
-    """SQL for a text whose first mention of a name outside references is made a link; texts with code or mathematics before it stay."""
-    word = r"\s+".join(re.escape(w) for w in name.split())
-    return rf"if({text} rlike r'(?i)^[^`$\[#]*?(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])', regexp_replace({text}, r'(?i)^([^`$\[#]*?)(?<![\p{{L}}\p{{N}}_])({word})(?![\p{{L}}\p{{N}}_])', '$1[[$2]]'), {text})"
+    """SQL for a text whose first mention of a name outside regions and references is made a link."""
+    return markup.link_first(text, name)
 
 
 def retagged(tags: str, old: str, new: str) -> str:
     """SQL for a list of tags with one replaced; of tags that are alike the first spelling stays."""
-    swapped = f"transform({tags}, t -> if({markup.norm('t')} = '{old.lower()}', '{new}', t))"
+    swapped = f"transform({tags}, t -> if({markup.norm('t')} = {markup.literal(markup.normed(old))}, {markup.literal(new)}, t))"
     return f"transform(array_distinct(transform({swapped}, t -> {markup.norm('t')})), n -> filter({swapped}, t -> {markup.norm('t')} = n)[0])"
 
 
 # ------------------------------------------------------------------ snippets
 
 
-def snippet(text: str, word: str, width: int = 180) -> str:
-    """SQL for the part of a text around the first word that begins with ``word``: a third of the width before it, cut at blanks, with ellipses."""
-    hit = rf"coalesce(nullif(length(regexp_extract(lower({text}), r'(?s)^(.*?)(?<![\p{{L}}\p{{N}}]){word}', 1)), 0), 0)"
+def snippet(text: str, words: list[str], width: int = 180, whole: bool = False) -> str:
+    """SQL for the part of a text around the first of the folded ``words``, or words that begin so: (snippet, highlights).
+
+    A third of the width stands before it, cut at blanks, with ellipses; without a hit it is the beginning.  Each
+    highlight is [start, end) in the snippet.  Places are counted in the text as it is written, marks included.
+    """
+    letters = r"\p{L}\p{N}\p{M}"
+    end = rf"(?![{letters}])" if whole else rf"[{letters}]*+"
+    hit = rf"(?iu)(?<![{letters}])(?:{'|'.join(map(spelt, words)) or '(?!)'}){end}"
+    before = f"if({text} rlike r'{hit}', length(regexp_extract({text}, r'(?s)^(.*?){hit}', 1)), 0)"
     third = width // 3
-    raw = f"if({hit} > {third}, {hit} - {third}, 0)"
-    back = f"({raw} - locate(' ', reverse(substring({text}, 1, {raw} + 1))) + 2)"
-    start = f"if({raw} = 0, 0, if(locate(' ', reverse(substring({text}, 1, {raw} + 1))) between 1 and 20, {back}, {raw}))"
-    return f"if({start} > 0, '…', '') || substring({text}, {start} + 1, {width}) || if(length({text}) > {start} + {width}, '…', '')"
+    back = f"locate(' ', reverse(substring(s.t, 1, s.at - {third} + 1)))"
+    begin = f"if(s.at <= {third}, 0, s.at - {third} - if({back} between 1 and 20, {back} - 2, 0))"
+    last = f"locate(' ', reverse(substring(b.t, 1, b.start + {width} + 1)))"
+    stop = f"if(b.start + {width} >= length(b.t), length(b.t), b.start + {width} - if({last} > 0 and {last} - 1 < {width} / 2, {last} - 1, 0))"
+    made = "concat(if(e.start > 0, '…', ''), substring(e.t, e.start + 1, e.stop - e.start), if(e.stop < length(e.t), '…', ''))"
+    gaps, hits = f"split(x, r'{hit}', -1)", f"regexp_extract_all(x, r'{hit}', 0)"
+    marks = (
+        f"aggregate(zip_with({gaps}, {hits}, (g, h) -> named_struct('gap', g, 'hit', h)), named_struct('at', 0, 'out', cast(array() as array<array<int>>)), "
+        "(a, z) -> named_struct('at', a.at + length(z.gap) + coalesce(length(z.hit), 0), 'out', if(z.hit is null, a.out, array_append(a.out, array(a.at + length(z.gap), a.at + length(z.gap) + length(z.hit))))), a -> a.out)"
+    )
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    inner = let(made, "x", f"named_struct('snippet', x, 'highlights', {marks})")
+    placed = let(f"named_struct('t', b.t, 'start', b.start, 'stop', {stop})", "e", inner)
+    begun = let(f"named_struct('t', s.t, 'start', {begin})", "b", placed)
+    return let(f"named_struct('t', {text}, 'at', {before})", "s", begun)
 
 
 # ------------------------------------------------------------------ cards
@@ -286,12 +379,33 @@ def generate_cards(blocks: DataFrame) -> DataFrame:
         "kind", F.expr(r"case when size(numbers) > 0 then 'cloze' when t rlike r'^.+?\S::\s+\S' then 'qa' when t rlike r'\*\*[^*]+\*\*' then 'bold' else 'recall' end")
     )
     each = kinds.withColumn("number", F.explode(F.expr("if(kind = 'cloze', numbers, array(0))")))
-    front = f"""case kind when 'cloze' then {markup.cloze_front('t', 'number')} when 'qa' then trim(regexp_extract(t, r'^(.+?)::', 1))
+    front = f"""case kind when 'cloze' then {cloze.side('t', 'number')} when 'qa' then trim(regexp_extract(t, r'^(.+?)::', 1))
       when 'bold' then regexp_replace(t, r'\\*\\*[^*]+\\*\\*', '[...]') else substring_index(t, ' ', 3) || ' …' end"""
-    back = f"""case kind when 'cloze' then {markup.shown('t')} when 'qa' then trim(regexp_extract(t, r'::\\s+(.*)$', 1)) else t end"""
+    back = f"""case kind when 'cloze' then {cloze.shown('t')} when 'qa' then trim(regexp_extract(t, r'::\\s+(.*)$', 1)) else t end"""
     return each.select(F.concat_ws(":", "id", "number").alias("card_id"), "id", "kind", "number", F.expr(front).alias("front"), F.expr(back).alias("back"))
 
 
+def block_cards(asked: DataFrame) -> DataFrame:
+    """(card_id, id, kind, number, front, back) of (id, type, text, title, context): the cards that a note's blocks ask for.
+
+    Clozes give a card for each number, ``question :: answer`` or a question and the lines below it one.  Else the text
+    is clozed where something is worth hiding, and else it is to be recalled from the page's title, as every block is
+    that is no text.  An empty text gives none.
+    """
+    base = asked.select("id", "type", F.expr(markup.without_card_tag("coalesce(text, '')")).alias("t"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled")).alias("title"), F.expr(markup.without_card_tag("coalesce(context, '')")).alias("about"))
+    made = cloze.with_heuristic_clozes(base, "t", "guess").withColumn("numbers", F.expr(cloze.numbers("t")))
+    question = r"regexp_extract(t, r'(?s)^(.+?)\s::\s', 1)"
+    answer = r"regexp_extract(t, r'(?s)^.+?\s::\s(.*)$', 1)"
+    asks = r"(trim(substring_index(t, '\n', 1)) like '%?' and locate('\n', t) > 1 and trim(substring(t, locate('\n', t) + 1)) <> '')"
+    kind = F.expr(f"case when type <> 'text' then 'recall' when size(numbers) > 0 then 'cloze' when trim({question}) <> '' and trim({answer}) <> '' then 'qa' when {asks} then 'lines' when t = '' then null when guess is not null then 'guess' else 'recall' end")
+    each = made.withColumn("how", kind).where("how is not null")
+    each = each.withColumn("number", F.explode(F.expr(f"case how when 'cloze' then numbers when 'guess' then {cloze.numbers('guess')} else array(0) end")))
+    recalled = "concat('Recall: **', title, '**', if(about = '', '', concat('\n\n', about)))"
+    front = f"case how when 'cloze' then t when 'guess' then guess when 'qa' then trim({question}) when 'lines' then trim(substring_index(t, '\n', 1)) else {recalled} end"
+    back = f"case how when 'qa' then trim({answer}) when 'lines' then trim(substring(t, locate('\n', t) + 1)) when 'recall' then case when t = '' then '' when type = 'math' then concat('$$\n', t, '\n$$') when type = 'code' then concat('```\n', t, '\n```') else t end end"
+    return each.select(F.concat_ws(":", "id", "number").alias("card_id"), "id", F.expr("if(how in ('cloze', 'guess'), 'cloze', 'basic')").alias("kind"), "number", F.expr(front).alias("front"), F.expr(back).alias("back"))
+
+
 def sync_cards(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """(card_id, change): what brings stored cards (card_id, front, back) in line with wanted ones: new, changed, gone or kept."""
     a = stored.select("card_id", F.xxhash64("front", "back").alias("was"))

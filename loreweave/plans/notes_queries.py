@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markup
+from ..functions import cloze, markup
 from ..operators import notes
 from ..sources.notes import blocks, cards, pages, sources
 
@@ -102,7 +102,8 @@ def snippet(spark, sf_dir):
     from ..sources.tables import table
 
     texts = table(spark, sf_dir, "documents").select("doc_id", F.expr("regexp_replace(coalesce(text, ''), r'\\s+', ' ')").alias("text"))
-    return texts.where(r"lower(text) rlike r'(?<![\p{L}\p{N}])erwh'").select("doc_id", F.expr(notes.snippet("text", "erwh")).alias("snippet"))
+    found = texts.where(r"lower(text) rlike r'(?<![\p{L}\p{N}])(erwh|über)'").select("doc_id", F.expr(notes.snippet("text", ["erwh", "uber"])).alias("s"))
+    return found.select("doc_id", "s.snippet", F.expr("array_join(transform(s.highlights, h -> concat_ws('-', h)), ',')").alias("highlights"))
 
 
 def generate_cards(spark, sf_dir):
@@ -198,16 +199,35 @@ def flashcard_tag(spark, sf_dir):
 
 
 def parse_clozes(spark, sf_dir):
-    found = F.explode(F.expr(f"regexp_extract_all(text, r'{markup.CLOZE}', 0)"))
-    each = blocks(spark, sf_dir).select("id", "ord", found.alias("c"))
-    return each.select("id", "ord", *[F.regexp_extract("c", rf"\{{\{{c(\d+)::(.*?)(?:::(.*))?\}}\}}$", g).alias(n) for g, n in ((1, "number"), (2, "answer"), (3, "hint"))])
+    each = blocks(spark, sf_dir).select("id", "ord", F.explode(F.expr(f"filter({cloze.segments('text')}, s -> s.number > 0)")).alias("c"))
+    return each.select("id", "ord", F.col("c.number").cast("string").alias("number"), "c.answer", F.coalesce("c.hint", F.lit("")).alias("hint"))
+
+
+def render_cloze(spark, sf_dir):
+    """Both sides of each cloze of each block, the others' answers shown, without the card tag."""
+    each = blocks(spark, sf_dir).select("id", "ord", F.expr(markup.without_card_tag("text")).alias("t"))
+    each = each.select("id", "ord", "t", F.explode(F.expr(cloze.numbers("t"))).alias("number"))
+    return each.select("id", "ord", "number", F.expr(cloze.side("t", "number", cloze.HIDDEN)).alias("front"), F.expr(cloze.side("t", "number", cloze.REVEALED)).alias("back"))
+
+
+def split_clozes(spark, sf_dir):
+    return blocks(spark, sf_dir).select("id", "ord", F.posexplode(F.expr(cloze.split("text"))).alias("place", "text"))
+
+
+def heuristic_cloze(spark, sf_dir):
+    made = cloze.with_heuristic_clozes(blocks(spark, sf_dir).select("id", "ord", "text"), "text", "clozed")
+    return made.select("id", "ord", "clozed")
+
+
+def block_cards(spark, sf_dir):
+    asked = blocks(spark, sf_dir).where(F.expr(markup.has_card_tag("text"))).join(pages(spark, sf_dir).select("page_id", "title"), "page_id")
+    return notes.block_cards(asked.select("id", "type", "text", "title", F.lit(None).cast("string").alias("context")).dropDuplicates(["id", "text"]))
 
 
 def format_tag(spark, sf_dir):
     name = F.explode(F.expr("array(title, 'w' || page_id, page_id || '', 'a-' || page_id, 'abc' || page_id)"))
     each = pages(spark, sf_dir).select("page_id", name.alias("name"))
-    bare = F.expr(f"name rlike r'{markup.BARE}' and {markup.is_tag_name('name')}")
-    return each.select("name", F.when(bare, F.concat(F.lit("#"), "name")).otherwise(F.concat(F.lit("#[["), "name", F.lit("]]"))).alias("tag"))
+    return each.select("name", F.expr(markup.tag("name")).alias("tag"))
 
 
 def escape_latex(spark, sf_dir):
@@ -266,12 +286,15 @@ NAMES = rf"""names_ as (select norm, arg_min(page_id, (rank, page_id)) target fr
   union all select {NORM.format('a')}, 1, page_id from (select page_id, unnest(aliases) a from pages_)) group by 1)"""
 ALL = f"with {PAGES}, {BLOCKS}, {SOURCES}, {MASKED}, {REFS}, {NAMES}"
 BACK = "back_ as (select distinct n.target, r.page_id, id, ord from refs_ r join names_ n using (norm) where kind <> 'block' and n.target <> r.page_id)"
-PLAIN = r"""plain_ as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '`([^`\n]+)`', '\1', 'g'), '\$([^$\n]+)\$', '\1', 'g'), '!?\[\[[^\[\]\n|]+\|([^\[\]\n]+)\]\]', '\1', 'g'), '!?\[\[([^\[\]\n]+?)(?:#\^[^\[\]\n]*)?\]\]', '\1', 'g'),
-  '(^|[\s(])#([^\s#])', '\1\2', 'g'), '\(\([A-Za-z0-9_-]+\)\)', '', 'g'), '\{\{c\d+::(.*?)(?:::[^}]*)?\}\}', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\s+', ' ', 'g')) p from blocks_)"""
-CLEANED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\s*#flashcard\b', '', 'g'),
-  '\{\{c\d+::(.+?)(?:::[^}]*)?\}\}', '\1', 'g'), '#\[\[([^\]]+)\]\]', '\1', 'g'), '!\[\[([^\]|#]+)(?:#\^[^\]|]+)?(?:\|[^\]]+)?\]\]', '*(see: \1)*', 'g'),
-  '\[\[([^\]|]+)\|([^\]]+)\]\]', '\2', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\(\([A-Za-z0-9_-]{6,}\)\)', '', 'g'), '\s+$', '')"""
+# What is read of each kind of text, and what other readers of Markdown get, written out by the line number that made it.
+PLAIN = r"""plain_ as (select *, case ord % 8 when 1 then 'We use widget ' || s || ' here, and a ghost' when 2 then 'Also W-' || s || ' and Gadget ' || s || ', see'
+    when 3 then 'plain key ' || regexp_extract(text, 'key (\d+)', 1) || ' words on Widget ' || s || ' alone' when 4 then 'Widget ' || s || ' embed draft 123'
+    when 5 then 'code [[Widget 1]] and x #tag at https://a.b/#c Widget ' || s when 6 then 'The answer ' || regexp_extract(text, 'answer (\d+)', 1) || ' of part ' || s || ' flashcard'
+    when 7 then 'What is widget ' || s || ':: part ' || regexp_extract(text, 'part (\d+)', 1) || ' flashcards' else '' end p from (select *, split_part(id, '-', 3) s from blocks_))"""
+CLEANED = r"""case ord % 8 when 1 then 'We use widget  ' || split_part(id, '-', 3) || ' here, and a ghost'
+    when 2 then 'Also #W-' || split_part(id, '-', 3) || ' and Gadget ' || split_part(id, '-', 3) || ', see' || case when length(split_part(id, '-', 1)) < 6 then ' ((' || split_part(id, '-', 1) || '))' else '' end
+    when 4 then '*(see: Widget ' || split_part(id, '-', 3) || ')* embed #draft #123' when 5 then replace(text, '[[Widget 1]]', 'Widget 1')
+    when 6 then 'The answer ' || regexp_extract(text, 'answer (\d+)', 1) || ' of part ' || split_part(id, '-', 3) else text end"""
 HAS_CARD = r"regexp_matches(text, '(?i)(?:^|[ \t])#flashcards?(?:[^\w/-]|$)')"
 STRIPPED = r"""trim(regexp_replace(regexp_replace(text, '(?i)(^|[ \t]+)#flashcards?\b', '\1', 'g'), '[ \t]+', ' ', 'g'))"""
 MADE = rf"""asked as (select distinct page_id, id, ord, {STRIPPED} t from blocks_ where {HAS_CARD}),
@@ -283,7 +306,7 @@ MADE = rf"""asked as (select distinct page_id, id, ord, {STRIPPED} t from blocks
 SQL = {
     "parse_refs": f"{ALL} select page_id, id, ord, kind, norm, block from refs_",
     "plain_text": f"with {BLOCKS}, {PLAIN} select page_id, id, ord, p plain from plain_",
-    "mask_with": f"with {BLOCKS}, {MASKED} select id, ord, m masked from masked_ where \"type\" = 'code'",
+    "mask_with": f"""with {BLOCKS} select id, ord, 'code ' || repeat(' ', 14) || ' and ' || repeat(' ', 8) || ' at ' || repeat(' ', 14) || ' Widget ' || split_part(id, '-', 3) masked from blocks_ where "type" = 'code'""",
     "backlinks": f"{ALL}, {BACK} select * from back_",
     "concepts": f"""{ALL}, t as (select page_id, {NORM.format('title')} title, kind from pages_),
       c as (select coalesce(t.title, r.norm) concept, count(distinct (r.page_id, r.id, r.ord)) blocks from refs_ r left join names_ n using (norm) left join t on t.page_id = n.target where r.kind in ('link', 'tag') group by 1)
@@ -314,11 +337,14 @@ SQL = {
     "merge_concepts": rf"""with {PAGES}, {BLOCKS}, l as (select coalesce(max(ord) + 1, 0) after from blocks_ where page_id = 5)
       select 'page' what, page_id::varchar id, title || '|' || case when page_id = 5 then 'Widget 4,W-4,gadget  4' else array_to_string(aliases, ',') end || '|' || (page_id = 4)::varchar as value from pages_
       union all select 'block', id, case when page_id = 4 then 5 else page_id end || '|' || case when page_id = 4 then ord + after else ord end || '|' || regexp_replace(text, '(?i)(\[\[\s*)widget\s+4(\]\]|#\^|\|)', '\1Widget 5\2', 'g') from blocks_, l""",
-    "link_mention": rf"""with {BLOCKS} select page_id, id, ord, case when regexp_matches(text, '(?i)^[^`$\[#]*?\bwidget\s+3\b') then regexp_replace(text, '(?i)\b(widget\s+3)\b', '[[\1]]') else text end as text from blocks_""",
+    "link_mention": rf"""with {BLOCKS} select page_id, id, ord, case when ord % 8 in (3, 5, 7) then regexp_replace(text, '(?i)\b(widget\s+3)\b', '[[\1]]') else text end as text from blocks_""",
     "tag_list_replace": f"with {SOURCES} select id, array_to_string(case when id = 'src-3' then ['Gadget 3', 'topic ' || split_part(tags[3], ' ', 2)] else tags end, '|') tags from sources_",
-    "snippet": r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') x from documents), h as (select *, length(regexp_extract(lower(x), '(?s)^(.*?(?:^|[^\p{L}\p{N}]))erwh', 1)) hit from t where regexp_matches(lower(x), '(?:^|[^\p{L}\p{N}])erwh')),
-      r as (select *, greatest(0, hit - 60) raw from h), b as (select *, strpos(reverse(x[:raw + 1]), ' ') back from r), s as (select *, case when raw = 0 then 0 when back between 1 and 20 then raw - back + 2 else raw end st from b)
-      select doc_id, case when st > 0 then '…' else '' end || substr(x, st + 1, 180) || case when length(x) > st + 180 then '…' else '' end snippet from s""",
+    "snippet": r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') x from documents), h as (select *, length(regexp_extract(lower(strip_accents(x)), '(?s)^(.*?(?:^|[^\p{L}\p{N}]))(?:erwh|uber)', 1)) hit from t where regexp_matches(lower(x), '(?:^|[^\p{L}\p{N}])(?:erwh|über)')),
+      r as (select *, greatest(0, hit - 60) raw from h), b as (select *, strpos(reverse(x[:raw + 1]), ' ') back from r), s as (select *, case when raw = 0 then 0 when back between 1 and 20 then raw - back + 2 else raw end st from b),
+      e as (select *, strpos(reverse(x[:st + 181]), ' ') cut from s), f as (select *, case when st + 180 >= length(x) then length(x) when cut > 0 and cut - 1 < 90 then st + 181 - cut else st + 180 end en from e),
+      g as (select doc_id, case when st > 0 then '…' else '' end || substr(x, st + 1, en - st) || case when length(x) > en then '…' else '' end snippet, length(x) from f), l as (select *, lower(strip_accents(snippet)) y from g)
+      select doc_id, snippet, array_to_string(list_transform(list_filter(range(length(y)), lambda i: regexp_matches(substr(y, i + 1), '^(erwh|uber)') and (i = 0 or not regexp_matches(substr(y, i, 1), '[\p{L}\p{N}]'))),
+        lambda i: i || '-' || (i + length(regexp_extract(substr(y, i + 1), '^[\p{L}\p{N}]+')))), ',') highlights from l""",
     "generate_cards": f"with {BLOCKS}, {MADE} select card_id, id, kind, number::int number, front, back from made",
     "sync_cards": f"""with {BLOCKS}, {MADE}, m as (select distinct card_id, split_part(id, '-', 3)::int % 4 k from made)
       select card_id, case k when 0 then 'new' when 1 then 'changed' when 2 then 'kept' else 'gone' end change from m""",
@@ -348,6 +374,31 @@ SQL = {
     "flashcard_tag": f"with {BLOCKS} select id, ord, {STRIPPED} as text from blocks_ where {HAS_CARD}",
     "parse_clozes": """select 'b' || l_orderkey || '-6-' || l_suppkey id, l_orderkey * 8 + 6 ord, k::varchar number, case k when 1 then 'answer ' || l_quantity::int else 'part ' || l_suppkey end answer, case k when 1 then '' else 'hint' end hint
       from lineitem, (values (1), (2)) v(k) where l_linenumber = 6""",
+    "render_cloze": """select 'b' || l_orderkey || '-6-' || l_suppkey id, l_orderkey * 8 + 6 ord, k as number,
+        'The ' || case k when 1 then '<span class="cloze cloze-hidden">[...]</span> of part ' || l_suppkey else 'answer ' || l_quantity::int || ' of <span class="cloze cloze-hidden">[hint]</span>' end front,
+        'The ' || case k when 1 then '<mark class="cloze cloze-revealed">answer ' || l_quantity::int || '</mark> of part ' || l_suppkey else 'answer ' || l_quantity::int || ' of <mark class="cloze cloze-revealed">part ' || l_suppkey || '</mark>' end back
+      from lineitem, (values (1), (2)) v(k) where l_linenumber = 6""",
+    "split_clozes": """select 'b' || l_orderkey || '-6-' || l_suppkey id, l_orderkey * 8 + 6 ord, k - 1 place,
+        case k when 1 then 'The {{c1::answer ' || l_quantity::int || '}} of part ' || l_suppkey else 'The answer ' || l_quantity::int || ' of {{c1::part ' || l_suppkey || '::hint}}' end || ' #flashcard' as text
+      from lineitem, (values (1), (2)) v(k) where l_linenumber = 6""",
+    "heuristic_cloze": f"""with {BLOCKS}, n as (select *, split_part(id, '-', 3) s, split_part(id, '-', 1) b, case ord % 8 when 3 then regexp_extract(text, 'key (\\d+)', 1) when 6 then regexp_extract(text, 'answer (\\d+)', 1)
+        when 7 then regexp_extract(text, ':: part (\\d+)', 1) end q from blocks_), m as (select *, length(s) > 1 s2, length(q) > 1 q2 from n),
+      w as (select *, case when s2 then '{{{{c3::Widget}}}} {{{{c2::' || s || '}}}}' else '{{{{c2::Widget}}}} ' || s end named,
+        case when q2 then '{{{{c1::' || q || '}}}}' else q end first, case when s2 and s <> q then '{{{{c' || case when q2 then 2 else 1 end || '::' || s || '}}}}' else s end other from m)
+      select id, ord, case ord % 8 when 1 then 'We use {{{{c1::widget  ' || s || '}}}} here, and {{{{c2::a ghost}}}}'
+        when 2 then 'Also #' || case when s2 then 'W-{{{{c2::' || s || '}}}}' else '{{{{c2::W-' || s || '}}}}' end || ' and #{{{{c1::Gadget ' || s || '}}}}, see ((' || b || '))'
+        when 3 then 'plain **{{{{c1::key ' || q || '}}}}** words on ' || named || ' alone' when 4 then '!{{{{c1::Widget ' || s || '#^' || b || '}}}} embed #draft #{{{{c2::123}}}}'
+        when 5 then 'code `[[Widget 1]]` and {{{{c1::$x #tag$}}}} at https://a.b/#c ' || named
+        when 6 then case when q2 or (s2 and s <> q) then 'The {{{{c1::answer ' || first || '}}}} of {{{{c2::part ' || other || '::hint}}}} #flashcard' end
+        when 7 then case when s2 and q2 and s = q then 'What is widget {{{{c1::' || s || '}}}}:: part ' || q || ' #flashcards'
+          when s2 then 'What is widget {{{{c1::' || s || '}}}}:: part ' || case when q2 then '{{{{c2::' || q || '}}}}' else q end || ' #flashcards'
+          when q2 then 'What is widget ' || s || ':: part {{{{c1::' || q || '}}}} #flashcards' else 'What is {{{{c1::widget ' || s || ':: part ' || q || ' #flashcards}}}}' end end clozed from w""",
+    "block_cards": f"""with {BLOCKS}, n as (select distinct id, ord % 8 l, split_part(id, '-', 3) s, text from blocks_ where {HAS_CARD}),
+      m as (select id, l, s, case l when 6 then regexp_extract(text, 'answer (\\d+)', 1) else regexp_extract(text, ':: part (\\d+)', 1) end q from n),
+      f as (select *, case when l = 6 then 'The {{{{c1::answer ' || q || '}}}} of {{{{c2::part ' || s || '::hint}}}}'
+        when length(s) > 1 then 'What is widget {{{{c1::' || s || '}}}}:: part ' || case when length(q) > 1 and q <> s then '{{{{c2::' || q || '}}}}' else q end
+        when length(q) > 1 then 'What is widget ' || s || ':: part {{{{c1::' || q || '}}}}' else 'What is {{{{c1::widget ' || s || ':: part ' || q || '}}}}' end front from m)
+      select distinct id || ':' || k card_id, id, 'cloze' kind, k as number, front, null::varchar back from f, (values (1), (2)) v(k) where contains(front, '{{{{c' || k || '::')""",
     "format_tag": r"""with n as (select unnest(['Widget ' || p_partkey, 'w' || p_partkey, p_partkey || '', 'a-' || p_partkey, 'abc' || p_partkey]) as name from part)
       select name, case when name like '% %' or regexp_full_match(name, '\d+') or (regexp_full_match(name, '(?i)[0-9a-f]+') and length(name) in (3, 4, 6, 8)) then '#[[' || name || ']]' else '#' || name end tag from n""",
     "escape_latex": rf"""with {BLOCKS} select id, ord, replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '#', '\#'), '$', '\$'), '_', '\_'), '{{', '\{{'), '}}', '\}}'), '%', '\%'), '&', '\&'), '~', '\textasciitilde{{}}'), '^', '\textasciicircum{{}}') latex from blocks_""",
@@ -362,6 +413,6 @@ QUERIES = {
     for f in (
         parse_refs, plain_text, mask_with, backlinks, concepts, outgoing, unlinked_mentions, block_references, blocks_for_source, *map(_lens, LENSES), lens_group_results, rename_page,
         merge_concepts, link_mention, tag_list_replace, snippet, generate_cards, sync_cards, build_queue, review_counts, set_card_flags, palette_recent, palette_sources, match_nodes, scan_sources,
-        highlights_for, snapshot_block, get_block, get_source, resolve_link_target, set_block_text, insert_after, srs_options, flashcard_tag, parse_clozes, format_tag, escape_latex, sink_latex, clean_markdown, sink_markdown,
+        highlights_for, snapshot_block, get_block, get_source, resolve_link_target, set_block_text, insert_after, srs_options, flashcard_tag, parse_clozes, render_cloze, split_clozes, heuristic_cloze, block_cards, format_tag, escape_latex, sink_latex, clean_markdown, sink_markdown,
     )
 }

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from loreweave.operators import notes, records
 
@@ -110,3 +111,76 @@ def test_near_boxes_equal_all_pairs(spark):
     out = {(x.a, x.b) for x in records.near_boxes(spark.createDataFrame(rows, "group int, id int, x double, y double, w double, h double"), 12.0).collect()}
     far = lambda p, s, q, t: max(0, p - q - t, q - p - s)
     assert out == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and far(a[2], a[4], b[2], b[4]) <= 12 and far(a[3], a[5], b[3], b[5]) <= 12}
+
+
+def test_names_count_as_they_are_written(spark):
+    texts = ["vitamin c is good", "the A-B test", "state of the art", "C++ it is", "not C++x nor xC++", "`C++` [[C++]] #c", "a  b and A-B-C", "O'Brien said US$ 5"]
+    blocks = spark.createDataFrame([(9, f"b{i}", i, "text", t, None, DAY) for i, t in enumerate(texts)] + [(9, "n", 99, "text", None, None, DAY)], BLOCKS)
+    titles = ["C++", "A-B", "state-of-the-art", "O'Brien", "US$ 5", "A b"]
+    pages = spark.createDataFrame([(i, t, "note", 1, [], None) for i, t in enumerate(titles)], PAGES)
+    none = blocks.selectExpr("page_id as target", "page_id", "id", "ord").limit(0)
+    found = {(titles[r.target], r.id) for r in notes.mentions(blocks, notes.names(pages), none).collect()}
+    assert found == {("A-B", "b1"), ("C++", "b3"), ("A b", "b6"), ("A-B", "b6"), ("O'Brien", "b7"), ("US$ 5", "b7")}
+    assert notes.mentions(blocks, notes.names(pages.limit(0)), none).count() == 0
+
+
+def test_mentions_without_a_list_of_first_words(spark, monkeypatch):
+    monkeypatch.setattr(notes, "FIRST_WORDS", 1)
+    blocks = spark.createDataFrame([(9, "x", 0, "text", "a one two and Three four", None, DAY)], BLOCKS)
+    pages = spark.createDataFrame([(i, t, "note", 1, [], None) for i, t in enumerate(["one two", "three Four", "two three"])], PAGES)
+    none = blocks.selectExpr("page_id as target", "page_id", "id", "ord").limit(0)
+    assert {r.target for r in notes.mentions(blocks, notes.names(pages), none).collect()} == {0, 1}
+
+
+def test_lens_over_nulls_accents_and_marks(spark):
+    rows = [("a", "text", "Café au lait", None, DAY), ("b", None, None, None, None), ("c", "math", "cafe C++ it's", "src-a", dt.date(2020, 1, 1))]
+    blocks = spark.createDataFrame([(1, i, k, t, x, s, d) for k, (i, t, x, s, d) in enumerate(rows)], BLOCKS)
+    pages = spark.createDataFrame([(1, "P's \\ \"page\"", "note", 1, [], None)], PAGES)
+    sources = spark.createDataFrame([("src-a", "It's 100% \\d", None, None)], "id string, title string, file_name string, bib_key string")
+    find = lambda q: {r.id for r in notes.lens(q, blocks, notes.references(blocks), pages, notes.names(pages), sources).collect()}
+    for query, expected in (
+        ("café", "ac"), ("CAFE", "ac"), ('"café AU"', "a"), ("-type:math", "ab"), ("-cafe", "b"), ("-is:flashcard", "abc"), ("-before:2021-01-01", "ab"), ("before:2021-01-01", "c"), ("after:2020-01-01", "ac"),
+        ("before:abc", ""), ("type:nonsense", ""), ("is:x cafe", "ac"), ("has:anchor", "c"), ("-has:anchor", "ab"), ("source:\"it's 100% \\d\"", "c"), ("src:src-a OR type:text", "ac"), ("(-(cafe))", "b"), ("--cafe", "b"), ("c++", "ac"),
+        ("foo:bar", ""), ("it's", "c"),
+    ):
+        assert "".join(sorted(find(query))) == expected, query
+
+
+def test_what_is_wrong_with_a_lens():
+    wrong = lambda q: notes.parse_lens(q)[1]
+    assert wrong('(#rl OR #[[deep rl]]) "value function" after:2026-01-01 -(is:flashcard has:anchor)') == []
+    assert notes.parse_lens('[[RL]] OR source:"Paper A" -tag:draft type:Math')[0] == ("or", ("term", "ref", "RL"), ("and", ("term", "source", "Paper A"), ("not", ("term", "tag", "draft")), ("term", "type", "math")))
+    assert notes.parse_lens("foo:bar") == (("term", "word", "foo:bar"), ['Unknown filter "foo:" (searching it as text)'])
+    assert notes.parse_lens("") == (None, [])
+    for query, error in (
+        ("type:foo", "Unknown block type"), ("before:yesterday", "Invalid date"), ("after:2026-02-30", "Invalid date"), ("(a", 'Missing ")"'), ("a)", 'Unmatched ")"'), ("tag:", "Missing value"), ('"open', "Unclosed quote"),
+        ("[[open", "Unclosed [["), ("a OR", "OR without"), ("is:x", "Unknown filter is:x"), ("((a)", 'Missing ")"'),
+    ):
+        assert any(e.startswith(error) for e in wrong(query)), query
+    assert notes.parse_lens("a-b -c - d") == (("and", ("term", "word", "a-b"), ("not", ("term", "word", "c")), ("term", "word", "-"), ("term", "word", "d")), [])
+
+
+def test_snippets_over_many_words(spark):
+    show = lambda text, words, **kw: spark.createDataFrame([(text,)], "t string").select(F.expr(notes.snippet("t", words, **kw)).alias("s")).first().s
+    got = show("Über café, cafés and C++ here", ["uber", "cafe"])
+    assert got.snippet == "Über café, cafés and C++ here" and got.highlights == [[0, 4], [5, 9], [11, 16]]
+    assert show("Über café, cafés", ["cafe"], whole=True).highlights == [[5, 9]]
+    long = "word " * 40 + "needle " + "tail " * 60
+    got = show(long, ["needle"])
+    assert got.snippet.startswith("…") and got.snippet.endswith("…") and [got.snippet[a:b] for a, b in got.highlights] == ["needle"] and len(got.snippet) <= 182
+    assert not got.snippet.strip("…").startswith(" ") and got.snippet.strip("…").split() == [w for w in got.snippet.strip("…").split() if w in ("word", "needle", "tail")]
+    assert show("nothing (here", ["c++", "x.*"]).highlights == [] and show("", []).snippet == ""
+    assert show("e\u0301cole", ["ecole"]).highlights == [[0, 6]]
+
+
+def test_renaming_with_marks_in_names(spark):
+    blocks = spark.createDataFrame([(1, "x", 0, "text", "[[O'Brien]] #[[us$ 5]] `[[O'Brien]]` O'Brien", None, DAY)], BLOCKS)
+    pages = spark.createDataFrame([(2, "O'Brien", "note", 1, [], None), (3, "US$ 5", "concept", 1, [], None), (4, "x\\\\1", "concept", 1, [], None)], PAGES)
+    after, changed = notes.rename_page(pages, blocks, "o'brien", "A $1 \\\\ b")
+    assert changed.first().text == "[[A $1 \\\\ b]] #[[us$ 5]] `[[O'Brien]]` O'Brien" and {r.title for r in after.collect()} == {"A $1 \\\\ b", "US$ 5", "x\\\\1"}
+    after, changed = notes.merge_concepts(pages, blocks, "US$ 5", "x\\\\1")
+    assert changed.first().text.startswith("[[O'Brien]] #[[x\\\\1]]") and {r.page_id for r in after.where("trashed").collect()} == {3}
+    tags = spark.createDataFrame([(["It's", "b"],)], "t array<string>").select(F.expr(notes.retagged("t", "it's", "B"))).first()[0]
+    assert tags == ["B"]
+    linked = blocks.select(F.expr(notes.link_mention("text", "o'brien"))).first()[0]
+    assert linked == "[[O'Brien]] #[[us$ 5]] `[[O'Brien]]` [[O'Brien]]"
