@@ -13,21 +13,30 @@ from ..functions import text as tx
 
 #: Words that do not count in an acronym, and a plural's ending.
 MINOR = "of the a an and for in on to with by at from".split()
+#: Plurals that follow no rule, and words that only look like one.
+IRREGULAR = dict(
+    matrices="matrix", indices="index", vertices="vertex", analyses="analysis", hypotheses="hypothesis", theses="thesis", axes="axis", criteria="criterion",
+    phenomena="phenomenon", children="child", people="person", mice="mouse", men="man", women="woman", series="series", species="species", bias="bias", alias="alias",
+    atlas="atlas", canvas="canvas", gas="gas",
+)
 #: Rows of a block that are all compared; a larger block is compared with its nearest neighbours in order.
 WHOLE_BLOCK, NEAR = 120, 12
 
 
 def singular(w: str) -> str:
     """SQL for a word without its English plural."""
+    known = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in IRREGULAR.items()) + ")"
     return (
-        f"case when length({w}) <= 3 then {w} when {w} rlike 'ies$' and length({w}) > 4 then concat(left({w}, length({w}) - 3), 'y') "
-        f"when {w} rlike '(sses|(x|ch|sh|zz)es)$' then left({w}, length({w}) - 2) when {w} rlike '(ss|us|is|ics)$' then {w} "
-        f"when {w} rlike 's$' then left({w}, length({w}) - 1) else {w} end"
+        f"coalesce({known}[{w}], case when length({w}) <= 3 or not {w} like '%s' then {w} when {w} rlike 'ies$' and length({w}) > 4 then concat(left({w}, length({w}) - 3), 'y') "
+        f"when {w} rlike '(sses|(x|ch|sh|zz)es)$' then left({w}, length({w}) - 2) when {w} rlike '(ss|us|is|ics)$' then {w} else left({w}, length({w}) - 1) end)"
     )
 
 
 def concept_tokens(title: str) -> str:
-    return f"transform({tx.terms(title)}, w -> {singular('w')})"
+    """SQL for the words of a name as names are compared: folded, singular; the plural of capitals loses its s alone."""
+    capitals = r"w rlike r'^[\p{Lu}\p{N}]*\p{Lu}[\p{Lu}\p{N}]*s$' and length(w) >= 3"
+    word = f"if({capitals}, {tx.fold('left(w, length(w) - 1)')}, {singular(tx.fold('w'))})"
+    return f"transform(regexp_extract_all({title}, r'{tx.WORD}', 0), w -> {word})"
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -76,7 +85,7 @@ def merge_candidates(concepts: DataFrame, min_score: float = 0.85) -> DataFrame:
             F.array_join(F.array_sort("tokens"), " ").alias("bag"),
             F.expr(f"array_join(transform(filter(tokens, t -> t not in ({tx.quoted(MINOR)})), t -> left(t, 1)), '')").alias("initials"),
             F.expr("regexp_replace(title, '[^0-9]', '')").alias("digits"),
-            F.expr("size(tokens) = 1 and title rlike '^[A-Z0-9]{2,8}s?$' and title rlike '[A-Z]'").alias("short"),
+            F.expr(r"size(tokens) = 1 and regexp_replace(title, r'[^\p{L}\p{N}]', '') rlike r'^[\p{Lu}\p{N}]{2,8}s?$' and title rlike r'\p{Lu}'").alias("short"),
         )
     )
     keys = "concat(transform(tokens, t -> concat('p:', left(t, 3))), array(concat('s:', bag)), if(size(tokens) > 1, array(concat('a:', initials)), array()), if(short, array(concat('a:', norm)), array()))"
