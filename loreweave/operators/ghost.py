@@ -18,6 +18,13 @@ LONG = 6
 FIRST_WORDS = 1000
 
 
+def word_df(concepts: DataFrame) -> DataFrame:
+    """(word, df): in how many concepts (title, aliases) each word stands, folded and singular."""
+    names = concepts.select("title", F.explode(F.expr("concat(array(title), coalesce(aliases, array()))")).alias("name"))
+    words = names.select("title", F.explode(F.expr(concept_tokens("name"))).alias("word")).distinct()
+    return words.groupBy("word").agg(F.count("*").alias("df"))
+
+
 def forms(concepts: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(form, concept, title, tokens, n, run, acronym, initials, weight): every name of (title, count, aliases) that can be matched.
 
@@ -27,7 +34,7 @@ def forms(concepts: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     numbered = concepts.select(F.xxhash64("title").alias("concept"), "title", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
     every = numbered.select("concept", "title", "count", F.posexplode(F.expr("concat(array(title), aliases)")).alias("at", "name"))
     shaped = every.select("concept", "title", "count", "at", "name", F.expr(concept_tokens("name")).alias("tokens")).where("size(tokens) > 0")
-    words = shaped.select("concept", F.explode("tokens").alias("t")).distinct().groupBy("t").agg(F.count("*").alias("df"))
+    words = word_df(concepts).withColumnRenamed("word", "t")
     total = numbered.agg(F.count("*").alias("total"))
     stop = f"t in ({tx.quoted(tx.STOP_WORDS)})"
     idf = F.when(F.expr(stop), 0.0).otherwise(F.log(1 + F.col("total") / F.col("df")))

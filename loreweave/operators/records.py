@@ -118,33 +118,31 @@ def near_boxes(boxes: DataFrame, gap: float) -> DataFrame:
 
 
 def remote_plan(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(id, key, action): what a sync with a remote library does.
+    """(id, key, action): what a sync with a remote library does, its records read in the order of their ids.
 
-    Records (id, link, doi, title, year, stamp, synced) and items (key, doi, title, year, version)
-    meet by link, else by DOI, else by title and year, each once.  A linked record whose item is
-    newer than ``synced`` is updated here, one that is newer itself there; one
-    that meets nothing is created there, an item that meets nothing is remote only, and a link to nothing is undone.
+    Records (id, link, doi, title, year, stamp, synced) and items (key, doi, title, year, version) meet by link.  A record
+    without one looks for the first item of its DOI, else of its title and year; if another has that item already, by a
+    link or as an earlier record, it looks no further.  A linked record whose item is newer than ``synced`` is updated
+    here, one that is newer itself there; a record that meets nothing is created there, an item that meets nothing is
+    remote only, and a link to nothing is undone.
     """
     linked = ours.where("link is not null").join(theirs.withColumnRenamed("key", "link"), "link", "left").select("id", F.col("link").alias("key"), F.col("version"), "stamp", "synced")
     action = F.when(F.col("version").isNull(), "unlink").when(F.col("version") > F.col("synced"), "update local").when(F.col("stamp") > F.col("synced"), "update remote").otherwise("same")
     done = linked.select("id", "key", action.alias("action"))
-    free = theirs.join(done.select("key"), "key", "left_anti")
-    loose = ours.where("link is null")
-    out = [done]
-    for names in (["doi"], ["title", "year"]):
-        by = [F.lower(F.trim(F.col(n).cast("string"))).alias(f"k{i}") for i, n in enumerate(names)]
-        keys = [f"k{i}" for i in range(len(names))]
-        mine = loose.select("*", *by).where(" and ".join(f"{k} <> ''" for k in keys)).groupBy(*keys).agg(F.min("id").alias("id"))
-        other = free.select("*", *by).where(" and ".join(f"{k} <> ''" for k in keys)).groupBy(*keys).agg(F.min("key").alias("key"))
-        met = mine.join(other, keys).select("id", "key", F.lit("link").alias("action"))
-        out.append(met)
-        loose, free = loose.join(met.select("id"), "id", "left_anti"), free.join(met.select("key"), "key", "left_anti")
-    out.append(loose.select("id", F.lit(None).cast("string").alias("key"), F.lit("create").alias("action")))
-    out.append(free.select(F.lit(None).cast(ours.schema["id"].dataType).alias("id"), "key", F.lit("remote only").alias("action")))
-    made = out[0]
-    for o in out[1:]:
-        made = made.unionByName(o)
-    return made
+    loose, wanted = ours.where("link is null"), None
+    for rank, names in enumerate((["doi"], ["title", "year"])):
+        keys = {f"k{i}": F.lower(F.trim(F.col(n).cast("string"))) for i, n in enumerate(names)}
+        named = lambda d: d.withColumns(keys).where(" and ".join(f"{k} <> ''" for k in keys))  # noqa: B023, E731
+        first = named(theirs).groupBy(*keys).agg(F.min("key").alias("key"))
+        met = named(loose).join(first, [*keys]).select("id", F.struct(F.lit(rank).alias("rank"), "key").alias("way"))
+        wanted = met if wanted is None else wanted.unionByName(met)
+    chosen = wanted.groupBy("id").agg(F.min("way").alias("way")).select("id", "way.key")
+    free = chosen.join(done.select("key"), "key", "left_anti")
+    links = free.groupBy("key").agg(F.min("id").alias("id")).select("id", "key", F.lit("link").alias("action"))
+    new = loose.join(links.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("key"), F.lit("create").alias("action"))
+    kept = done.unionByName(links)
+    rest = theirs.join(kept.where("action <> 'unlink'").select("key"), "key", "left_anti")
+    return kept.unionByName(new).unionByName(rest.select(F.lit(None).cast(ours.schema["id"].dataType).alias("id"), "key", F.lit("remote only").alias("action")))
 
 
 FIELD = re.compile(r"\s*([A-Za-z][\w-]*)\s*=\s*")

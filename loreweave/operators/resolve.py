@@ -142,20 +142,28 @@ def cite_keys(records: DataFrame) -> DataFrame:
 
 
 def bib_match(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """(entry_id, source_id, how): the source of each entry by DOI, else title and year, else a title that is one source's alone.
+    """(entry_id, source_id, how): the source that each entry of a bibliography names, read in the order of their ids.
 
-    A source is claimed once, by the entry with the best way and then the smallest id.
+    An entry names the source of its own id (``ref``), else of its cite key in any case, of its DOI, of its title and
+    year, or the only one of its title; of several sources the last counts.  An entry whose source an earlier one has
+    named is passed over: it does not look further.  Both tables have id, doi, title and year; entries may have ref and
+    key, sources key.
     """
     doi, title = cite.normalize_doi("doi"), cite.title_key("title")
-    shape = lambda d: d.select("id", F.expr(doi).alias("doi"), F.expr(title).alias("tk"), F.expr(f"concat({title}, '|', coalesce(cast(year as string), ''))").alias("ty"))
-    e, s = shape(entries), shape(sources)
-    by = lambda key, pick, how, rank: (
-        e.join(s.where(f"{key} is not null").groupBy(key).agg(pick.alias("source_id"), F.count("*").alias("n")), key).where("n = 1" if how == "title" else "true").select(F.col("id").alias("entry_id"), "source_id", F.lit(how).alias("how"), F.lit(rank).alias("rank"))
-    )
-    found = by("doi", F.max("id"), "doi", 1).unionByName(by("ty", F.max("id"), "title-year", 2)).unionByName(by("tk", F.max("id"), "title", 3))
-    first = found.withColumn("k", F.row_number().over(Window.partitionBy("entry_id").orderBy("rank"))).where("k = 1")
-    claimed = first.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("rank", "entry_id"))).where("k = 1")
-    return claimed.select("entry_id", "source_id", "how")
+    has = lambda d, c: F.col(c) if c in d.columns else F.lit(None).cast("string")
+    shape = lambda d: d.select(
+        "id", F.expr(doi).alias("doi"), F.expr(title).alias("tk"), F.expr(f"concat({title}, '|', coalesce(cast(year as string), ''))").alias("ty"),
+        F.lower(has(d, "key")).alias("key"), has(d, "ref").cast("string").alias("ref"),
+    )
+    e, s = shape(entries), shape(sources).withColumn("ref", F.col("id").cast("string"))
+    ways = (("ref", "id"), ("key", "cite key"), ("doi", "doi"), ("ty", "title-year"), ("tk", "title"))
+    found = None
+    for rank, (column, how) in enumerate(ways):
+        last = s.where(f"{column} <> ''").groupBy(column).agg(F.max("id").alias("source_id"), F.count("*").alias("n")).where("n = 1" if column == "tk" else "true")
+        met = e.join(last, column).select(F.col("id").alias("entry_id"), F.struct(F.lit(rank).alias("rank"), "source_id", F.lit(how).alias("how")).alias("way"))
+        found = met if found is None else found.unionByName(met)
+    first = found.groupBy("entry_id").agg(F.min("way").alias("way"))
+    return first.groupBy(F.col("way.source_id").alias("source_id")).agg(F.min(F.struct("entry_id", "way.how")).alias("e")).select("e.entry_id", "source_id", "e.how")
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..operators import records, resolve
+from ..functions import markup, scalars
+from ..operators import ghost, records, resolve
+from ..sources import notes as notes_source
 from ..sources.tables import search_docs, table
+from .notes_queries import BLOCKS, PAGES, PLAIN
 from .search_queries import SQL as SEARCH_SQL
 from .search_queries import bm25_search
 
@@ -175,33 +177,35 @@ def digest(spark, sf_dir):
     return state.groupBy((F.col("writer") % 10).alias("doc")).agg(F.expr("md5(array_join(transform(array_sort(collect_list(struct(writer, n, clock))), s -> s.writer || ':' || s.n || ':' || s.clock), ';'))").alias("digest"))
 
 
-def concept_df(spark, sf_dir):
-    words = F.explode(F.expr(r"array_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), r'[\p{L}\p{N}]+', 0))"))
-    return table(spark, sf_dir, "part").select("p_partkey", words.alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+def _concepts(spark, sf_dir):
+    """(title, count, aliases): the vault's pages as concepts; a part's size stands for how often one is used."""
+    named = notes_source.pages(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_size").alias("count")), "page_id")
+    return named.select("title", "count", "aliases")
 
 
-def ghost_tags(spark, sf_dir):
-    """(doc_id, tag, score): concepts whose one word stands in a document, by how often and how common; the best eight a document."""
-    from pyspark.sql.window import Window
+def _noted(spark, sf_dir):
+    """(doc_id, text): every block's plain text."""
+    return notes_source.blocks(spark, sf_dir).select(F.concat_ws(":", "page_id", "id").alias("doc_id"), F.expr(markup.plain("text")).alias("text")).distinct()
 
-    from ..functions.text import index_terms
 
-    tags = table(spark, sf_dir, "documents").select(F.explode(F.expr(index_terms("coalesce(text, '')"))).alias("tag")).where("length(tag) between 6 and 7").groupBy("tag").agg(F.count("*").alias("n")).where("n >= 20")
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.expr(index_terms("coalesce(text, '')"))).alias("tag")).groupBy("doc_id", "tag").agg(F.count("*").alias("occ")).join(tags, "tag")
-    raw = "(1 + ln(occ)) * (1 + 0.3D * ln(1 + n)) * 0.5D"
-    scored = found.select("doc_id", "tag", F.round(F.expr(f"{raw} / ({raw} + 2.5D)"), 6).alias("score")).where("score >= 0.25")
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))).where("k <= 8").drop("k")
+def concept_df(spark, sf_dir):
+    """(word, df): in how many concepts' names each word stands."""
+    return ghost.word_df(_concepts(spark, sf_dir))
+
+
+def ghost_tags(spark, sf_dir):
+    return ghost.suggestions(_noted(spark, sf_dir), _concepts(spark, sf_dir)).drop("rank")
 
 
 def ghost_tags_merge_ai(spark, sf_dir):
-    """Local scores and a ranked list from elsewhere: agreement adds 0.2, what only the list has starts at 0.55 and falls by rank."""
-    own = ghost_tags(spark, sf_dir)
-    listed = own.where("length(tag) = 6").select("doc_id", "tag").distinct().unionByName(own.select("doc_id", F.lit("outside").alias("tag")).distinct()).withColumn("rank", F.length("tag") - 6)
-    return own.join(listed, ["doc_id", "tag"], "full_outer").select("doc_id", "tag", F.round(F.least(F.lit(1.0), F.expr("case when score is null then 0.55D - 0.02D * rank when rank is null then score else score + 0.2D end")), 6).alias("score"))
+    """Own tags and those of an answer in words, which every block has: a concept in the plural, and a name that is none."""
+    answers = _noted(spark, sf_dir).select("doc_id", F.expr("concat('Sure: ```[\"#widgets ', substring_index(doc_id, '-', -1), '\", {\"tag\": \"[[Topic ', length(doc_id), ']]\"}]```')").alias("answer"))
+    return ghost.with_answers(ghost.suggestions(_noted(spark, sf_dir), _concepts(spark, sf_dir), most=16), answers, _concepts(spark, sf_dir))
 
 
 def rank_ghost(spark, sf_dir):
-    return ghost_tags(spark, sf_dir).where("doc_id = 1").orderBy(F.desc("score"), "tag").limit(3)
+    """The best two tags of every block."""
+    return ghost.suggestions(_noted(spark, sf_dir), _concepts(spark, sf_dir), most=2)
 
 
 def search_pages(spark, sf_dir):
@@ -370,9 +374,13 @@ REMOTE = """o_ as (select p_partkey k, p_size sz, p_partkey % 4 = 0 linked, p_pa
     union all select k, null, 'create' from o_ where not linked and not (there and ((has_doi and their_doi) or sz = their_year))
     union all select null, 'Z' || k, 'remote only' from o_ where there and not linked and not ((has_doi and their_doi) or sz = their_year))"""
 TERMS = SEARCH_SQL["bm25_search"]
-GHOST = r"""w_ as (select doc_id, unnest(list_filter(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}\p{M}]+'), lambda t: length(t) between 6 and 7)) tag from documents),
-  n_ as (select tag, count(*) n from w_ group by 1 having count(*) >= 20), s_ as (select doc_id, tag, (1 + ln(count(*))) * (1 + 0.3 * ln(1 + any_value(n))) * 0.5 raw from w_ join n_ using (tag) group by 1, 2),
-  g_ as (select doc_id, tag, round(raw / (raw + 2.5), 6) score from s_ qualify row_number() over (partition by doc_id order by round(raw / (raw + 2.5), 6) desc, tag) <= 8)"""
+GHOST = rf"""{PAGES}, {BLOCKS}, {PLAIN}, t_ as (select distinct page_id || ':' || id doc_id, regexp_extract_all(lower(p), '[a-z0-9]+') t from plain_),
+  i_ as (select doc_id, t, unnest(range(1, len(t) + 1)) i from t_), f_ as (select p_partkey n, 'widget' w, p_size c from part union all select p_partkey, unnest(['w', 'gadget']), p_size from part where p_partkey % 2 = 0),
+  d_ as (select w, count(*) df from f_ group by 1), m_ as (select a.doc_id, f.n, f.w, f.c, count(*) filter (b.i = a.i + 1) exact, bool_or(abs(b.i - a.i) <= 3) near
+    from i_ a join i_ b on a.doc_id = b.doc_id and a.t[a.i] in ('widget', 'w', 'gadget') and regexp_full_match(b.t[b.i], '[0-9]+') join f_ f on f.w = a.t[a.i] and f.n = b.t[b.i]::bigint group by all),
+  r_ as (select doc_id, 'Widget ' || n tag, max((1 + ln(greatest(exact, 1))) * (ln(1 + p / df) + ln(1 + p)) / 2 * 1.25 * (1 + 0.3 * ln(1 + c)) * case when exact > 0 then 1 else 0.6 end) raw
+    from m_ join d_ using (w), (select count(*)::double p from part) where exact > 0 or near group by all),
+  g_ as (select doc_id, tag, round(raw / (raw + 2.5), 3) score, row_number() over (partition by doc_id order by round(raw / (raw + 2.5), 3) desc, tag) k from r_)"""
 SQL = {
     "detect_kind": "select page_id, case page_id % 6 when 0 then 'pdf' when 1 then case when page_id % 4 = 1 then 'ppt' end when 2 then 'epub' when 3 then 'pptx' end kind from pages",
     "pdf_toc": "select o_custkey doc_id, o_orderkey i, (o_orderkey % 9)::int \"level\", o_orderpriority title from orders where o_orderkey % 9 < 6 qualify row_number() over (partition by o_custkey order by o_orderkey) <= 5",
@@ -401,11 +409,13 @@ SQL = {
     "update_source": "select s_suppkey id, case when s_suppkey % 3 = 0 then upper(s_name) else s_name end title, (s_suppkey % 3 = 0)::int updated_at from supplier",
     "restore_source": "select s_suppkey id, s_name title from supplier where s_suppkey % 4 <> 0 or s_suppkey % 8 = 0 or s_suppkey in (select l_suppkey from lineitem where l_quantity > 45)",
     "digest": "with s as (select user_id w, count(*) n, max(event_id) c from events group by 1) select w % 10 doc, md5(string_agg(w || ':' || n || ':' || c, ';' order by w)) digest from s group by 1",
-    "concept_df": r"select word, count(distinct p_partkey) df from (select p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}]+')) word from part) group by 1",
-    "ghost_tags": f"with {GHOST} select * from g_ where score >= 0.25",
-    "ghost_tags_merge_ai": f"""with {GHOST}, o as (select * from g_ where score >= 0.25) select doc_id, tag, round(least(1.0, score + case when length(tag) = 6 then 0.2 else 0 end), 6) score from o
-      union all select distinct doc_id, 'outside', 0.53 from o""",
-    "rank_ghost": f"with {GHOST} select * from g_ where doc_id = 1 and score >= 0.25 order by score desc, tag limit 3",
+    "concept_df": "select 'widget' word, count(*) df from part union all select unnest(['w', 'gadget']), count(*) from part where p_partkey % 2 = 0 union all select p_partkey::varchar, 1 from part",
+    "ghost_tags": f"with {GHOST} select doc_id, tag, score from g_ where k <= 8",
+    "ghost_tags_merge_ai": f"""with {GHOST}, s_ as (select doc_id, 'Widget ' || split_part(doc_id, '-', 3) tag, 0.55 score from t_ union all select doc_id, 'Topic ' || length(doc_id), 0.38 from t_),
+      u_ as (select doc_id, tag, case when g.tag is null then s.score else least(1.0, g.score + case when s.tag is null then 0 else 0.2 end) end score, case when g.tag is null then 'ai' when s.tag is null then 'graph' else 'both' end origin,
+        tag like 'Widget %' existing from (select * from g_ where k <= 16) g full join s_ s using (doc_id, tag))
+      select doc_id, tag, round(score, 3) score, origin, existing from u_ qualify row_number() over (partition by doc_id order by round(score, 3) desc, tag) <= 8""",
+    "rank_ghost": f"""with {GHOST} select doc_id, tag, score, k::int as "rank" from g_ where k <= 2""",
     "search_pages": f"""with hits as ({TERMS}), d as (select doc_id, text, false page from documents union all select -1 - page_id, regexp_extract(html, '<title>([^<]*)</title>', 1), true from pages)
       select query_id, doc_id, case when page then text else 'Document ' || doc_id end title, case when lower(text) = 'the' then score * 2 else score end score from hits join d using (doc_id)""",
     "commit_budget": """with recursive o as (select o_custkey repo, 'p' || o_orderkey path, o_totalprice::decimal(20, 2) p, row_number() over (partition by o_custkey order by o_orderkey) k from orders), z as (select repo, path, k, trunc(p)::bigint size from o),

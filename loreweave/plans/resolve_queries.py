@@ -106,7 +106,7 @@ SQL = {
         union all select e.id, max(s.id), 'title-year', 2 from e join s on e.t = s.t and e.y = s.y group by 1
         union all select e.id, max(s.id), 'title', 3 from e join s on e.t = s.t group by 1 having count(*) = 1),
       o as (select * from f qualify row_number() over (partition by entry_id order by rk) = 1)
-      select entry_id, source_id, how from o qualify row_number() over (partition by source_id order by rk, entry_id) = 1""",
+      select entry_id, source_id, how from o qualify row_number() over (partition by source_id order by entry_id) = 1""",
     "normalize_doi": rf"""select p_partkey, case when regexp_matches(d, '^10\.\d{{4,9}}/\S+$') then d end doi from (select p_partkey, {DOI.format("case p_partkey % 4 when 0 then 'https://doi.org/10.1000/AB' || p_partkey when 1 then 'doi: 10.55/' || p_name when 2 then '10.1234/x.' || p_partkey else 'none' end")} d from part)""",
     "title_year_key": f"select p_partkey id, {KEY.format(chr(39) + 'The ' + chr(39) + ' || p_name')} || '|' || p_size title_year from part",
     "find_identifiers": """select p_partkey, '10.' || (1000 + p_partkey) || '/ab.' || p_size doi, case when p_partkey < 9000 then (1000 + p_partkey) || '.' || (10000 + p_size) end arxiv,
