@@ -47,13 +47,20 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return indexed(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+#: Terms that go into the scan as a filter; with more of them the postings are joined whole.
+PUSHED = 10_000
+
+
 def write_index(docs: DataFrame, path: str) -> None:
-    """Postings and corpus statistics as tables under ``path``: a search then reads the row groups of its terms alone.
+    """Postings, the dictionary and corpus statistics as tables under ``path``.
 
-    Postings are dealt out by ranges of terms and sorted, so that minima and maxima prune.
+    Postings are dealt out by ranges of terms and sorted, so that the row groups of other terms are not read; the
+    dictionary has each term's number of documents, so that no search counts them anew.
     """
     by_term = postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     by_term.write.mode("overwrite").parquet(f"{path}/postings")
+    known = doc_freq(docs.sparkSession.read.parquet(f"{path}/postings"))
+    known.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     corpus_stats(docs).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -61,6 +68,18 @@ def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
+def search_stored(spark, path: str, queries: list[str], limit: int = 20, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
+    """As ``search_index`` over the index under ``path``: the queries' terms are looked up first and then go into the scan of the postings."""
+    posts, stats = read_index(spark, path)
+    tokens = query_tokens(spark, queries, prefix, fuzzy)
+    found = expansions(spark.read.parquet(f"{path}/terms"), tokens)
+    rows = found.limit(PUSHED + 1).collect()  # at most 12 x 57 rows a query
+    if len(rows) <= PUSHED:
+        found = spark.createDataFrame(rows, found.schema)
+        posts = posts.where(F.col("term").isin(sorted({r.term for r in rows})))
+    return _ranked(posts, stats, found, tokens, limit)
+
+
 def query_tokens(spark, queries: list[str], prefix: bool = True, fuzzy: bool = True) -> DataFrame:
     """(query_id, grp, token, as_prefix, as_fuzzy): at most twelve different words a query.
 
@@ -123,10 +142,13 @@ def search_index(posts: DataFrame, stats: DataFrame, queries: list[str], limit:
     is cut to the share of words matched, words that the index lacks included.
     """
     tokens = query_tokens(posts.sparkSession, queries, prefix, fuzzy)
-    wanted = F.broadcast(expansions(doc_freq(posts), tokens))  # at most 12 x 57 rows a query
+    return _ranked(posts, stats, expansions(doc_freq(posts), tokens), tokens, limit)
+
+
+def _ranked(posts: DataFrame, stats: DataFrame, wanted: DataFrame, tokens: DataFrame, limit: int) -> DataFrame:
     n_groups = tokens.groupBy("query_id").agg(F.count("*").alias("n_groups"))
     scored = (
-        posts.join(wanted, "term")
+        posts.join(F.broadcast(wanted), "term")  # at most 12 x 57 rows a query
         .join(F.broadcast(stats))  # one row
         .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("weight"))
         .withColumn(
@@ -134,7 +156,7 @@ def search_index(posts: DataFrame, stats: DataFrame, queries: list[str], limit:
             F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("boost"),
         )
         .groupBy("query_id", "doc_id")
-        .agg(F.sum("part").alias("score"), F.countDistinct("grp").alias("matched"))
+        .agg(F.sum("part").alias("score"), F.bit_count(F.bit_or(F.expr("shiftleft(1, grp)"))).cast("long").alias("matched"))
         .join(F.broadcast(n_groups), "query_id")
     )
     # whole matches first: then the limit holds within each task, before a query's hits meet, and only the best meet

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS
 from ..operators import edits, graph, review, vault
 from ..sources.tables import blocks, references, review_log, table
 from .graph_queries import EDGES, NAMES, REFS, graph_nodes, names_of
@@ -96,6 +97,36 @@ def incremental_index(spark, sf_dir):
     return edits.index_delta(held.where("page_id % 7 <> 0"), after)
 
 
+def index_batches(spark, sf_dir):
+    """The stored index after three batches: two thirds of the documents, every fifth gone, the last third; what it holds."""
+    from ..sources import scratch
+    from ..streaming import store
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), F.lit(1.0).alias("boost"))
+    path = scratch.folder(spark)
+    gone = docs.where("doc_id % 5 = 0").withColumn("text", F.lit(None).cast("string"))
+    for number, batch in enumerate((docs.where("doc_id % 3 <> 0"), gone, docs.where("doc_id % 3 = 0"))):
+        store.index_batch(batch, number, path)
+    store.merge_index(spark, path)
+    posts, stats = store.read_index(spark, path)
+    found = posts.agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return stats.join(F.broadcast(found)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "postings", "tokens")  # one row each
+
+
+def log_compaction(spark, sf_dir):
+    """The stored log after three batches and a compaction: long documents keep the newest row of each key."""
+    from ..sources import scratch
+    from ..streaming import store
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), "value")
+    path = scratch.folder(spark)
+    for number in range(3):
+        store.append(rows.where(F.col("seq") % 3 == number), number, path)
+    newest = lambda df: df.groupBy("doc_id", "key").agg(F.max_by(F.struct("seq", "value"), "seq").alias("s")).select("doc_id", "s.seq", "key", "s.value")
+    store.compact(spark, path, newest, threshold=64)
+    return store.read_log(spark, path)
+
+
 def answer(spark, sf_dir):
     return edits.leeches(review.fsrs_fold(review_log(spark, sf_dir)), suspend=True).select("card_id", "lapses", "leech", "suspended")
 
@@ -166,11 +197,12 @@ def tag_name_filter(spark, sf_dir):
 TURNS = "t as (select conv_id page_id, turn block_id, turn ord from conversations)"
 RECORDS = """o as (select p_partkey, p_name, nullif(case when p_partkey % 3 = 0 then '' else p_brand end, '') p_brand, p_type from part),
   t as (select p_partkey, case when p_partkey % 2 <> 0 then p_name end p_name, nullif(case when p_partkey % 5 = 0 then '' else p_brand end, '') p_brand, p_type from part)"""
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 QUERIES = {
     f.__name__: f
     for f in (
         get_page, page_blocks, find_page_by_title, resolve_page, ensure_daily, ensure_concept, update_page, trash_page, touch_page, delete_block, insert_blocks,
-        move_block, convert_block, seminar_notebook, dismissed_pairs, incremental_index, answer, read_log, session_review_day, missing_fields, bib_equal,
+        move_block, convert_block, seminar_notebook, dismissed_pairs, incremental_index, index_batches, log_compaction, answer, read_log, session_review_day, missing_fields, bib_equal,
         body_font_size, stroke_outline, label_min_weight, lens_ref, lens_page_ids, lens_or, lens_text_phrase, lens_prefix, tag_name_filter,
     )
 }
@@ -196,6 +228,11 @@ SQL = {
       from part, lateral (select unnest(range(2 * p_size)) i)""",
     "dismissed_pairs": """with p as (select o_custkey a, o_orderkey b from orders) select a, b from p where not exists
       (select 1 from p q where q.b % 4 = 0 and least(q.a, q.b) = least(p.a, p.b) and greatest(q.a, q.b) = greatest(p.a, p.b))""",
+    "index_batches": rf"""with d as (select doc_id, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: length(x) between 2 and 40 and x not in ({STOP})) w
+      from documents where doc_id % 5 <> 0 or doc_id % 3 = 0)
+      select count(*) n_docs, round(avg(len(w)), 6) avgdl, sum(len(list_distinct(w)))::bigint postings, sum(len(w))::bigint tokens from d""",
+    "log_compaction": """select user_id doc_id, event_id seq, event_type as "key", value from events
+      qualify count(*) over (partition by user_id) < 64 or row_number() over (partition by user_id, event_type order by event_id desc) = 1""",
     "incremental_index": f"""with {BLOCKS} select page_id, ord, case when page_id % 7 = 0 then 'added' when ord = 1 then 'removed' else 'changed' end change
       from blocks where not (page_id % 7 = 0 and ord = 1) and (page_id % 7 = 0 or ord = 1 or page_id % 5 = 0)""",
     "answer": f"{WITH}, {_fold()} select card_id, lapses, lapses >= 4 leech, lapses >= 4 suspended from st",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as tx
 from ..operators import search
+from ..sources import scratch
 from ..sources.tables import search_docs, table
 
 #: Words, an open prefix, a closed word, a misspelt word and one that is nowhere.
@@ -63,7 +64,16 @@ ranked as (select *, min(kind) over (partition by query_id, grp) better, row_num
 wanted as (select query_id, grp, term, case kind when 1 then 1.0 when 2 then 0.7 else 0.5 end::double weight, df from ranked
   where place <= case kind when 1 then 1 when 2 then 48 else 8 end and (kind < 3 or better = 3))"""
 
-QUERIES = {f.__name__: f for f in (term_freq, doc_freq, corpus_stats, bm25_search, match_all, expand_terms)}
+
+
+def search_stored(spark, sf_dir):
+    """The same searches against an index that is written first: its dictionary tells the terms, and those go into the scan."""
+    path = scratch.folder(spark)
+    search.write_index(search_docs(spark, sf_dir), path)
+    return search.search_stored(spark, path, ASKED)
+
+
+QUERIES = {f.__name__: f for f in (term_freq, doc_freq, corpus_stats, bm25_search, search_stored, match_all, expand_terms)}
 SQL = {
     "term_freq": f"with {INDEX} select term, doc_id, tf, dl from posts",
     "doc_freq": f"with {INDEX} select * from freq",
@@ -80,3 +90,4 @@ SQL = {
     r as (select query_id, doc_id, round(score * matched / n_groups, 6) score, matched, n_groups from k where anyw = 0 or matched = n_groups)
     select query_id, rank::int rank, doc_id, score, matched from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from r) where rank <= 20""",
 }
+SQL["search_stored"] = SQL["bm25_search"]
