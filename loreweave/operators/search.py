@@ -101,7 +101,7 @@ def expansions(freq: DataFrame, tokens: DataFrame) -> DataFrame:
     are broadcast; the dictionary is read once and never collected.
     """
     token = F.col("token")
-    near = F.levenshtein("term", "token", 2).between(0, 2) & (F.abs(F.length("term") - F.length(token)) <= 1)
+    near = (F.abs(F.length("term") - F.length(token)) <= 1) & F.levenshtein("term", "token", 2).between(0, 2)
     found = freq.join(
         F.broadcast(tokens),
         (F.col("term") == token) | (F.col("as_prefix") & F.col("term").startswith(token)) | (F.col("as_fuzzy") & near),
