@@ -29,7 +29,7 @@ f as (
   select rid, doc_id, lang, n, len(w)::bigint n_words, {lacking(blank)}::bigint word_chars,
     (n - {lacking(quote(quality.SYMBOLS))})::bigint n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {word})) lines,
-    [n - {lacking(blank)}, n - {lacking(quote(quality.UPPER))}, n - {lacking(quote(quality.SYMBOLS))}, n - {lacking(quote(quality.PUNCTUATION))}] classes,
+    [{", ".join(f"n - {lacking(quote(c))}" for c in quality.CLASSES)}] classes,
     list_transform({lists}, lambda c: len(list_filter(w, lambda x: lower(trim(x, {quote(quality.MARKS)})) = c))) common
   from w),
 g as (

@@ -452,3 +452,17 @@ def test_pieces_of_a_batch_keep_every_row_in_order():
         assert [x for p in cut for x in p.column("text").to_pylist()] == texts
     assert len(list(pieces(batch, "text", 1000))) == 1
     assert sum(p.num_rows for p in pieces(batch.slice(0, 0), "text")) == 0
+
+
+def test_classes_tell_scripts_and_digits_apart(spark):
+    """Digits and other scripts are far from English, random Latin words are not; without a reference there is no distance."""
+    r = random.Random(3)
+    made = lambda f: " ".join(f() for _ in range(300))
+    rows = [
+        ("digits", made(lambda: str(r.randrange(10**6))), "en"), ("cyrillic", made(lambda: "".join(r.choices("абвгдежзик", k=6))), "en"),
+        ("latin", made(lambda: "".join(r.choices("abcdefghijklmnop", k=6))), "en"), ("none", made(lambda: "word"), None), ("other", made(lambda: "word"), "zz"),
+    ]
+    got = {x.n: x for x in quality.quality_rules(spark.createDataFrame(rows, "n string, text string, lang string")).collect()}
+    assert min(got["digits"].class_distance, got["cyrillic"].class_distance) > 0.8 > 0.2 > got["latin"].class_distance
+    assert not got["digits"].kept and got["latin"].word_distance > quality.MAX_WORD_DISTANCE
+    assert got["none"].class_distance is got["none"].word_distance is got["other"].class_distance is None
