@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import random
 import re
 import string
@@ -18,15 +19,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 
-#: A candidate is a run of key characters as long as the shortest secret of the base patterns, with a letter and a digit.
+#: A candidate is a run of key characters as long as the shortest secret of the base patterns.
 CANDIDATE, SHORTEST = re.compile(r"[A-Za-z0-9+/_=~-]{8,}+"), 8
+ORDINARY = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[-=_~+/]+")
 #: Characters that the network sees before, in and after a candidate; a longer one is seen in overlapping parts.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 PART_STEP = INSIDE // 2
 WIDTH = BEFORE + INSIDE + AFTER
 CLASSES = 20
 #: Training: labelled findings at most, share held out for calibration, recall that the threshold must reach there.
-MAX_LABELLED, HELD_OUT, RECALL, SEED = 4000, 0.25, 0.98, 7
+MAX_LABELLED, HELD_OUT, RECALL, SEED = 12000, 0.25, 0.98, 7
 
 Span = tuple[str, int, int]
 
@@ -40,8 +42,8 @@ def detect(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that may be secrets; those that base spans cover are among them."""
-    return [m.span() for m in CANDIDATE.finditer(text) if not m[0].isalpha() and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    """Runs that may be secrets; those that base spans cover are among them.  A run that is one word or one number is none."""
+    return [m.span() for m in CANDIDATE.finditer(text) if not ORDINARY.fullmatch(m[0])]
 
 
 def classes() -> np.ndarray:
@@ -74,7 +76,7 @@ def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 class Network:
     """Embedding, one convolution, maximum over the context and over the candidate, one logistic unit."""
 
-    def __init__(self, seed: int = SEED, wide: int = 8, filters: int = 24, width: int = 5):
+    def __init__(self, seed: int = SEED, wide: int = 8, filters: int = 32, width: int = 5):
         r = np.random.default_rng(seed)
         self.p = {
             "embed": r.normal(0, 0.3, (CLASSES, wide)),
@@ -97,7 +99,7 @@ class Network:
         pooled = np.concatenate([np.take_along_axis(a, k[:, None], 1)[:, 0] for k in at], axis=1)
         return pooled @ self.p["out"] + self.p["base"][0], (cols, pooled, at)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 12, step: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 16, step: float = 0.008) -> None:
         """Adam on the logistic loss; the held-out part then sets the calibration and the threshold."""
         r = np.random.default_rng(SEED)
         order = r.permutation(len(x))
@@ -167,7 +169,10 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
         lambda: r.choice(["ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"]) + some(low + up + num, 24, 48),
         lambda: "AKIA" + some(up + num, 16, 20),
         lambda: "eyJ" + some(low + up + num + "-_", 40, 90),
-        lambda: some(low + up + num, 14, 22),
+        lambda: some(low + up + num, 12, 22),
+        lambda: some(low + up + num, 12, 22),
+        lambda: some("ABCDEF" + num, 32, 64),
+        lambda: r.choice(["xoxb-", "xapp-"]) + "-".join(some(num, 9, 12) for _ in range(2)) + "-" + some(low + up + num, 24, 32),
         lambda: "/".join([word() for _ in range(r.randint(2, 5))]) + "/key=" + r.choice(["ghp_", "sk-", ""]) + some(low + up + num, 28, 40) + "/" + word(),
     ]
     plain = [
@@ -183,17 +188,34 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
         lambda: some(num, 4, 12) + r.choice(["-", "/", ""]) + some(num, 2, 8) + r.choice(low + up),
         lambda: word().capitalize() + "-" + word() + "-" + str(r.randint(1, 2030)),
         lambda: "/".join([word() for _ in range(r.randint(3, 12))]) + "/" + str(r.randint(1, 99)),
+        lambda: "-".join([word() for _ in range(r.randint(2, 5))]),
+        lambda: some(up, 2, 2) + some(num, 14, 24),  # accounts
+        lambda: some(up, 2, 2) + some(num, 2, 2) + some(up, 4, 4) + some(num, 10, 18),
+        lambda: some("ABCDEFGHJKLMNPRSTUVWXYZ" + num, 17, 17),  # vehicles
+        lambda: some("ABCDEFGHJKLMNPRSTUVWXYZ" + num, 9, 11) + some(num, 6, 6),
+        lambda: r.choice(["DSC", "P", "GOPR", "MVI_", "PXL_", "IMG_", "VID_"]) + some(num, 4, 8) + r.choice(["", "_" + some(num, 6, 9)]),
+        lambda: f"{word()}_{some(num, 8, 8)}_{some(num, 6, 6)}",
+        lambda: f"v{r.randint(0, 9)}-{r.randint(1, 99)}-g" + some(low[:6] + num, 7, 10),
+        lambda: "-".join(some(num, 1, 5) for _ in range(5)),
+        lambda: some(up, 2, 5) + "-" + some(num, 3, 6) + "-" + some(up + num, 1, 4),
+    ]
+    # what these are is only told by what stands before them
+    told = [
+        lambda: (r.choice(["data:image/jpeg;base64,", "data:image/gif;base64,", "url(data:image/webp;base64,", "data:font/woff;base64,", "Content-Transfer-Encoding: base64\n\n"]), some(low + up + num + "+/", 60, 400)),
+        lambda: (r.choice(["watch?v=", "youtu.be/", "video ", "/v/", "videoid: "]), some(low + up + num + "-_", 11, 11)),
+        lambda: (r.choice(["commit ", "at revision ", "sha1 ", "checksum: ", "integrity sha512-"]), some(low + up + num + "+/", 40, 88)),
+        lambda: (r.choice(["IBAN: ", "account ", "VIN ", "chassis no. ", "order no. ", "ISBN "]), some(up + num, 12, 24)),
     ]
     names = ["token", "key", "secret", "auth", "Authorization: Bearer", "credential", "access_key", "private_key", "client_secret", "pwd"]
     out = []
     for i in range(n):
         label = i % 2
-        run = r.choice(secret if label else plain)()
+        before, run = ("", r.choice(secret)()) if label else r.choice(told)() if r.random() < 0.25 else ("", r.choice(plain)())
         if len(run) < SHORTEST:
             run += "-" + some(low, SHORTEST, SHORTEST + 4)
         said = label if r.random() < 0.8 else 1 - label  # the name before it is a hint and no more
         left = f"{r.choice(names)}{r.choice([' = ', '=', ': ', ' '])}{r.choice(['', chr(34), chr(39)])}" if said else " ".join([word() for _ in range(r.randint(0, 4))]) + " "
-        left = " ".join([word() for _ in range(r.randint(0, 4))]) + " " + left
+        left = " ".join([word() for _ in range(r.randint(0, 4))]) + " " + (before or left)
         text = left + run + r.choice([" ", '"', ".\n", ", "]) + word()
         out.append((text, len(left), len(left) + len(run), label))
     return out
@@ -202,14 +224,20 @@ def labelled_findings(n: int = MAX_LABELLED, seed: int = SEED) -> list[tuple[str
 def train(findings: list[tuple[str, int, int, int]] | None = None) -> Network:
     """A network from labelled findings, at most ``MAX_LABELLED`` of them; a few seconds of numpy."""
     findings = (findings or labelled_findings())[:MAX_LABELLED]
-    # of a plain run every part is plain; of a secret the part with most kinds of characters stands for it
+    # of a plain run every part is plain; of a secret one of its first parts, that with most kinds of characters, stands for it
     kinds = lambda t, p: len({CLASS_OF[min(ord(c), 128)] for c in t[p[0] : p[1]]})
-    rows = [(t, p, y) for t, s, e, y in findings for p in ([max(parts((s, e)), key=lambda p: kinds(t, p))] if y else parts((s, e)))]
+    rows = [(t, p, y) for t, s, e, y in findings for p in ([max(parts((s, e))[:3], key=lambda p: kinds(t, p))] if y else parts((s, e)))]
     net = Network()
     net.fit(np.concatenate([windows(t, [p]) for t, p, _ in rows]), np.array([y for *_, y in rows], float))
     return net
 
 
+@functools.cache
+def trained() -> Network:
+    """The network of the findings made by rule, trained once a process."""
+    return train()
+
+
 def find_secrets(df: DataFrame, text_col: str = "text", network: Network | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``secrets``: an array of (kind, start, end, score), by start and then kind.
 
@@ -222,7 +250,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", network: Network | None
     Other columns and repeated rows stay, an empty table gives an empty one, and a
     column named ``secrets`` is replaced.  Nothing is shuffled.
     """
-    net = network or train()
+    net = network or trained()
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(texts: list[str]) -> list[pa.Array]:

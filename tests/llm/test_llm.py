@@ -466,3 +466,39 @@ def test_classes_tell_scripts_and_digits_apart(spark):
     assert min(got["digits"].class_distance, got["cyrillic"].class_distance) > 0.8 > 0.2 > got["latin"].class_distance
     assert not got["digits"].kept and got["latin"].word_distance > quality.MAX_WORD_DISTANCE
     assert got["none"].class_distance is got["none"].word_distance is got["other"].class_distance is None
+
+
+def probes(r, n):
+    """(text, start, end, is a secret) of shapes that the training rules do not make, or not with these words around."""
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda c, k: "".join(r.choices(c, k=k))
+    secret = [
+        lambda: ("export GH=", "ghp_" + some(low + up + num, 36)), lambda: ("use ", "github_pat_" + some(up + num, 22) + "_" + some(low + up + num, 59)), lambda: ("aws_secret: ", some(low + up + num + "+/", 40)),
+        lambda: ("hook ", "xoxp-" + some(num, 11) + "-" + some(num, 12) + "-" + some(low + up + num, 24)), lambda: ("Bearer ", "eyJhbGciOiJIUzI1NiJ9" + some(low + up + num + "-_", 60)),
+        lambda: ("key ", some("ABCDEF" + num, 40)), lambda: ("cfg: ", "rk_live_" + some(low + up + num, 24)), lambda: ("auth=", "npm_" + some(low + up + num, 36)),
+    ]
+    plain = [
+        lambda: ('src="data:image/png;base64,', some(low + up + num + "+/", 250)), lambda: ("pay to ", "FR14" + some(num, 10) + some(up + num, 11) + some(num, 2)), lambda: ("konto ", "DE" + some(num, 20)),
+        lambda: ("car ", "W" + some("ABCDEFGHJKLMNPRSTUVWXYZ" + num, 10) + some(num, 6)), lambda: ("photo ", "IMG_20240" + some(num, 3) + "_" + some(num, 6)), lambda: ("see ", "VID-2024" + some(num, 4) + "-WA" + some(num, 4)),
+        lambda: ("id ", "-".join(some("abcdef" + num, k) for k in (8, 4, 4, 4, 12))), lambda: ("https://a.b/", "articles/" + some(num, 6) + "/" + some(low, 6) + "-" + some(low, 5)), lambda: ("item ", some(up, 3) + "-" + some(num, 4) + "-" + some(up, 2)),
+    ]
+    for y, shapes in ((True, secret), (False, plain)):
+        for f in shapes:
+            for _ in range(n):
+                before, run = f()
+                left = f"{some(low, 5)} {some(low, 3)} {before}"
+                yield left + run + " " + some(low, 6), len(left), len(left) + len(run), y
+
+
+def test_network_on_shapes_of_other_rules():
+    """Held out by other rules than the findings: of eight kinds of keys 0.9 are found, of nine kinds of runs that are none 0.1 at most."""
+    net = secret_scan.trained()
+    hits = {True: [], False: []}
+    for text, s, e, y in probes(random.Random(99), 60):
+        own = [c for c in secret_scan.candidates(text) if c[0] < e and c[1] > s]
+        hits[y].append(any(p >= net.threshold for p in net.score_spans([text], [own])[0]))
+    assert np.mean(hits[True]) > 0.9 and np.mean(hits[False]) < 0.1
+
+
+def test_single_words_and_numbers_are_no_candidates():
+    assert secret_scan.candidates("Understanding 123456789012 abcdEFGHij ABCDEFGHIJ state-of-the-art ---------- a1b2c3d4") == [(27, 37), (49, 65), (77, 85)]
