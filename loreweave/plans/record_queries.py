@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markup, scalars
-from ..operators import ghost, records, resolve
+from ..operators import ghost, layout, records, resolve
 from ..sources import notes as notes_source
 from ..sources.tables import search_docs, table
 from .notes_queries import BLOCKS, PAGES, PLAIN
@@ -239,6 +239,25 @@ def _items(spark, sf_dir):
     )
 
 
+def _two_columns(spark, sf_dir):
+    """Text runs: a customer's orders on a page of two columns, left and right in turn."""
+    from pyspark.sql.window import Window
+
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    placed = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", k.alias("k"))
+    return placed.selectExpr(
+        "o_custkey as doc_id", "o_orderkey as id", "if(k % 2 = 0, 54D, 315D) as x", "100D + 12 * (k div 2) as y", "200D as w", "10D as h", "10D as size", "'Order ' || o_orderkey || ' of the customer ' || o_custkey as str"
+    )
+
+
+def reading_order(spark, sf_dir):
+    return layout.reading_order(_two_columns(spark, sf_dir))
+
+
+def build_line(spark, sf_dir):
+    return layout.page_lines(_two_columns(spark, sf_dir)).select("doc_id", "block", "line", "y", "size", "text")
+
+
 def line_bands(spark, sf_dir):
     return records.bands(_items(spark, sf_dir)).select("doc_id", "id", F.col("band").cast("long"))
 
@@ -452,6 +471,10 @@ SQL = {
     "hash64": """with recursive h as (select p_partkey, p_name s, 1 i, 2166136261::hugeint a, 3421674724::hugeint b from part
         union all select p_partkey, s, i + 1, (xor(a, ascii(s[i])::hugeint) * 16777619) % 4294967296, (xor(b, ascii(s[i])::hugeint) * 268435891) % 4294967296 from h where i <= length(s))
       select p_partkey, lower(to_base(a::bigint, 36) || to_base(b::bigint, 36)) hash from h where i = length(s) + 1""",
+    "reading_order": """with k as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 k from orders)
+      select o_custkey doc_id, o_orderkey id, row_number() over (partition by o_custkey order by k % 2, k)::int place from k""",
+    "build_line": """with k as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 k from orders)
+      select o_custkey doc_id, (k % 2)::int as "block", (k // 2)::int line, 100.0::double + 12 * (k // 2) y, 10.0::double size, 'Order ' || o_orderkey || ' of the customer ' || o_custkey as text from k""",
     "seeded_random": """with recursive h as (select p_partkey, p_name || p_partkey s, 1 i, 2166136261::hugeint a from part union all select p_partkey, s, i + 1, (xor(a, ascii(s[i])::hugeint) * 16777619) % 4294967296 from h where i <= length(s)),
       m0 as (select p_partkey, (a + 1831565813) % 4294967296 t from h where i = length(s) + 1), m1 as (select p_partkey, (xor(t, t >> 15) * (t | 1)) % 4294967296 t from m0),
       m2 as (select p_partkey, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296)) % 4294967296 t from m1) select p_partkey, round(xor(t, t >> 14)::double / 4294967296, 9) x from m2""",
@@ -463,6 +486,6 @@ QUERIES = {
         detect_kind, pdf_toc, landscape_ratio, pdf_page_texts, deck_text, xml_parse, arxiv_atom, epub_nav_ncx, crossref_json, sink_bibtex, bibtex_parse, bib_to_meta, import_bib, export_bib, refresh_citation, zotero_plan,
         zotero_match, zotero_to_meta, meta_to_zotero, confirm_ghost, dismiss_ghost, uniq_norm, update_source, restore_source, digest, concept_df, ghost_tags, ghost_tags_merge_ai, rank_ghost, search_pages,
         background_merge_scan, commit_budget, line_bands, group_lines, paragraphs, items_to_markdown, items_to_text, title_authors_guess, reading_labels, cluster_1d, align_shapes, centroid, items_in_polygon, near_strokes,
-        connector_snap, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
+        connector_snap, reading_order, build_line, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
     )
 }
