@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markup, scalars
+from ..functions import markup, scalars, strokes
 from ..operators import ghost, layout, records, resolve
 from ..sources import notes as notes_source
 from ..sources.tables import search_docs, table
@@ -258,6 +258,34 @@ def build_line(spark, sf_dir):
     return layout.page_lines(_two_columns(spark, sf_dir)).select("doc_id", "block", "line", "y", "size", "text")
 
 
+def _strokes(spark, sf_dir):
+    """A user's events as a stroke: their value and number make a point, their time its time."""
+    point = F.struct("event_id", F.coalesce("value", F.lit(0.0)).alias("x"), (F.col("event_id") * 7 % 97).cast("double").alias("y"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("t"))
+    gathered = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    return gathered.select("id", F.expr("transform(p, q -> struct(q.x, q.y))").alias("p"), F.expr("transform(p, q -> struct(q.x, q.y, q.t))").alias("timed"))
+
+
+def _points(df):
+    each = df.select("id", F.posexplode("o").alias("k", "q"))
+    return each.select("id", "k", F.round("q.x", 6).alias("x"), F.round("q.y", 6).alias("y"))
+
+
+def stroke_resample(spark, sf_dir):
+    return _points(_strokes(spark, sf_dir).select("id", F.expr(strokes.resampled("p", 8)).alias("o")))
+
+
+def stroke_simplify(spark, sf_dir):
+    return _points(_strokes(spark, sf_dir).select("id", F.expr(strokes.simplified("p", 5.0)).alias("o")))
+
+
+def stroke_hull(spark, sf_dir):
+    return _points(_strokes(spark, sf_dir).select("id", F.expr(strokes.hull("p")).alias("o")))
+
+
+def stroke_smooth(spark, sf_dir):
+    return _points(_strokes(spark, sf_dir).select("id", F.expr(strokes.smoothed("timed")).alias("o")))
+
+
 def line_bands(spark, sf_dir):
     return records.bands(_items(spark, sf_dir)).select("doc_id", "id", F.col("band").cast("long"))
 
@@ -475,17 +503,24 @@ SQL = {
       select o_custkey doc_id, o_orderkey id, row_number() over (partition by o_custkey order by k % 2, k)::int place from k""",
     "build_line": """with k as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 k from orders)
       select o_custkey doc_id, (k % 2)::int as "block", (k // 2)::int line, 100.0::double + 12 * (k // 2) y, 10.0::double size, 'Order ' || o_orderkey || ' of the customer ' || o_custkey as text from k""",
+    "stroke_resample": """with e as (select user_id id, list({'x': coalesce(value, 0), 'y': (event_id * 7 % 97)::double} order by event_id) p from events group by 1),
+      c as (select id, p, list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(range(2, i + 1), lambda j: sqrt(pow(p[j].x - p[j - 1].x, 2) + pow(p[j].y - p[j - 1].y, 2)))), 0)) l from e),
+      k as (select id, p, l, k, case when k = 7 then l[len(l)] else l[len(l)] * k / 7 end goal from c, range(8) r(k)),
+      s as (select *, case when k in (0, 7) then null else list_position(list_transform(l, lambda v: v >= goal), true) end i from k)
+      select id, k::int k, round(case when l[len(l)] = 0 or k = 0 then p[1].x when k = 7 then p[len(p)].x else p[i - 1].x + (goal - l[i - 1]) / (l[i] - l[i - 1]) * (p[i].x - p[i - 1].x) end, 6) x,
+        round(case when l[len(l)] = 0 or k = 0 then p[1].y when k = 7 then p[len(p)].y else p[i - 1].y + (goal - l[i - 1]) / (l[i] - l[i - 1]) * (p[i].y - p[i - 1].y) end, 6) y from s""",
     "seeded_random": """with recursive h as (select p_partkey, p_name || p_partkey s, 1 i, 2166136261::hugeint a from part union all select p_partkey, s, i + 1, (xor(a, ascii(s[i])::hugeint) * 16777619) % 4294967296 from h where i <= length(s)),
       m0 as (select p_partkey, (a + 1831565813) % 4294967296 t from h where i = length(s) + 1), m1 as (select p_partkey, (xor(t, t >> 15) * (t | 1)) % 4294967296 t from m0),
       m2 as (select p_partkey, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296)) % 4294967296 t from m1) select p_partkey, round(xor(t, t >> 14)::double / 4294967296, 9) x from m2""",
 }
-ROWS_ONLY = ("background_merge_scan",)
+#: Stacks and recurrences; tests hold them against plain readings.
+ROWS_ONLY = ("background_merge_scan", "stroke_simplify", "stroke_hull", "stroke_smooth")
 QUERIES = {
     f.__name__: f
     for f in (
         detect_kind, pdf_toc, landscape_ratio, pdf_page_texts, deck_text, xml_parse, arxiv_atom, epub_nav_ncx, crossref_json, sink_bibtex, bibtex_parse, bib_to_meta, import_bib, export_bib, refresh_citation, zotero_plan,
         zotero_match, zotero_to_meta, meta_to_zotero, confirm_ghost, dismiss_ghost, uniq_norm, update_source, restore_source, digest, concept_df, ghost_tags, ghost_tags_merge_ai, rank_ghost, search_pages,
         background_merge_scan, commit_budget, line_bands, group_lines, paragraphs, items_to_markdown, items_to_text, title_authors_guess, reading_labels, cluster_1d, align_shapes, centroid, items_in_polygon, near_strokes,
-        connector_snap, reading_order, build_line, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
+        connector_snap, reading_order, build_line, stroke_resample, stroke_simplify, stroke_hull, stroke_smooth, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
     )
 }
