@@ -102,19 +102,27 @@ def inside(points: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
     return points.where(F.col("x").between(min(xs), max(xs)) & F.col("y").between(min(ys), max(ys))).where(f"size({crossed.format(edges)}) % 2 = 1")
 
 
-def near_boxes(boxes: DataFrame, gap: float) -> DataFrame:
-    """(a, b): pairs of boxes (group, id, x, y, w, h) of a group that lie within ``gap``.
+def near_boxes(boxes: DataFrame, gap: float | str) -> DataFrame:
+    """(a, b): pairs of boxes (group, id, x, y, w, h) of a group that lie within ``gap``, a number or a column's name.
 
-    Boxes meet by cells of a grid as wide as the largest box and the gap, a box in each cell that it or its margin touches, so a group is not held against itself.
+    Boxes meet by cells of grids.  Each box lies in the grid whose cells are just as wide as it and the gap, a power of
+    two, and looks for others in its own grid and in the coarser ones that its group has.  So a box as wide as the page
+    meets the small ones, but does not make them meet each other.
     """
-    cell = boxes.agg((F.max(F.greatest("w", "h")) + gap).alias("cell"))
-    placed = boxes.join(F.broadcast(cell))  # one row
-    own = placed.withColumn("cx", F.floor(F.col("x") / F.col("cell"))).withColumn("cy", F.floor(F.col("y") / F.col("cell")))
-    around = placed.withColumn("cx", F.explode(F.expr("transform(array(-1, 0, 1), d -> floor(x / cell) + d)"))).withColumn("cy", F.explode(F.expr("transform(array(-1, 0, 1), d -> floor(y / cell) + d)")))
-    a, b = own.alias("a"), around.alias("b")
-    met = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")))
+    reach = F.col(gap) if isinstance(gap, str) else F.lit(float(gap))
+    placed = boxes.select("group", "id", "x", "y", "w", "h", reach.alias("lw_gap"))
+    placed = placed.withColumn("level", F.ceil(F.log2(F.greatest(F.col("w") + F.col("lw_gap"), F.col("h") + F.col("lw_gap"), F.lit(1e-9)))).cast("int"))
+    levels = placed.groupBy(F.col("group").alias("of")).agg(F.collect_set("level").alias("levels"))  # at most as many as sizes have powers of two
+    span = lambda at, size, low, high: F.expr(f"explode(sequence(floor(({at} - {low}) / pow(2D, {size})), floor(({at} + {high}) / pow(2D, {size}))))")
+    lying = placed.withColumn("cx", span("x", "level", "0", "w")).withColumn("cy", span("y", "level", "0", "h"))
+    looks = placed.join(levels, F.col("group") == F.col("of")).withColumn("at", F.explode(F.expr("filter(levels, l -> l >= level)")))
+    looks = looks.withColumn("cx", span("x", "at", "lw_gap", "w + lw_gap")).withColumn("cy", span("y", "at", "lw_gap", "h + lw_gap"))
+    a, b = looks.alias("a"), lying.alias("b")
+    cell = (F.col("a.group") == F.col("b.group")) & (F.col("a.at") == F.col("b.level")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    met = a.join(b, cell & ((F.col("a.level") < F.col("b.level")) | (F.col("a.id") < F.col("b.id"))))
     apart = [F.greatest(F.lit(0.0), F.col(f"a.{p}") - F.col(f"b.{p}") - F.col(f"b.{s}"), F.col(f"b.{p}") - F.col(f"a.{p}") - F.col(f"a.{s}")) for p, s in (("x", "w"), ("y", "h"))]
-    return met.where((apart[0] <= gap) & (apart[1] <= gap)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    near = met.where((apart[0] <= F.col("a.lw_gap")) & (apart[1] <= F.col("a.lw_gap")))
+    return near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def remote_plan(ours: DataFrame, theirs: DataFrame) -> DataFrame:
