@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markup, scalars, strokes
-from ..operators import ghost, layout, records, resolve
+from ..operators import ghost, ink, layout, records, resolve
 from ..sources import notes as notes_source
 from ..sources.tables import search_docs, table
 from .notes_queries import BLOCKS, PAGES, PLAIN
@@ -286,6 +286,14 @@ def stroke_smooth(spark, sf_dir):
     return _points(_strokes(spark, sf_dir).select("id", F.expr(strokes.smoothed("timed")).alias("o")))
 
 
+def cluster_strokes(spark, sf_dir):
+    """Writing: a customer's orders as strokes on a page, in lines and blocks."""
+    marks = table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey as int) as group", "cast(o_orderkey as int) as id", "cast(o_orderkey % 40 * 20 as double) as x", "cast(o_orderkey * 37 % 23 * 14 as double) as y", "cast(6 + o_orderkey % 17 as double) as w", "cast(4 + o_orderkey % 13 as double) as h"
+    )
+    return ink.writing(marks)
+
+
 def line_bands(spark, sf_dir):
     return records.bands(_items(spark, sf_dir)).select("doc_id", "id", F.col("band").cast("long"))
 
@@ -503,6 +511,16 @@ SQL = {
       select o_custkey doc_id, o_orderkey id, row_number() over (partition by o_custkey order by k % 2, k)::int place from k""",
     "build_line": """with k as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 k from orders)
       select o_custkey doc_id, (k % 2)::int as "block", (k // 2)::int line, 100.0::double + 12 * (k // 2) y, 10.0::double size, 'Order ' || o_orderkey || ' of the customer ' || o_custkey as text from k""",
+    "cluster_strokes": """with recursive s as (select o_custkey::int g, o_orderkey::int id, (o_orderkey % 40 * 20)::double x, (o_orderkey * 37 % 23 * 14)::double y, (6 + o_orderkey % 17)::double w, (4 + o_orderkey % 13)::double h from orders),
+      m as (select g, greatest(coalesce(median(greatest(h, w * 0.5)) filter (greatest(h, w * 0.5) > 3 and greatest(w, h) <= 150), 0), 10) lh from s group by 1), p as (select * from s join m using (g)),
+      e as (select a.id a, b.id b from p a join p b on a.g = b.g and a.id <> b.id
+        where (least(a.y + a.h / 2 + greatest(a.h, a.lh / 2) / 2, b.y + b.h / 2 + greatest(b.h, a.lh / 2) / 2) - greatest(a.y + a.h / 2 - greatest(a.h, a.lh / 2) / 2, b.y + b.h / 2 - greatest(b.h, a.lh / 2) / 2))
+            / least(greatest(a.h, a.lh / 2), greatest(b.h, a.lh / 2)) >= 0.3 and greatest(0, a.x - b.x - b.w, b.x - a.x - a.w) <= greatest(20, a.lh * 1.3)),
+      r as (select id a, id b from p union select r.a, e.b from r join e on r.b = e.a), l as (select a id, min(b) line from r group by 1),
+      x as (select g, line id, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h, any_value(lh) lh from p join l using (id) group by 1, 2),
+      f as (select a.id a, b.id b from x a join x b on a.g = b.g and a.id <> b.id where greatest(0, a.y - b.y - b.h, b.y - a.y - a.h) <= a.lh * 0.9 and least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > -a.lh * 0.5),
+      q as (select id a, id b from x union select q.a, f.b from q join f on q.b = f.a), k as (select a line, min(b) block from q group by 1)
+      select g as "group", id, line, "block" from p join l using (id) join k using (line)""",
     "stroke_resample": """with e as (select user_id id, list({'x': coalesce(value, 0), 'y': (event_id * 7 % 97)::double} order by event_id) p from events group by 1),
       c as (select id, p, list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(range(2, i + 1), lambda j: sqrt(pow(p[j].x - p[j - 1].x, 2) + pow(p[j].y - p[j - 1].y, 2)))), 0)) l from e),
       k as (select id, p, l, k, case when k = 7 then l[len(l)] else l[len(l)] * k / 7 end goal from c, range(8) r(k)),
@@ -521,6 +539,6 @@ QUERIES = {
         detect_kind, pdf_toc, landscape_ratio, pdf_page_texts, deck_text, xml_parse, arxiv_atom, epub_nav_ncx, crossref_json, sink_bibtex, bibtex_parse, bib_to_meta, import_bib, export_bib, refresh_citation, zotero_plan,
         zotero_match, zotero_to_meta, meta_to_zotero, confirm_ghost, dismiss_ghost, uniq_norm, update_source, restore_source, digest, concept_df, ghost_tags, ghost_tags_merge_ai, rank_ghost, search_pages,
         background_merge_scan, commit_budget, line_bands, group_lines, paragraphs, items_to_markdown, items_to_text, title_authors_guess, reading_labels, cluster_1d, align_shapes, centroid, items_in_polygon, near_strokes,
-        connector_snap, reading_order, build_line, stroke_resample, stroke_simplify, stroke_hull, stroke_smooth, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
+        connector_snap, reading_order, build_line, cluster_strokes, stroke_resample, stroke_simplify, stroke_hull, stroke_smooth, title_from_file, format_interval, parse_pdf_date, add_days, is_garbage_title, join_lines, parse_name, extract_json, hash32, hash64, seeded_random,
     )
 }
