@@ -38,14 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The folders that ``stored`` has written in this process, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loreweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def n_stored() -> int:
+    """How many folders have been written; a mark for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Remove the folders written after the mark but for the newest, for when that holds all that is still needed."""
+    for path in _written[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since:-1]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

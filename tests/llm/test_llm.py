@@ -229,7 +229,7 @@ def test_ids_that_are_strings(spark):
 def test_references_are_fitted_from_good_rows(spark):
     docs = spark.createDataFrame([(1, "The cat, the CAT.", "en"), (2, "junk # #", "en"), (3, None, "en"), (4, "le chat", "fr")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
-    shares = [round(n / 17, 4) for n in (3, 4, 0, 2)]
+    shares = [round(n / 17, 4) for n in (3, 4, 8, 0, 0, 2, 0)]  # blank, capital, small, digit, symbol, punctuation, beyond ASCII
     assert quality.fitted(docs, labels) == {"en": ([*shares, round(1 - sum(shares), 4)], {"cat": 0.5, "the": 0.5})}
 
 
@@ -415,6 +415,16 @@ def test_contained_items_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, clean.select("doc_id", "leaks").collect())) == [(2, 2), (3, 3), (6, 6)]
 
 
+def test_pipeline_leaves_one_folder(spark):
+    """Of what the stages write on their way only the last result stays, which the returned rows are read from."""
+    from loreweave.llm import common
+
+    before = common.n_stored()
+    out = corpus_pipeline.run(spark, SF)
+    left = common._written[before:]
+    assert len(left) == 1 and os.path.isdir(left[0]) and out.count() > 0
+
+
 def test_pipeline_equals_plain_steps(spark):
     docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
     kept = {r.doc_id for r in queries.op2_quality_rules(spark, SF).where("kept").collect()}
