@@ -63,9 +63,24 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * start * (1 - jaro)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+def token_set_similarity(a: list[str], b: list[str]) -> float:
+    """The share of words that two names have in common; long words may be spelt alike, each is used once, in order."""
+    if not a or not b:
+        return 0.0
+    free, shared = list(b), 0
+    for x in a:
+        alike = next((y for y in free if x == y or min(len(x), len(y)) >= 4 and jaro_winkler(x, y) >= 0.92), None)
+        if alike is not None:
+            free.remove(alike)
+            shared += 1
+    return shared / (len(a) + len(b) - shared)
+
+
+@F.pandas_udf(T.StructType().add("jw", T.DoubleType()).add("words", T.DoubleType()))
+def likeness(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    """Of two names and their words: how alike they are as a whole, and by words."""
+    whole = [jaro_winkler(p, q) for p, q in zip(a, b)]
+    return pd.DataFrame({"jw": whole, "words": [token_set_similarity(list(p), list(q)) for p, q in zip(x, y)]}).astype("float64")
 
 
 def merge_candidates(concepts: DataFrame, min_score: float = 0.85) -> DataFrame:
@@ -101,30 +116,25 @@ def merge_candidates(concepts: DataFrame, min_score: float = 0.85) -> DataFrame:
     b = placed.select(F.col("key").alias("bkey"), F.col("place").alias("bplace"), *[F.col(c).alias(f"b_{c}") for c in cols])
     pairs = ahead.join(b, (F.col("key") == F.col("bkey")) & (F.col("other") == F.col("bplace"))).where("digits = b_digits")
     pairs = pairs.select(*cols, *[f"b_{c}" for c in cols]).dropDuplicates(["title", "b_title"])
-    least = F.least(F.length("norm"), F.length("b_norm"))
-    typo = (least >= 5) & (F.size("tokens") == F.size("b_tokens")) & (F.levenshtein("norm", "b_norm") <= 1)
     acronym = (F.col("short") & (F.col("norm") == F.col("b_initials"))) | (F.col("b_short") & (F.col("b_norm") == F.col("initials")))
-    jw = jaro_winkler_udf("norm", "b_norm")
-    scored = pairs.withColumn("jw", F.when(least >= 4, jw).otherwise(F.lit(0.0))).withColumn(
-        "reason",
-        F.when(F.col("norm") == F.col("b_norm"), "variant")
-        .when(F.col("bag") == F.col("b_bag"), "word-order")
-        .when(acronym, "acronym")
-        .when(typo & (F.col("jw") >= 0.94), "typo")
-        .when(F.col("jw") >= F.when(least < 7, 0.96).otherwise(0.92), "similar"),
-    )
-    shared = F.size(F.array_intersect("tokens", "b_tokens")) / F.size(F.array_union("tokens", "b_tokens"))
-    scored = scored.withColumn("overlap", shared).where("reason is not null and (reason <> 'similar' or overlap >= 0.5)")
-    score = (
-        F.when(F.col("reason") == "variant", 1.0).when(F.col("reason") == "word-order", 0.95).when(F.col("reason").isin("acronym", "typo"), 0.9).otherwise(F.least(F.lit(0.89), 0.6 * F.col("jw") + 0.4 * F.col("overlap")))
-    )
+    reason = F.when(F.col("norm") == F.col("b_norm"), "variant").when(F.col("bag") == F.col("b_bag"), "word-order").when(acronym, "acronym")
+    pairs = pairs.withColumn("reason", reason).withColumn("least", F.least(F.length("norm"), F.length("b_norm")))
+    named = pairs.where("reason is not null").select("title", "b_title", "reason", F.when(F.col("reason") == "variant", 1.0).when(F.col("reason") == "word-order", 0.95).otherwise(0.9).alias("score"))
+    # only what is left is compared letter by letter, and only where the lengths allow it
+    same_size = F.size("tokens") == F.size("b_tokens")
+    left = pairs.where(F.col("reason").isNull() & (F.col("least") >= 4) & (same_size | (F.col("least") >= 0.6 * F.greatest(F.length("norm"), F.length("b_norm")))))
+    left = left.withColumn("like", likeness("norm", "b_norm", "tokens", "b_tokens")).select("*", "like.jw", "like.words")
+    typo = (F.col("least") >= 5) & (F.col("jw") >= 0.94) & same_size & (F.levenshtein("norm", "b_norm") <= 1)
+    close = (F.col("jw") >= F.when(F.col("least") < 7, 0.96).otherwise(0.92)) & (F.col("words") >= 0.5)
+    score = F.when(typo, 0.9).when(close, F.least(F.lit(0.89), 0.6 * F.col("jw") + 0.4 * F.col("words"))).when((F.col("words") >= 0.99) & same_size, 0.88)
+    spelt = left.withColumn("score", score).select("title", "b_title", F.when(typo, "typo").otherwise("similar").alias("reason"), "score")
     return (
-        scored.withColumn("score", F.round(score, 6))
+        named.unionByName(spelt).withColumn("score", F.round("score", 6))
         .where(F.col("score") >= min_score)
         .select(F.least("title", "b_title").alias("a"), F.greatest("title", "b_title").alias("b"), "reason", "score")
         .where("a <> b")
         .dropDuplicates(["a", "b"])
-    )
+    )
 
 
 def without_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:

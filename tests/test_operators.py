@@ -87,3 +87,30 @@ def test_a_stored_index_gives_the_same_hits(spark, tmp_path):
     asked = ["alpha bet", "gamma3 zzz"]
     hits = lambda df: sorted(map(tuple, df.collect()))
     assert hits(search.search_index(*search.read_index(spark, str(tmp_path)), asked)) == hits(search.bm25_search(docs, asked))
+
+
+CONCEPTS = [
+    "Reinforcement Learning", "RL", "reinforcement-learning", "Markov Decision Process", "MDPs", "Neural Networks", "neural network", "Bayesian Optimisation", "Bayesian Optimization", "GPT-3", "GPT-4",
+    "Deep Reinforcement Learning", "cat", "car", "Learning, Reinforcement", "Variational Autoencoders", "Autoencoder variationl",
+]
+
+
+def test_concepts_that_may_be_the_same(spark):
+    from loreweave.operators import resolve
+
+    found = {(frozenset((r.a, r.b)), r.reason): r.score for r in resolve.merge_candidates(spark.createDataFrame([(t,) for t in CONCEPTS], "title string")).collect()}
+    for a, b, reason in (
+        ("reinforcement-learning", "Reinforcement Learning", "variant"), ("RL", "Reinforcement Learning", "acronym"), ("MDPs", "Markov Decision Process", "acronym"), ("Neural Networks", "neural network", "variant"),
+        ("Bayesian Optimization", "Bayesian Optimisation", "typo"), ("Learning, Reinforcement", "Reinforcement Learning", "word-order"), ("Variational Autoencoders", "Autoencoder variationl", "similar"),
+    ):
+        assert (frozenset((a, b)), reason) in found, (a, b)
+    pairs = {p for p, _ in found}
+    assert not {frozenset(("GPT-3", "GPT-4")), frozenset(("cat", "car"))} & pairs and not any("Deep Reinforcement Learning" in p for p in pairs)
+    assert found[frozenset(("Variational Autoencoders", "Autoencoder variationl")), "similar"] == 0.88
+
+
+def test_words_in_common():
+    from loreweave.operators.resolve import token_set_similarity
+
+    assert token_set_similarity(["deep", "learning"], ["learning", "deep"]) == 1 and token_set_similarity([], ["a"]) == 0
+    assert token_set_similarity(["a", "a"], ["a"]) == 0.5 and token_set_similarity(["network"], ["networks"]) == 1 and token_set_similarity(["cat"], ["car"]) == 0
