@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+import regex
+
 #: Words that the search index leaves out.
 STOP_WORDS = (
     "a an and are as at be been but by can do does for from had has have he her his i if in into is it its "
@@ -11,15 +13,19 @@ STOP_WORDS = (
     "us was we were what when where which while who will with would you your"
 ).split()
 WORD = r"[\p{L}\p{N}\p{M}]+"
+#: Scripts without blanks between words.
+DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 MAX_TERM = 40
+#: Letters that are folded to one letter: Latin, Greek, Cyrillic, and the wide forms of ASCII.
+RANGES = ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000), (0xFF10, 0xFF5B))
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Latin letters with marks, and the letters they are made from, by their decompositions."""
+    """Small letters with marks or of other widths, and the letters they are made from, by their decompositions."""
     marked, plain = [], []
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+    for c in (chr(i) for a, b in RANGES for i in range(a, b)):
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if base != c and len(base) == 1 and c == c.lower():
+        if base != c and len(base) == 1 and c == c.lower() and base.isalnum():
             marked.append(c)
             plain.append(base)
     return "".join(marked), "".join(plain)
@@ -45,8 +51,22 @@ def spelt(term: str) -> str:
 
 
 def terms(text: str) -> str:
-    """SQL for all folded words of a text, in order; a text of ASCII alone needs no folding and a plain pattern."""
-    return rf"if(octet_length({text}) = length({text}), regexp_extract_all(lower({text}), r'[a-z0-9]+', 0), regexp_extract_all({fold(text)}, r'{WORD}', 0))"
+    """SQL for all folded words of a text, in order; a text of ASCII alone needs no folding and a plain pattern.
+
+    Runs of scripts that put no blanks between words give their pairs of neighbours, a single character itself.
+    """
+    cut = rf"regexp_extract_all({fold(text)}, r'[{DENSE}]+|(?:(?![{DENSE}])[\p{{L}}\p{{N}}\p{{M}}])+', 0)"
+    pairs = f"flatten(transform({cut}, t -> if(t rlike r'^[{DENSE}]{{2}}', transform(sequence(1, length(t) - 1), i -> substring(t, i, 2)), array(t))))"
+    rest = f"if({text} rlike r'[{DENSE}]', {pairs}, regexp_extract_all({fold(text)}, r'{WORD}', 0))"
+    return rf"if(octet_length({text}) = length({text}), regexp_extract_all(lower({text}), r'[a-z0-9]+', 0), {rest})"
+
+
+def terms_of(value: str) -> list[str]:
+    """The same of a value at hand."""
+    dense = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]+|[^\p{Han}\p{Hiragana}\p{Katakana}]+")
+    runs = [r for w in regex.findall(WORD, value) for r in dense.findall(w)]
+    each = [[r[i : i + 2] for i in range(max(1, len(r) - 1))] if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", r) else [folded(r)] for r in runs]
+    return [t for ts in each for t in ts if t]
 
 
 def quoted(values) -> str:
@@ -54,5 +74,5 @@ def quoted(values) -> str:
 
 
 def index_terms(text: str) -> str:
-    """SQL for the words worth indexing: no stop words, no single letters, none over 40 characters."""
-    return f"filter({terms(text)}, t -> length(t) between 2 and {MAX_TERM} and t not in ({quoted(STOP_WORDS)}))"
+    """SQL for the words worth indexing: no stop words, no single letters but of dense scripts, none over 40 characters."""
+    return f"filter({terms(text)}, t -> (length(t) between 2 and {MAX_TERM} or t rlike r'^[{DENSE}]$') and t not in ({quoted(STOP_WORDS)}))"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,7 +86,7 @@ def query_tokens(spark, queries: list[str], prefix: bool = True, fuzzy: bool = T
     """
     rows = []
     for q, query in enumerate(queries):
-        words = list(dict.fromkeys(fold(w) for w in regex.findall(tx.WORD, query)))[:MAX_TOKENS]
+        words = list(dict.fromkeys(tx.terms_of(query)))[:MAX_TOKENS]
         open_end = bool(query) and not query[-1].isspace()
         for g, w in enumerate(words):
             rows.append((q, g, w, prefix and open_end and g == len(words) - 1, fuzzy and len(w) >= FUZZY_FROM))
@@ -176,7 +175,7 @@ def match_all(docs: DataFrame, queries: list[str]) -> DataFrame:
     """(query_id, doc_id): documents with every word of the query, each exact or, from two letters on, as a prefix."""
     rows = []
     for q, query in enumerate(queries):
-        words = list(dict.fromkeys(fold(w) for w in regex.findall(tx.WORD, query)))[:32]
+        words = list(dict.fromkeys(tx.terms_of(query)))[:32]
         rows += [(q, g, w, len(words)) for g, w in enumerate(words)]
     tokens = docs.sparkSession.createDataFrame(rows, "query_id int, grp int, token string, n_groups int")
     found = (F.col("term") == F.col("token")) | ((F.length("token") >= 2) & F.col("term").startswith(F.col("token")))
