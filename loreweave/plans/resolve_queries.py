@@ -77,7 +77,7 @@ DOI = r"lower(regexp_replace(trim({0}), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi
 PART = """p as (select * from part),
   e as (select p_partkey id, case when p_partkey % 3 = 0 then '10.1234/p' || p_partkey end doi, p_name t, p_size y from p),
   s as (select p_partkey + 10000000 id, case when p_partkey % 4 = 0 then '10.1234/p' || p_partkey end doi, p_name t, p_size y from p where p_partkey % 2 = 0)"""
-SING = """case when length(w) <= 3 then w when regexp_matches(w, 'ies$') and length(w) > 4 then left(w, length(w) - 3) || 'y' when regexp_matches(w, '(sses|(x|ch|sh|zz)es)$') then left(w, length(w) - 2)
+SING = "case " + " ".join(f"when w = '{k}' then '{v}'" for k, v in resolve.IRREGULAR.items()) + """ when length(w) <= 3 then w when regexp_matches(w, 'ies$') and length(w) > 4 then left(w, length(w) - 3) || 'y' when regexp_matches(w, '(sses|(x|ch|sh|zz)es)$') then left(w, length(w) - 2)
   when regexp_matches(w, '(ss|us|is|ics)$') then w when regexp_matches(w, 's$') then left(w, length(w) - 1) else w end"""
 QUERIES = {f.__name__: f for f in (ngram_counts, keyphrases, summarize, merge_candidates, cite_keys, bib_match, normalize_doi, title_year_key, find_identifiers, concept_tokens)}
 #: Titles are resolved by a scorer that SQL lacks (no boost threshold); tests hold it against all pairs.
