@@ -46,6 +46,7 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return indexed(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+TERMS_A_FILE = 200_000
 #: Terms that go into the scan as a filter; with more of them the postings are joined whole.
 PUSHED = 10_000
 
@@ -58,8 +59,11 @@ def write_index(docs: DataFrame, path: str) -> None:
     """
     by_term = postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     by_term.write.mode("overwrite").parquet(f"{path}/postings")
-    known = doc_freq(docs.sparkSession.read.parquet(f"{path}/postings"))
-    known.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    spark = docs.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    # every search looks through the dictionary: a file for each core at least, and of so many terms at most
+    files = max(spark.sparkContext.defaultParallelism, stored.agg(F.approx_count_distinct("term")).first()[0] // TERMS_A_FILE + 1)
+    doc_freq(stored).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     corpus_stats(docs).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -100,7 +104,9 @@ def expansions(freq: DataFrame, tokens: DataFrame) -> DataFrame:
     are broadcast; the dictionary is read once and never collected.
     """
     token = F.col("token")
-    near = (F.abs(F.length("term") - F.length(token)) <= 1) & F.levenshtein("term", "token", 2).between(0, 2)
+    # one edit leaves the first or the last half as it is, which is told faster than a distance
+    half = "(length(token) - 1) div 2"
+    near = (F.abs(F.length("term") - F.length(token)) <= 1) & F.expr(f"left(term, {half}) = left(token, {half}) or right(term, {half}) = right(token, {half})") & F.levenshtein("term", "token", 2).between(0, 2)
     found = freq.join(
         F.broadcast(tokens),
         (F.col("term") == token) | (F.col("as_prefix") & F.col("term").startswith(token)) | (F.col("as_fuzzy") & near),
