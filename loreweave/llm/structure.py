@@ -148,7 +148,7 @@ def faulted(turns: DataFrame) -> DataFrame:
     Equal turns of one number are one row here; the first of them that no earlier turn equals may stay, the others go.
     Both counts are aggregated before they meet, so that a turn that is repeated a million times is a row.
     """
-    ends = F.expr(f"rtrim('{BLANKS.encode('unicode_escape').decode()}', text)")
+    ends = F.rtrim("text", F.lit(BLANKS))
     marked = turns.withColumn("mark", F.md5("text")).withColumn("end", F.right(ends, F.lit(1)))
     runs = marked.groupBy("conv", "turn", "role", "mark").agg(F.count("*").alias("m"), F.any_value("text").alias("text"), F.any_value("end").alias("end"))
     first = marked.groupBy(F.col("conv").alias("c"), F.col("role").alias("r"), F.col("mark").alias("k")).agg(F.min(F.struct("turn")).alias("first"))

@@ -121,6 +121,14 @@ def test_far_numbers_and_nothing(spark):
     assert structure.repair_structure(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_only_blanks_are_cut_from_the_end(spark):
+    """Vertical tabs and form feeds are blanks; the letters of their escapes are none."""
+    texts = ["See v1.0", "0", "bc", "Fine.x", "Done.\x0b", "\x0c", "\x0b\x0c ", "Why? \x0c\r", "a\\", "Ok.\xa0", "Ok.\x1c"]
+    rows = [(c, t, ["user", "assistant"][t % 2], x) for c, own in enumerate([texts, texts[::-1], *([x] for x in texts)]) for t, x in enumerate(own)]
+    got = {r[0]: tuple(r) for r in structure.repair_structure(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == report(rows)
+
+
 def test_query_on_damaged_turns(spark, tmp_path):
     """Every conversation comes back, those that lose all turns too; damage follows the crc32 of each turn's name."""
     rows = [(c, t, ["system", "user", "assistant"][t % 3], f"Text {c} {t}. And more!") for c in range(150) for t in range(1 + c % 5)]
