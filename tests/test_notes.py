@@ -184,3 +184,10 @@ def test_renaming_with_marks_in_names(spark):
     assert tags == ["B"]
     linked = blocks.select(F.expr(notes.link_mention("text", "o'brien"))).first()[0]
     assert linked == "[[O'Brien]] #[[us$ 5]] `[[O'Brien]]` [[O'Brien]]"
+
+
+def test_versions_of_a_card_are_one_card(spark):
+    """In whatever order they come, the same versions on both sides are kept."""
+    stored = spark.createDataFrame([("a", "x", "1"), ("a", "y", "2"), ("b", "x", "1"), ("g", "x", "1"), ("n", None, "1")], "card_id string, front string, back string")
+    wanted = spark.createDataFrame([("a", "y", "2"), ("a", "x", "1"), ("b", "w", "1"), ("b", "x", "1"), ("m", "x", "1"), ("n", None, "1")], "card_id string, front string, back string")
+    assert sorted(tuple(r) for r in notes.sync_cards(stored, wanted).collect()) == [("a", "kept"), ("b", "changed"), ("g", "gone"), ("m", "new"), ("n", "kept")]
