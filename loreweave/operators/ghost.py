@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from .resolve import MINOR, concept_tokens, singular
+from ..sources.scratch import folder
+from .resolve import MINOR, concept_tokens, singular, stem
 
 #: How far a match counts by its kind, and what is never suggested.
 COVERED, LOOSE, FUZZY, SQUASH = 0.3, 0.6, 0.5, 2.5
@@ -58,7 +59,16 @@ def forms(concepts: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
 
 
 def text_tokens(text: str) -> str:
-    return f"transform(regexp_extract_all({text}, r'{tx.WORD}', 0), w -> {singular(tx.fold('w'))})"
+    """SQL for the words of a text, folded and singular; a text of ASCII alone needs no folding and a plain pattern."""
+    plain = f"transform(regexp_extract_all(lower({text}), r'[a-z0-9]+', 0), w -> {singular('w')})"
+    return f"if(octet_length({text}) = length({text}), {plain}, transform(regexp_extract_all({text}, r'{tx.WORD}', 0), w -> {stem('w')}))"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again: what several steps read is made once."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def suggestions(texts: DataFrame, concepts: DataFrame, most: int = 8, least: float = 0.25, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -72,9 +82,10 @@ def suggestions(texts: DataFrame, concepts: DataFrame, most: int = 8, least: flo
     Nothing is compared pairwise: runs of words meet names by equality, loose names meet texts by their rarest word,
     and single letters are forgiven between the two vocabularies, not between texts and names.
     """
-    known = forms(concepts, exclude)
+    known = forms(concepts, exclude).withColumn("info", F.struct("concept", "initials", "weight"))  # what a form is worth goes with it
     docs = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hay = docs.select("doc_id", F.expr(text_tokens("text")).alias("w"))
+    docs = held(docs.withColumn("w", F.expr(text_tokens("text"))))
+    hay = docs.select("doc_id", "w")
     phrases = known.where("acronym is null")
     sizes = [r.n for r in phrases.select("n").distinct().orderBy("n").collect()]  # no more than lengths of names there are
     firsts = [r[0] for r in phrases.select(F.col("tokens")[0]).distinct().limit(FIRST_WORDS + 1).collect()]
@@ -82,39 +93,39 @@ def suggestions(texts: DataFrame, concepts: DataFrame, most: int = 8, least: flo
     lengths = ", ".join(map(str, sizes)) or "0"
     tried = f"flatten(transform(filter(sequence(0, size(w) - 1), p -> {begins}), p -> transform(filter(array({lengths}), n -> p + n <= size(w)), n -> struct(p as at, array_join(slice(w, p + 1, n), ' ') as run))))"
     runs = hay.where("size(w) > 0").select("doc_id", F.explode(F.expr(tried)).alias("t")).select("doc_id", "t.at", "t.run")
-    exact = runs.join(phrases.select("run", "form", "concept", "n"), "run").select("doc_id", "form", "n", "at")
+    exact = runs.join(phrases.select("run", "form", "info", "n"), "run").select("doc_id", "form", "info", "n", "at").repartition("doc_id")
     # a word belongs to the first form that claims it; a match none of whose words is its own is covered
-    words = exact.select("doc_id", "form", "at", F.explode(F.expr("sequence(at, at + n - 1)")).alias("place"))
-    owner = words.groupBy("doc_id", "place").agg(F.min("form").alias("owner"))
-    own = words.join(owner, ["doc_id", "place"]).groupBy("doc_id", "form", "at").agg(F.max(F.col("form") == F.col("owner")).alias("free"))
-    counted = own.groupBy("doc_id", "form").agg(F.count("*").alias("all"), F.sum(F.col("free").cast("long")).alias("free"))
-    counted = counted.select("doc_id", "form", F.expr("if(free > 0, free, all)").alias("occ"), F.expr(f"if(free > 0, 1D, {COVERED}D)").alias("quality"))
+    words = exact.select("doc_id", "form", "info", "at", F.explode(F.expr("sequence(at, at + n - 1)")).alias("place"))
+    owned = words.withColumn("free", F.col("form") == F.min("form").over(Window.partitionBy("doc_id", "place")))
+    own = owned.groupBy("doc_id", "form", "info", "at").agg(F.max("free").alias("free"))
+    counted = own.groupBy("doc_id", "form", "info").agg(F.count("*").alias("all"), F.sum(F.col("free").cast("long")).alias("free"))
+    counted = held(counted.select("doc_id", "form", "info", F.expr("if(free > 0, free, all)").alias("occ"), F.expr(f"if(free > 0, 1D, {COVERED}D)").alias("quality")))
 
     several = phrases.where("n > 1")
-    vocabulary = hay.select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("times"))
-    maybe = vocabulary.join(several.select("form", F.col("rarest").alias("word")), "word").select("doc_id", "form").join(counted, ["doc_id", "form"], "left_anti")
+    vocabulary = hay.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
+    maybe = vocabulary.join(several.select("form", "info", "tokens", F.col("rarest").alias("word")), "word").join(counted.select("doc_id", "form"), ["doc_id", "form"], "left_anti")
     window = "(size(tokens) + 2)"
     loosely = f"aggregate(sequence(0, size(w) - 1), struct(0 as next, 0L as n), (a, i) -> if(i >= a.next and array_contains(tokens, w[i]) and size(array_except(tokens, slice(w, i + 1, {window}))) = 0, struct(i + {window} as next, a.n + 1 as n), a), a -> a.n)"
-    loose = maybe.join(several.select("form", "tokens"), "form").join(hay, "doc_id").select("doc_id", "form", F.expr(loosely).alias("occ")).where("occ > 0").withColumn("quality", F.lit(LOOSE))
+    loose = maybe.join(hay, "doc_id").select("doc_id", "form", "info", F.expr(loosely).alias("occ")).where("occ > 0").withColumn("quality", F.lit(LOOSE))
 
     capitals = docs.select("doc_id", F.explode(F.expr(r"filter(regexp_extract_all(text, r'[\p{L}\p{N}]+', 0), x -> x rlike r'^[\p{Lu}\p{N}]+s?$')")).alias("x"))
     written = capitals.groupBy("doc_id", F.regexp_replace("x", "s$", "").alias("acronym")).agg(F.count("*").alias("extra"))
-    found = counted.unionByName(loose).join(known.select("form", F.col("initials").alias("acronym")), "form")
-    found = found.join(written, ["doc_id", "acronym"], "left").select("doc_id", "form", (F.col("occ") + F.when(F.length("acronym") >= 2, F.coalesce("extra", F.lit(0))).otherwise(0)).alias("occ"), "quality")
-    short = written.join(known.where("acronym is not null").select("acronym", "form"), "acronym").select("doc_id", "form", F.col("extra").alias("occ"), F.lit(1.0).alias("quality"))
+    found = counted.unionByName(loose).withColumn("acronym", F.col("info.initials")).join(written, ["doc_id", "acronym"], "left")
+    found = found.select("doc_id", "form", "info", (F.col("occ") + F.when(F.length("acronym") >= 2, F.coalesce("extra", F.lit(0))).otherwise(0)).alias("occ"), "quality")
+    short = written.join(known.where("acronym is not null").select("acronym", "form", "info"), "acronym").select("doc_id", "form", "info", F.col("extra").alias("occ"), F.lit(1.0).alias("quality"))
 
-    single = phrases.where(f"n = 1 and length(run) >= {LONG}").select("form", F.col("run").alias("name"))
+    single = phrases.where(f"n = 1 and length(run) >= {LONG}").select("form", "info", F.col("run").alias("name"))
     spelt = vocabulary.where(f"length(word) >= {LONG}").select("word").distinct()
     less = lambda c: f"concat(array({c}), transform(sequence(1, length({c})), i -> concat(left({c}, i - 1), substring({c}, i + 1))))"
-    near = spelt.select("word", F.explode(F.array_distinct(F.expr(less("word")))).alias("key")).join(single.select("form", "name", F.explode(F.array_distinct(F.expr(less("name")))).alias("key")), "key")
+    near = spelt.select("word", F.explode(F.array_distinct(F.expr(less("word")))).alias("key")).join(single.select("form", "info", "name", F.explode(F.array_distinct(F.expr(less("name")))).alias("key")), "key")
     swapped = "exists(sequence(1, length(word) - 1), i -> concat(left(word, i - 1), substring(word, i + 1, 1), substring(word, i, 1), substring(word, i + 2)) = name)"
-    near = near.where(f"word <> name and (levenshtein(word, name) <= 1 or length(word) = length(name) and {swapped})").select("word", "form").distinct()
-    place = hay.select("doc_id", F.posexplode("w").alias("at", "word")).join(near, "word").groupBy("doc_id", "form", "word").agg(F.min("at").alias("at"), F.count("*").alias("times"))
-    fuzzy = place.groupBy("doc_id", "form").agg(F.min_by("times", "at").alias("occ")).join(counted, ["doc_id", "form"], "left_anti").withColumn("quality", F.lit(FUZZY))
+    near = near.where(f"word <> name and (levenshtein(word, name) <= 1 or length(word) = length(name) and {swapped})").select("word", "form", "info").distinct()
+    place = hay.select("doc_id", F.posexplode("w").alias("at", "word")).join(near, "word").groupBy("doc_id", "form", "info", "word").agg(F.min("at").alias("at"), F.count("*").alias("times"))
+    fuzzy = place.groupBy("doc_id", "form", "info").agg(F.min_by("times", "at").alias("occ")).join(counted.select("doc_id", "form"), ["doc_id", "form"], "left_anti").withColumn("quality", F.lit(FUZZY))
 
-    every = found.unionByName(short).unionByName(fuzzy).join(known.select("form", "concept", "title", "weight"), "form")
+    every = found.unionByName(short).unionByName(fuzzy).select("doc_id", "info.concept", F.col("form.title").alias("tag"), "info.weight", "occ", "quality")
     raw = F.max((1 + F.log(F.col("occ").cast("double"))) * F.col("weight") * F.col("quality"))
-    best = every.groupBy("doc_id", "concept").agg(F.first("title").alias("tag"), raw.alias("raw"))
+    best = every.groupBy("doc_id", "concept", "tag").agg(raw.alias("raw"))
     scored = best.withColumn("score", F.col("raw") / (F.col("raw") + SQUASH)).where(F.col("score") >= least).withColumn("score", F.round("score", 3))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag"))
     return scored.withColumn("rank", place).where(F.col("rank") <= most).select("doc_id", "tag", "score", "rank")

@@ -27,15 +27,20 @@ def singular(w: str) -> str:
     """SQL for a word without its English plural."""
     known = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in IRREGULAR.items()) + ")"
     return (
-        f"coalesce({known}[{w}], case when length({w}) <= 3 or not {w} like '%s' then {w} when {w} rlike 'ies$' and length({w}) > 4 then concat(left({w}, length({w}) - 3), 'y') "
+        f"if({w} in ({tx.quoted(IRREGULAR)}), {known}[{w}], case when length({w}) <= 3 or not {w} like '%s' then {w} when {w} rlike 'ies$' and length({w}) > 4 then concat(left({w}, length({w}) - 3), 'y') "
         f"when {w} rlike '(sses|(x|ch|sh|zz)es)$' then left({w}, length({w}) - 2) when {w} rlike '(ss|us|is|ics)$' then {w} else left({w}, length({w}) - 1) end)"
     )
 
 
+def stem(w: str) -> str:
+    """SQL for a word folded, without its plural; folded once, as ``singular`` reads its word many times."""
+    return f"transform(array({tx.fold(w)}), f_ -> {singular('f_')})[0]"
+
+
 def concept_tokens(title: str) -> str:
     """SQL for the words of a name as names are compared: folded, singular; the plural of capitals loses its s alone."""
     capitals = r"w rlike r'^[\p{Lu}\p{N}]*\p{Lu}[\p{Lu}\p{N}]*s$' and length(w) >= 3"
-    word = f"if({capitals}, {tx.fold('left(w, length(w) - 1)')}, {singular(tx.fold('w'))})"
+    word = f"if({capitals}, {tx.fold('left(w, length(w) - 1)')}, {stem('w')})"
     return f"transform(regexp_extract_all({title}, r'{tx.WORD}', 0), w -> {word})"
 
 

@@ -158,3 +158,17 @@ def test_tag_lists(spark, answer, expected):
 )
 def test_concept_names(spark, name, expected):
     assert spark.createDataFrame([(name,)], "n string").select(F.array_join(F.expr(resolve.concept_tokens("n")), " ")).first()[0] == expected
+
+
+def test_a_text_is_made_once(spark):
+    """Every kind of match reads the texts, but what makes them runs once a row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return f"Policy Gradient {i} and RL"
+
+    texts = spark.range(20).select("id", F.udf(text)("id").alias("text")).withColumnRenamed("id", "doc_id")
+    concepts = spark.createDataFrame([("Policy Gradient", 3, ["PG"]), ("Reinforcement Learning", 2, [])], "title string, count int, aliases array<string>")
+    assert {r.tag for r in ghost.suggestions(texts, concepts).collect()} >= {"Policy Gradient"}
+    assert made.value == 20
