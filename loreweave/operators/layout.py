@@ -6,12 +6,15 @@ Pages are dealt out by their number; a page's runs are few and are laid out in o
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from statistics import median
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Shares of a font's size, and how raised and lowered characters are written.
 SMALL, DEEP, TABLE_CELL, TABLE_ROWS, NARROW = 0.88, 8, 18, 0.8, 0.55
@@ -221,34 +224,67 @@ def line_text(runs: list[Run]) -> tuple[float, str]:
     return size, "".join(shown(*s) for s in said).strip()
 
 
-def page_lines(items: DataFrame, page: str = "doc_id") -> DataFrame:
-    """(page, block, line, ids, x, y, right, size, text): the lines of each page in the order they are read.
+def paged(items: DataFrame, page: str, fields: str, rows_of: Callable[[list[Run]], Iterator[tuple]]) -> DataFrame:
+    """(page, fields): the rows that ``rows_of`` makes of the runs of each page.
 
     Items have id, x, y, w, h, size, str and may have an angle.  Blank items, and those without a place, a height or
-    upright, are left out.  Columns are read one after the other, as far as wide text does not cross them; tables row by row.
+    upright, are left out.  Pages come in a stream sorted by page, many to a batch, and a page is held at a time.
     """
     angle = F.col("angle") if "angle" in items.columns else F.lit(0.0)
     turned = F.abs(F.pmod(F.coalesce(angle, F.lit(0.0)) + 180, F.lit(360)) - 180)
     sound = items.where((F.trim("str") != "") & (F.col("w") >= 0) & (F.col("h") > 0) & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).where(turned <= 10)
-    schema = f"{page} {dict(items.dtypes)[page]}, block int, line int, ids array<{dict(items.dtypes)['id']}>, x double, y double, right double, size double, text string"
+    dealt = sound.select(page, "id", "x", "y", "w", "h", "size", "str").repartition(page).sortWithinPartitions(page)
+    schema = T.StructType([dealt.schema[page], *T._parse_datatype_string(fields.format(id=dict(items.dtypes)["id"]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, runs, at, out = None, [], None, []
+
+        def done() -> pa.RecordBatch:
+            columns = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
+
+        for batch in batches:
+            types = types or [batch.schema.field(page).type, *(to_arrow_type(f.dataType) for f in schema.fields[1:])]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in Run._fields]
+            for this, row in zip(batch.column(page).to_pylist(), zip(*columns)):
+                if runs and this != at:
+                    out.extend((at, *r) for r in rows_of(runs))
+                    runs = []
+                at = this
+                runs.append(Run(*row))
+            if out:
+                yield done()
+                out = []
+        out.extend((at, *r) for r in rows_of(runs)) if runs else None
+        if out:
+            yield done()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def page_lines(items: DataFrame, page: str = "doc_id") -> DataFrame:
+    """(page, block, line, ids, x, y, right, size, text): the lines of each page in the order they are read.
+
+    Columns are read one after the other, as far as wide text does not cross them; tables row by row.
+    """
 
-    def laid_out(frame: pd.DataFrame) -> pd.DataFrame:
-        runs = [Run(*row) for row in zip(*(frame[c].tolist() for c in Run._fields))]
-        rows = []
+    def laid_out(runs: list[Run]) -> Iterator[tuple]:
         for b, block in enumerate(Page(body_size(runs)).blocks(runs)):
             for k, line in enumerate(lines(block)):
                 size, text = line_text(line)
-                rows.append((frame[page].iloc[0], b, k, [r.id for r in sorted(line, key=lambda r: (r.x, r.id))], min(r.x for r in line), min(r.y for r in line), max(r.right for r in line), size, text))
-        return pd.DataFrame(rows, columns=[page, "block", "line", "ids", "x", "y", "right", "size", "text"])
+                yield b, k, [r.id for r in sorted(line, key=lambda r: (r.x, r.id))], min(r.x for r in line), min(r.y for r in line), max(r.right for r in line), size, text
 
-    return sound.select(page, "id", "x", "y", "w", "h", "size", "str").groupBy(page).applyInPandas(laid_out, schema)
+    return paged(items, page, "block int, line int, ids array<{id}>, x double, y double, right double, size double, text string", laid_out)
 
 
 def reading_order(items: DataFrame, page: str = "doc_id") -> DataFrame:
     """(page, id, place): the items of each page in the order they are read, from 1."""
-    each = page_lines(items, page).select(page, "block", "line", F.posexplode("ids").alias("at", "id"))
-    gathered = each.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("block", "line", "at", "id"))).alias("all"))  # a page's items
-    return gathered.select(page, F.posexplode("all").alias("k", "i")).select(page, "i.id", (F.col("k") + 1).alias("place"))
+
+    def placed(runs: list[Run]) -> Iterator[tuple]:
+        read = (r for block in Page(body_size(runs)).blocks(runs) for line in lines(block) for r in sorted(line, key=lambda r: (r.x, r.id)))
+        return ((r.id, k) for k, r in enumerate(read, 1))
+
+    return paged(items, page, "id {id}, place int", placed)
 
 
 def page_text(items: DataFrame, page: str = "doc_id") -> DataFrame:

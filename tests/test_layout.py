@@ -84,3 +84,17 @@ def test_order_of_items_and_odd_ones(spark):
     got = sorted((r.doc_id, r.place, r.id) for r in layout.reading_order(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 6), (1, 2, 5), (2, 1, 3)]
     assert layout.page_text(spark.createDataFrame(rows, SCHEMA).where("doc_id = 1")).first().text == "a words that are long\n\nb words that are long"
+
+
+def test_pages_come_whole_over_batches(spark):
+    """Pages that begin in one batch and end in another, a page without a number; runs are dealt out once."""
+    rows = [(d, 100 * i + (d or 0), 54.0, 100.0 + 12 * i, 200.0, 10.0, 10.0, f"run {i}") for i in range(7) for d in (None, *range(9))]
+    items = spark.createDataFrame(rows, "doc_id long, id long, x double, y double, w double, h double, size double, str string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = layout.reading_order(items)
+        assert got._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted((r.doc_id or -1, r.place, r.id) for r in got.where("doc_id is null or doc_id > 0").collect()) == sorted((d or -1, i + 1, 100 * i + (d or 0)) for i in range(7) for d in (None, *range(1, 9)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
