@@ -74,3 +74,12 @@ def test_cards_of_blocks(spark):
         "d:0": ("basic", "Recall: **Thermo**", "remember this"), "e:0": ("basic", "Why so?", "Because."), "g:0": ("basic", "Recall: **Thermo**", ""),
         "h:1": ("cloze", "{{c1::Entropy}} is a measure of disorder.", None),
     }
+
+
+def test_cards_of_blocks_are_not_filtered_by_guesses(spark):
+    """An empty text gives no card, and no filter makes the guesses a second time."""
+    asked = spark.createDataFrame([("a", "text", "#flashcard"), ("b", "math", "#flashcard"), ("c", "text", "Tea is warm. #flashcard")], "id string, type string, text string").selectExpr("*", "'T' as title", "cast(null as string) as context")
+    made = notes.block_cards(asked)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "lambda" in line for line in plan.splitlines())
+    assert {r.id for r in made.collect()} == {"b", "c"}
