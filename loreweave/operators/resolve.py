@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,36 +185,109 @@ def bib_match(entries: DataFrame, sources: DataFrame) -> DataFrame:
     return first.groupBy(F.col("way.source_id").alias("source_id")).agg(F.min(F.struct("entry_id", "way.how")).alias("e")).select("e.entry_id", "source_id", "e.how")
 
 
+#: Rows that a worker sends back at a time.
+BATCH = 100_000
+#: Repeated ids that go along with the plan; more are joined.
+FEW = 500_000
+
+
+def by_document(docs: DataFrame) -> DataFrame:
+    """(doc_id, texts): the texts of each id; only ids that come more than once are gathered, so other texts are not shuffled."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("of"))
+    again = F.broadcast(again) if again.limit(FEW + 1).count() <= FEW else again
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    several = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    return docs.join(again, same, "left_anti").select("doc_id", F.array("text").alias("texts")).unionByName(several)
+
+
+def phrase_counts(texts: list[str]) -> Counter:
+    """How often one to three words stand side by side in texts of words with a blank between, where an empty word parts."""
+    counts: Counter = Counter()
+    for t in texts:
+        w = t.split(" ")
+        counts.update(filter(None, w))
+        counts.update([f"{a} {b}" for a, b in zip(w, w[1:]) if a and b])
+        counts.update([f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:]) if a and b and c])
+    return counts
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): for each text of a document its words with a blank between, stop words and single letters empty."""
+    kept = f"array_join(transform({tx.terms('t')}, w -> if(w in ({tx.quoted(tx.STOP_WORDS)}) or length(w) < 2, '', w)), ' ')"
+    return by_document(docs).select("doc_id", F.expr(f"transform(texts, t -> {kept})").alias("words"))
+
+
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, phrase, n): one to three words side by side with no stop word between."""
-    masked = F.expr(f"transform({tx.terms('coalesce(text, {0})'.format(chr(39) * 2))}, w -> if(w in ({tx.quoted(tx.STOP_WORDS)}) or length(w) < 2, null, w))")
-    grams = (
-        "flatten(transform(sequence(1, 3), k -> if(size(w) < k, cast(array() as array<string>), "
-        "transform(filter(transform(sequence(1, size(w) - k + 1), i -> slice(w, i, k)), g -> not exists(g, x -> x is null)), g -> array_join(g, ' ')))))"
-    )
-    return docs.select("doc_id", masked.alias("w")).select("doc_id", F.explode(F.expr(grams)).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+    """(doc_id, phrase, n): one to three words side by side with no stop word between; a document is counted where it is read."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, words = batch.columns
+            at, counts = [], []
+            for i in range(batch.num_rows):
+                counts.append(phrase_counts(words[i].as_py()))
+                at += [i] * len(counts[-1])
+                if len(at) > BATCH or i + 1 == batch.num_rows:
+                    phrases, n = (pa.array([x for c in counts for x in getattr(c, side)()], t) for side, t in (("keys", pa.string()), ("values", pa.int64())))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), phrases, n], names=["doc_id", "phrase", "n"])
+                    at, counts = [], []
+
+    return with_words(docs).mapInArrow(run, f"doc_id {kind}, phrase string, n long")
 
 
 def keyphrases(docs: DataFrame, top: int = 5) -> DataFrame:
     """(doc_id, rank, phrase, score): a document's best phrases by count, length and how common their words are."""
-    counts = ngram_counts(docs)
-    single = counts.where("phrase not like '% %'").select(F.col("doc_id").alias("d"), F.col("phrase").alias("word"), F.col("n").alias("freq"))
-    each = counts.where("n > 1").select("doc_id", "phrase", "n", F.explode(F.split("phrase", " ")).alias("word"))
-    mean = each.join(single, (F.col("doc_id") == F.col("d")) & (each.word == single.word)).groupBy("doc_id", "phrase", "n").agg(F.avg("freq").alias("mean"), F.count("*").alias("size"))
-    score = F.col("n") * (1 + 0.6 * (F.col("size") - 1)) + 0.3 * F.col("mean") - F.when((F.col("size") == 1) & (F.length("phrase") < 5), 1).otherwise(0)
-    scored = mean.withColumn("score", F.round(score, 6))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("phrase")), "phrase"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= top).select("doc_id", "rank", "phrase", "score")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int64()), ("size", pa.int64()), ("total", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            ids, words = batch.columns
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for w in words[at : at + 256]:
+                    counts = phrase_counts(w.as_py())
+                    parts = ((p, n, p.split(" ")) for p, n in counts.items() if n > 1)
+                    rows.append([{"phrase": p, "n": n, "size": len(own), "total": sum(counts[x] for x in own)} for p, n, own in parts])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(rows, found)], names=["doc_id", "found"])
+
+    counted = with_words(docs.where("doc_id is not null")).mapInArrow(run, f"doc_id {kind}, found array<struct<phrase:string,n:bigint,size:bigint,total:bigint>>")
+
+    def ranked(p):
+        score = p["n"] * (1 + 0.6 * (p["size"] - 1)) + 0.3 * (p["total"] / p["size"]) - F.when((p["size"] == 1) & (F.length(p["phrase"]) < 5), 1).otherwise(0)
+        return F.struct((-F.round(score, 6)).alias("score"), (-F.length(p["phrase"])).alias("length"), p["phrase"].alias("phrase"))
+
+    best = counted.select("doc_id", F.posexplode(F.slice(F.array_sort(F.transform("found", ranked)), 1, top)).alias("at", "p"))
+    return best.select("doc_id", (F.col("at") + 1).alias("rank"), "p.phrase", (0 - F.col("p.score")).alias("score"))
 
 
 def summarize(docs: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, summary): the sentences with the commonest words, early ones favoured, in the text's order."""
-    sentence = F.posexplode(F.expr(r"filter(split(regexp_replace(coalesce(text, ''), r'\s+', ' '), r'(?<=[.!?])\s+(?=[A-Z0-9])'), s -> length(s) > 1)"))
-    parts = docs.select("doc_id", sentence.alias("i", "s"))
-    words = parts.select("doc_id", "i", F.explode(F.expr(f"filter({tx.terms('s')}, w -> length(w) > 2 and w not in ({tx.quoted(tx.STOP_WORDS)}))")).alias("w"))
-    tf = words.groupBy("doc_id", "w").agg(F.count("*").alias("tf")).withColumn("m", F.max("tf").over(Window.partitionBy("doc_id")))
-    weight = words.join(tf, ["doc_id", "w"]).groupBy("doc_id", "i").agg((F.sum(F.col("tf") / F.col("m")) / F.sqrt(F.count("*"))).alias("weight"))
-    early = F.when(F.col("i") == 0, 0.25).when(F.col("i") < 3, 0.1).otherwise(0.0)
-    scored = parts.join(weight, ["doc_id", "i"], "left").withColumn("score", F.round(F.coalesce("weight", F.lit(0.0)) + early, 6))
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "i"))).where(F.col("k") <= n)
-    return best.groupBy("doc_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(i, s))), x -> x.s), ' ')").alias("summary"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = r"filter(split(regexp_replace(t, r'\s+', ' '), r'(?<=[.!?])\s+(?=[A-Z0-9])'), s -> length(s) > 1)"
+    told = f"array_join(filter({tx.terms('p.s')}, w -> length(w) > 2 and w not in ({tx.quoted(tx.STOP_WORDS)})), ' ')"
+    parts = by_document(docs).select("doc_id", F.expr(f"flatten(transform(texts, t -> transform({cut}, (s, i) -> struct(i, s))))").alias("parts"))
+    parts = parts.where("size(parts) > 0").select("doc_id", "parts", F.expr(f"transform(parts, p -> {told})").alias("words"))
+
+    def weights(places: list[int], words: list[list[str]]) -> list[float]:
+        tf = Counter(x for w in words for x in w)
+        most, sums, sizes = max(tf.values(), default=0), Counter(), Counter()
+        for i, w in zip(places, words):
+            sums[i] += sum(tf[x] / most for x in w)
+            sizes[i] += len(w)
+        return [sums[i] / math.sqrt(sizes[i]) if sizes[i] else 0.0 for i in places]
+
+    def run(batches):
+        for batch in batches:
+            ids, own, words = batch.columns
+            for at in range(0, batch.num_rows, 256):
+                made = [weights([p["i"] for p in o.as_py()], [t.split() for t in w.as_py()]) for o, w in zip(own[at : at + 256], words[at : at + 256])]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), own.slice(at, 256), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "parts", "weights"])
+
+    weighed = parts.mapInArrow(run, f"doc_id {kind}, parts array<struct<i:int,s:string>>, weights array<double>")
+    early = "case when p.i = 0 then 0.25D when p.i < 3 then 0.1D else 0D end"
+    scored = f"zip_with(parts, weights, (p, w) -> struct(-round(if(doc_id is null, 0D, w) + {early}, 6) as score, p.i as i, p.s as s))"
+    best = F.expr(f"array_sort(transform(slice(array_sort({scored}), 1, {n}), x -> struct(x.i as i, x.s as s)))")
+    return weighed.select("doc_id", F.array_join(F.transform(best, lambda x: x["s"]), " ").alias("summary"))
