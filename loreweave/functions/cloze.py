@@ -67,9 +67,9 @@ def numbers(text: str) -> str:
     return f"array_sort(array_distinct(transform(filter({segments(text)}, s -> s.number > 0), s -> s.number)))"
 
 
-def side(text: str, number: str, hidden: str = "'[...]'", revealed: str = "s.answer") -> str:
-    """SQL for a text whose clozes of one number are ``hidden`` and the others show their answers."""
-    return f"array_join(transform({segments(text)}, s -> if(s.number = {number}, {hidden}, if(s.number > 0, {revealed}, s.raw))), '')"
+def side(text: str, number: str, hidden: str = "'[...]'", revealed: str = "s.answer", cut: str | None = None) -> str:
+    """SQL for a text whose clozes of one number are ``hidden`` and the others show their answers; ``cut`` may hold its segments."""
+    return f"array_join(transform({cut or segments(text)}, s -> if(s.number = {number}, {hidden}, if(s.number > 0, {revealed}, s.raw))), '')"
 
 
 #: How a side is shown in a reader.
