@@ -123,7 +123,11 @@ def index_batch(batch: DataFrame, number: int, path: str) -> None:
     spark, held = batch.sparkSession, current(batch.sparkSession, path)
     if number <= held["batch"]:
         return
-    newest = batch.groupBy("doc_id").agg(F.max_by(F.struct("text", "boost"), "seq").alias("d")).select("doc_id", "d.*")
+    # changes that are alone need no choice; only the others are gathered
+    again = search.few(batch.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("of")))
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    several = batch.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("text", "boost"), "seq").alias("d")).select("doc_id", "d.*")
+    newest = batch.join(again, same, "left_anti").select("doc_id", "text", "boost").unionByName(several)
     signed = newest.withColumn("sig", F.when(F.col("text").isNotNull(), F.md5(F.concat_ws("|", "boost", "text"))))
     known = documents(spark, path, held)
     if known is not None:
@@ -132,9 +136,11 @@ def index_batch(batch: DataFrame, number: int, path: str) -> None:
     else:
         signed = signed.where("sig is not null")
     part = f"b{number:012d}"
-    own = search.indexed(signed).join(signed.select("doc_id", "sig"), "doc_id")
-    own.select("doc_id", "boost", "dl", "sig", F.lit(number).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/parts/{part}/documents")
-    posts = search.postings(signed.where("sig is not null")).withColumn("version", F.lit(number).cast("long"))
+    version = F.lit(number).cast("long").alias("version")
+    # a text is cut to terms once, and counted once before the postings are dealt out by ranges
+    own = search.kept(search.indexed(signed, "sig"))
+    own.select("doc_id", "boost", "dl", "sig", version).write.mode("overwrite").parquet(f"{path}/parts/{part}/documents")
+    posts = search.kept(search.row_postings(own.where("sig is not null"))).select("*", version)
     posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/parts/{part}/postings")
     publish(spark, path, held, batch=number, parts={t: [*held["parts"].get(t, []), f"{part}/{t}"] for t in ("documents", "postings")})
 
@@ -148,13 +154,20 @@ def documents(spark: SparkSession, path: str, held: dict | None = None) -> DataF
     return every.groupBy("doc_id").agg(F.max_by(F.struct("boost", "dl", "sig", "version"), "version").alias("d")).select("doc_id", "d.*")
 
 
+def counting(spark: SparkSession, path: str, held: dict) -> DataFrame:
+    """The postings (with their version) that count: not those of a version that a newer one of its document has replaced."""
+    read = lambda t: spark.read.parquet(*[f"{path}/parts/{p}" for p in held["parts"][t]])
+    every = read("documents").select("doc_id", "version")
+    newest = every.groupBy("doc_id").agg(F.max("version").alias("newest"))
+    old = search.few(every.join(newest, "doc_id").where("version < newest").select("doc_id", "version"))
+    return read("postings").join(old, ["doc_id", "version"], "left_anti")
+
+
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics) of the index as it stands, for ``search.search_index``."""
     held = current(spark, path)
     live = documents(spark, path, held).where("sig is not null")
-    posts = spark.read.parquet(*[f"{path}/parts/{p}" for p in held["parts"]["postings"]])
-    stats = live.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return posts.join(live.select("doc_id", "version"), ["doc_id", "version"], "left_semi").drop("version"), stats
+    return counting(spark, path, held).drop("version"), live.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def merge_index(spark: SparkSession, path: str) -> None:
@@ -163,9 +176,7 @@ def merge_index(spark: SparkSession, path: str) -> None:
     if not held["parts"]:
         return
     part = f"c{held['number'] + 1:012d}"
-    live = documents(spark, path, held).where("sig is not null")
-    live.write.mode("overwrite").parquet(f"{path}/parts/{part}/documents")
-    kept = spark.read.parquet(f"{path}/parts/{part}/documents").select("doc_id", "version")
-    posts = spark.read.parquet(*[f"{path}/parts/{p}" for p in held["parts"]["postings"]]).join(kept, ["doc_id", "version"], "left_semi")
+    documents(spark, path, held).where("sig is not null").write.mode("overwrite").parquet(f"{path}/parts/{part}/documents")
+    posts = counting(spark, path, held)
     posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/parts/{part}/postings")
     publish(spark, path, held, parts={t: [f"{part}/{t}"] for t in ("documents", "postings")})
