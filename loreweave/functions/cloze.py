@@ -88,16 +88,29 @@ def split(text: str) -> str:
     return f"transform({numbers(text)}, n -> {side(text, 'n', one)})"
 
 
+#: A character put around matches to cut a text there; a text that holds it is cut by the pattern itself.
+EDGE = "\x01"
+
+
 def spans(text: str, pattern: str) -> str:
-    """SQL for the matches of a pattern: array of (start, stop, found), places from 0."""
-    cut, hits = f"split({text}, r'{pattern}', -1)", f"regexp_extract_all({text}, r'{pattern}', 0)"
-    one = "struct(a.at + length(z.gap) as start, a.at + length(z.gap) + length(z.hit) as stop, z.hit as found)"
+    """SQL for the matches of a pattern, none of them empty: array of (start, stop, found), places from 0.
+
+    ``split`` makes its pattern anew for every row unless it is a single character, ``regexp_replace`` once.
+    """
+    slow = f"flatten(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, h) -> if(h is null, array(g), array(g, h))))"
+    cut = f"if(contains({text}, '{EDGE}'), {slow}, split(regexp_replace({text}, r'{pattern}', '{EDGE}$0{EDGE}'), '{EDGE}', -1))"
+    one = "struct(a.at as start, a.at + length(p) as stop, p as found)"
     return (
-        f"aggregate(zip_with({cut}, {hits}, (g, h) -> named_struct('gap', g, 'hit', h)), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int,found:string>>)), "
-        f"(a, z) -> named_struct('at', a.at + length(z.gap) + coalesce(length(z.hit), 0), 'out', if(z.hit is null, a.out, array_append(a.out, {one}))), a -> a.out)"
+        f"aggregate({cut}, named_struct('at', 0, 'hit', false, 'out', cast(array() as array<struct<start:int,stop:int,found:string>>)), "
+        f"(a, p) -> named_struct('at', a.at + length(p), 'hit', not a.hit, 'out', if(a.hit, array_append(a.out, {one}), a.out)), a -> a.out)"
     )
 
 
+def signed_spans(text: str, sign: str, pattern: str) -> str:
+    """As ``spans``, for a pattern that matches only in texts where the condition ``sign`` holds; others are not cut."""
+    return f"if({sign}, {spans(text, pattern)}, cast(array() as array<struct<start:int,stop:int,found:string>>))"
+
+
 def with_heuristic_clozes(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Add the text with up to three clozes where something is worth hiding, null where nothing is.
 
@@ -105,8 +118,13 @@ def with_heuristic_clozes(df: DataFrame, text_col: str, out_col: str) -> DataFra
     defined.  Candidates don't overlap, don't repeat an answer, and don't cut code, links, addresses or mathematics.
     """
     t = f"`{text_col}`"
-    span = lambda name, pattern: F.expr(spans(t, pattern)).alias(f"lw_{name}")
-    found = df.select("*", *[span(n, p) for n, p in (("code", CODE), ("dest", DESTINATION), ("html", HTML), ("bold", BOLD), ("link", LINK), ("math", MATH), ("number", NUMBER), ("named", NAMED), ("sent", SENTENCE))])
+    # no pattern is tried on a text that lacks the signs its matches have; most texts lack most of them
+    has = lambda *signs: "(" + " or ".join(f"contains({t}, '{s}')" for s in signs) + ")"
+    patterns = (
+        ("code", has("`"), CODE), ("dest", has("]("), DESTINATION), ("html", has("<"), HTML), ("bold", has("**", "__"), BOLD), ("link", has("[["), LINK), ("math", has("$"), MATH),
+        ("number", f"{t} rlike '[0-9]'", NUMBER), ("named", f"{t} rlike '[A-Z]'", NAMED), ("sent", rf"{t} rlike r'(?i)\s(?:{DEFINES})\s'", SENTENCE),
+    )
+    found = df.select("*", *[F.expr(signed_spans(t, sign, p)).alias(f"lw_{n}") for n, sign, p in patterns])
     made = lambda start, stop, answer, rank: f"struct(cast({rank} as double) as rank, {start} as start, {stop} as stop, {answer} as answer)"
     line = f"substring_index(substring({t}, 1, x.start), '\\n', -1)"
     listed = f"(trim({line}) = '' and substring({t}, x.start + 1) rlike r'^\\d+[.)]\\s')"
