@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..sources import scratch
 from . import records
 
 ROUNDS = 60
+#: Strokes of a page that is read as one row; larger pages meet by grids and labels.
+SMALL = 64
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,7 +41,57 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"labels did not settle in {ROUNDS} rounds")
 
 
+def labelled(boxes: str, link: Callable[[str, str], str]) -> str:
+    """SQL for the least ids that the boxes of a small page reach, in their order; ``link`` says when two boxes meet."""
+    whole = lambda b: " and ".join(f"{b}.{c} is not null" for c in ("x", "y", "w", "h"))
+    at, p, q = f"sequence(0, size({boxes}) - 1)", f"{boxes}[i]", f"{boxes}[j]"
+    pairs = f"flatten(transform({at}, i -> transform(filter({at}, j -> i < j and {whole(p)} and {whole(q)} and {link(p, q)}), j -> struct(i as i, j as j))))"
+    merge = "if(l[e.i] = l[e.j], l, transform(l, v -> if(v = greatest(l[e.i], l[e.j]), least(l[e.i], l[e.j]), v)))"
+    return f"aggregate({pairs}, transform({boxes}, b -> b.id), (l, e) -> {merge})"
+
+
+def beside(p: str, q: str) -> str:
+    """SQL for whether two strokes are of one line."""
+    high = {b: f"greatest({b}.h, lh * 0.5D)" for b in (p, q)}
+    mid = {b: f"({b}.y + {b}.h / 2)" for b in (p, q)}
+    top, end = (f"({mid[b]} - {high[b]} / 2)" for b in (p, q)), (f"({mid[b]} + {high[b]} / 2)" for b in (p, q))
+    shared = f"(least({', '.join(end)}) - greatest({', '.join(top)}))"
+    return f"greatest(0D, {p}.x - {q}.x - {q}.w, {q}.x - {p}.x - {p}.w) <= greatest(20D, lh * 1.3D) and {shared} / least({high[p]}, {high[q]}) >= 0.3D"
+
+
+def under(p: str, q: str) -> str:
+    """SQL for whether two lines are of one block."""
+    return f"greatest(0D, {p}.y - {q}.y - {q}.h, {q}.y - {p}.y - {p}.h) <= lh * 0.9D and least({p}.x + {p}.w, {q}.x + {q}.w) - greatest({p}.x, {q}.x) > lh * -0.5D"
+
+
+def small_writing(strokes: DataFrame) -> DataFrame:
+    """As ``large_writing``, for pages of at most ``SMALL`` strokes: each is a row, so only its strokes are shuffled."""
+    mark = "greatest(h, w * 0.5D)"
+    scale = F.expr(f"percentile({mark}, 0.5) filter (where greatest(w, h) <= 150 and {mark} > 3)")
+    page = strokes.groupBy("group").agg(F.collect_list(F.struct("id", "x", "y", "w", "h")).alias("s"), scale.alias("xh"))
+    sized = page.select("group", "s", F.greatest(F.coalesce("xh", F.lit(0.0)), F.lit(10.0)).alias("lh"))
+    lined = sized.select("*", F.expr(labelled("s", beside)).alias("line"))
+    least, most = (lambda c: f"array_min(transform(g.m, b -> b.{c}))"), (lambda c, d: f"array_max(transform(g.m, b -> b.{c} + b.{d}))")
+    box = f"struct(g.n as id, {least('x')} as x, {least('y')} as y, {most('x', 'w')} - {least('x')} as w, {most('y', 'h')} - {least('y')} as h)"
+    members = "transform(array_distinct(line), n -> struct(n as n, filter(s, (b, k) -> line[k] = n) as m))"
+    boxed = lined.select("*", F.expr(f"transform({members}, g -> {box})").alias("boxes"))
+    done = boxed.select("group", "s", "line", "boxes", F.expr(labelled("boxes", under)).alias("label"))
+    each = done.select("group", "boxes", "label", F.explode(F.arrays_zip("s", "line")).alias("z"))
+    block = F.expr("element_at(label, cast(array_position(transform(boxes, b -> b.id), z.line) as int))")
+    return each.select("group", F.col("z.s.id").alias("id"), F.col("z.line").alias("line"), block.alias("block"))
+
+
 def writing(strokes: DataFrame) -> DataFrame:
+    """(group, id, line, block) of all pages, by the rules of ``large_writing``; small pages are rows whose boxes meet inside."""
+    sizes = strokes.groupBy(F.col("group").alias("of")).agg(F.count("*").alias("n"))
+    few = sizes.where(f"of is not null and n <= {SMALL}")
+    small = small_writing(strokes.join(few, F.col("group") == F.col("of"), "left_semi"))
+    if sizes.where(f"of is null or n > {SMALL}").isEmpty():
+        return small
+    return small.unionByName(large_writing(strokes.join(few, F.col("group") == F.col("of"), "left_anti")))
+
+
+def large_writing(strokes: DataFrame) -> DataFrame:
     """(group, id, line, block): the writing of each page (group, id, x, y, w, h), ids unique over all pages.
 
     A line is what overlaps in height by three tenths of the lower stroke and lies within a blank's width; a block is
