@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, stored
 from .components import components
-from .simhash import LOWER, SEED, WORD
+from .simhash import SEED, WORD, fingerprint_links, hashes, voted  # noqa: F401
 
 SHINGLE, SIMILARITY = 5, 80
 #: A prefix holds one token in so many beyond what single tokens need; combinations may use up no more than these.
@@ -30,17 +30,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The hashes of a text's shingles, each once and sorted; a text of fewer words is one shingle, one of none has none."""
-    text = text.translate(LOWER) if not text.isascii() else text.lower()
-    words = WORD.findall(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    raw = " ".join(words).encode("utf-8")
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(raw, SEED)], np.uint64)
-    ends = np.flatnonzero(np.frombuffer(raw + b" ", np.uint8) == 32).tolist()
-    starts = [0, *[e + 1 for e in ends[:-shingle]]]
-    digest, view = xxhash.xxh64_intdigest, memoryview(raw)
-    return np.unique(np.array([digest(view[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])], np.uint64))
+    return np.unique(hashes(text, shingle))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -166,18 +156,47 @@ def forest(bits: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, s
     return out
 
 
-def with_prefixes(df: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """(id, lw_copy, lw_set, lw_size, lw_bits, lw_prefix) of (id, text): a hash of the text, one of its set (null if empty), its bitmap and least tokens."""
+def with_prefixes(df: DataFrame, shingle: int, similarity: int, prints: bool = False) -> DataFrame:
+    """(id, lw_copy, lw_set, lw_size, lw_bits, lw_prefix) of (id, text): a hash of the text, one of its set (null if empty), its bitmap and least tokens.
+
+    With ``prints`` also lw_print, the SimHash of the text's shingles.
+    """
 
     def run(texts: list[str]) -> list[pa.Array]:
-        sets = [shingles(t, shingle) for t in texts]
+        every = [hashes(t, shingle) for t in texts]
+        sets = [np.unique(h) for h in every]
         names = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else None for s in sets]
         prefixes = [s[: prefix_length(len(s), similarity)].view(np.int64) for s in sets]
         bits = [bitmap(s).tobytes() if len(s) else None for s in sets]
-        return [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+        out = [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+        return [*out, pa.array(np.array([voted(h) for h in every], np.uint64).view(np.int64))] if prints else out
 
     hashed = df.withColumn("lw_copy", F.xxhash64("text"))
-    return map_texts(hashed, run, "lw_set long, lw_size int, lw_bits binary, lw_prefix array<long>", drop=("text",))
+    fields = "lw_set long, lw_size int, lw_bits binary, lw_prefix array<long>" + ", lw_print long" * prints
+    return map_texts(hashed, run, fields, drop=("text",))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to all workers if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that connect all whose fingerprints (column ``print``) SimHash links, those of one fingerprint too."""
+    least = stored(sets.groupBy("print").agg(F.min("set").alias("least"), F.count("*").alias("n")))
+    one, other = (least.select(F.col("print").alias(p), F.col("least").alias(s)) for p, s in (("a", "x"), ("b", "y")))
+    near = fingerprint_links(least.select(F.col("print").alias("simhash"))).distinct().join(one, "a").join(other, "b").select("x", "y")
+    several = spread(stored(least.where("n > 1").select("print", "least")))
+    same = sets.select("print", "set").join(several, "print").where("set <> least").select(F.col("least").alias("x"), F.col("set").alias("y"))
+    return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def unlinked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components of ``known`` (node, component)."""
+    known = spread(known)
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
 
 
 def indexed(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -215,9 +234,8 @@ def with_tokens(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: in
 
     The names of the texts go to all workers if they are few, else texts are joined to them.
     """
-    names = stored(sets.join(wanted, "set").select("set", "lw_copy"))
-    few = names.count() <= FEW
-    texts = docs.select("text", F.xxhash64("text").alias("lw_copy")).join(F.broadcast(names) if few else names, "lw_copy").select("set", "text")
+    names = spread(stored(sets.join(wanted, "set").select("set", "lw_copy")))
+    texts = docs.select("text", F.xxhash64("text").alias("lw_copy")).join(names, "lw_copy").select("set", "text")
 
     def run(batch: list[str]) -> list[pa.Array]:
         return [pa.array([shingles(t, shingle).view(np.int64) for t in batch], pa.list_(pa.int64()))]
@@ -357,9 +375,11 @@ def candidates(met: DataFrame, similarity: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: int) -> DataFrame:
+def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: int, near: DataFrame | None = None) -> DataFrame:
     """(a, b): similar sets, enough of them to connect all that are linked.
 
+    Pairs of ``near``, if given, are verified before all others, and what they connect is not verified again.
+
     Buckets of the same members count once.  Bitmaps tell in each bucket which sets may be similar; what they connect is
     a cluster, and no link leaves one.  The pairs that made the clusters are verified first, which settles nearly all of
     them; a cluster that then still holds several components is compared across those.
@@ -370,8 +390,16 @@ def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, sim
     met = signed.join(once, "sig").join(sets.select("set", "bits"), "set")
     pairs = stored(candidates(met, similarity))
     clusters = stored(components(pairs).withColumnRenamed("node", "set").withColumnRenamed("component", "sig"))
-    tokens = stored(with_tokens(docs, sets, clusters.select("set"), shingle))
-    found = stored(verified(pairs, tokens, similarity))
+    wanted = clusters.select("set")
+    if near is not None:
+        wanted = wanted.unionByName(near.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
+    tokens = stored(with_tokens(docs, sets, wanted, shingle))
+    if near is None:
+        found = stored(verified(pairs, tokens, similarity))
+    else:
+        first = stored(verified(near, tokens, similarity))
+        left = unlinked(pairs, stored(components(first)))
+        found = stored(first.unionByName(verified(left, tokens, similarity)))
     root = components(found).withColumnRenamed("node", "set")
     placed = clusters.join(sets.select("set", "size"), "set").join(root, "set", "left").withColumn("root", F.coalesce("component", "set")).drop("component")
     several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
@@ -380,11 +408,16 @@ def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, sim
 
 
 def classes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """The different sets of ``rows`` with their least id, and (set, root) of each: equal for all that links connect."""
+    """The different sets of ``rows`` with their least id, and (set, root) of each: equal for all that links connect.
+
+    If the rows have fingerprints, SimHash finds the first links.
+    """
+    prints = [F.min("lw_print").alias("print")] if "lw_print" in rows.columns else []
     by_set = rows.where("lw_set is not null").groupBy(F.col("lw_set").alias("set"))
-    sets = stored(by_set.agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("lw_bits").alias("bits"), F.min("id").alias("least")))
+    sets = stored(by_set.agg(F.min("lw_size").alias("size"), F.min("lw_copy").alias("lw_copy"), F.min("lw_bits").alias("bits"), F.min("id").alias("least"), *prints))
+    near = stored(fingerprint_pairs(sets)) if prints else None
     signed = stored(indexed(rows, sets, similarity))
-    found = components(links(signed, docs, sets, shingle, similarity))
+    found = components(links(signed, docs, sets, shingle, similarity, near))
     return sets, sets.join(found, sets.set == found.node, "left").select("set", F.coalesce("component", "set").alias("root"))
 
 
@@ -415,13 +448,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     share the smallest id one text stays, and one of equal rows; rows whose id is null stay all, as nothing tells them
     apart.  An empty table gives an empty one; all columns stay, whatever their names.
 
+    SimHash comes first: pairs whose fingerprints differ in four bits at most are held against each other's shingles.
+    The join of shingles then finds the links that fingerprints miss.
+
     Only ids and hashes of texts are shuffled: what goes is taken out of ``df`` by an anti join.
     """
     names = df.columns
     df = df.toDF(*[f"in_{i}" for i in range(len(names))])  # so that no column clashes with those made here
     id_col, text_col = (f"in_{names.index(c)}" for c in (id_col, text_col))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stored(with_prefixes(docs, shingle, similarity))
+    rows = stored(with_prefixes(docs, shingle, similarity, prints=True))
     _, named = classes(rows, docs, shingle, similarity)
     rooted = rows.where("id is not null").select("id", "lw_copy", F.col("lw_set").alias("set")).join(named, "set", "left")
     copies = stored(rooted.groupBy("root", "id", "lw_copy").agg(F.count("*").alias("n")))
@@ -429,8 +465,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # rows that go, and those of which one of several equal ones stays
     marked = copies.join(first, F.col("root").eqNullSafe(F.col("r"))).where("n > 1 or not (struct(id, lw_copy) <=> first)")
     marked = stored(marked.select(F.col("id").alias("lw_id"), "lw_copy", F.expr("struct(id, lw_copy) <=> first").alias("lw_one")))
-    few = marked.count() <= FEW
-    marked = F.broadcast(marked) if few else marked
+    marked = spread(marked)
     copy = F.xxhash64(F.col(text_col))
     here = (F.col(id_col) == F.col("lw_id")) & (copy == F.col("lw_copy"))
     kept = df.join(marked, here, "left_anti")

@@ -25,23 +25,32 @@ PART = 2048
 BLOCK = 512
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """A bit is 1 if more than half of the shingles' hashes have it; no words give 0."""
+def hashes(text: str, shingle: int = 4) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; a text of fewer words is one shingle, one of none has none."""
     text = text.translate(LOWER) if not text.isascii() else text.lower()
     words = WORD.findall(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     raw = " ".join(words).encode("utf-8")
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(raw, SEED)
+        return np.array([xxhash.xxh64_intdigest(raw, SEED)], np.uint64)
     ends = np.flatnonzero(np.frombuffer(raw + b" ", np.uint8) == 32).tolist()
     starts = [0, *[e + 1 for e in ends[:-shingle]]]
     digest, view = xxhash.xxh64_intdigest, memoryview(raw)
-    hashes = np.array([digest(view[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])], np.uint64)
+    return np.array([digest(view[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def voted(found: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it; none give 0."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(found), 1 << 15):
+        counts += np.unpackbits(found[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """A bit is 1 if more than half of the shingles' hashes have it; no words give 0."""
+    return voted(hashes(text, shingle))
 
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", drop: tuple[str, ...] = (), shingle: int = 4) -> DataFrame:

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from loreweave.llm import ngram_join
+import corpus_pipeline
+from loreweave.llm import ngram_join, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,3 +50,38 @@ def test_one_changed_word_in_a_long_text_is_a_copy(spark, monkeypatch):
     rows = [(i, " ".join([*text[: 20 * i], "changed", *text[20 * i + 1 :]])) for i in range(12)] + [(None, "no id"), (None, "no id")]
     got = ngram_join.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [x.doc_id for x in got if x.doc_id is not None] == [0] and len(got) == 3
+
+
+def test_fingerprints_find_links_that_shingles_verify(spark, monkeypatch):
+    """Without the join of shingles the links of SimHash are there, and texts of one fingerprint that share few shingles stay apart."""
+    nothing = "sig long, set long, size int"
+    monkeypatch.setattr(ngram_join, "indexed", lambda rows, sets, similarity: spark.createDataFrame([], nothing))
+    r = random.Random(9)
+    text = [f"w{r.randrange(3000)}" for _ in range(3000)]
+    loop = "a b c d e f g " * 400
+    tails = [" ".join(f"{c}{k}" for k in range(30)) for c in "xy"]
+    rows = [(i, " ".join([*text[: 200 * i], "changed", *text[200 * i + 1 :]])) for i in range(6)]
+    rows += [(10 + i, loop + tail) for i, tail in enumerate(tails)] + [(20, " ".join(text[::-1]))]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows[6:8]]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    got = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got == plain(rows) == [0, 10, 11, 20]
+
+
+def test_fingerprint_pairs_equal_brute_force(spark):
+    """Sets of one fingerprint are paired too; pairs connect what is within the radius and nothing else."""
+    r = random.Random(4)
+    prints = [r.getrandbits(64) for _ in range(40)]
+    prints += [p ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for p in prints[:20]] + prints[:10] + prints[:10]
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    sets = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(prints)], "set long, print long")
+    pairs = [(x.a, x.b) for x in ngram_join.fingerprint_pairs(sets).collect()]
+    near = [[j for j, q in enumerate(prints) if (p ^ q).bit_count() <= simhash.RADIUS] for p in prints]
+    label = list(range(len(prints)))
+    for _ in range(10):
+        label = [min(label[j] for j in own) for own in near]
+    found = list(range(len(prints)))
+    for _ in range(10):
+        for a, b in pairs:
+            found = [min(found[a], found[b]) if f in (found[a], found[b]) else f for f in found]
+    assert found == label and all(a < b for a, b in pairs)
