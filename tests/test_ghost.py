@@ -172,3 +172,31 @@ def test_a_text_is_made_once(spark):
     concepts = spark.createDataFrame([("Policy Gradient", 3, ["PG"]), ("Reinforcement Learning", 2, [])], "title string, count int, aliases array<string>")
     assert {r.tag for r in ghost.suggestions(texts, concepts).collect()} >= {"Policy Gradient"}
     assert made.value == 20
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    """Words are cut and matched for different texts, whatever the number of ids that have them."""
+    sizes, held = [], ghost.held
+
+    def counted(df):
+        out = held(df)
+        sizes.extend([out.count()] if "w" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(ghost, "held", counted)
+    texts = spark.range(200).selectExpr("id as doc_id", "if(id % 2 = 0, 'Policy Gradient and RL', 'on PPO alone') as text")
+    found = ghost.suggestions(texts, spark.createDataFrame(CONCEPTS, SCHEMA)).collect()
+    assert sizes == [2] and {r.doc_id for r in found} == set(range(200))
+
+
+def test_repeated_rows_and_ids_with_several_texts(spark):
+    """A row that comes twice counts once, capitals too; an id with several texts has the best of each tag, ranked anew."""
+    concepts = spark.createDataFrame(CONCEPTS, SCHEMA)
+    rows = [(1, "PPO and Policy Gradient"), (2, "PPO and Policy Gradient"), (2, "PPO and Policy Gradient"), (3, "PPO"), (3, "Policy Gradient, policy gradients"), (3, "PPO and PPO")]
+    got = {}
+    for r in ghost.suggestions(spark.createDataFrame(rows, "doc_id int, text string"), concepts).collect():
+        got.setdefault(r.doc_id, {})[r.tag] = (r.score, r.rank)
+    assert got[1] == got[2] and set(got[3]) == {"PPO", "Policy Gradient"}
+    alone = {t: tags(spark, t, CONCEPTS) for t in ("Policy Gradient, policy gradients", "PPO and PPO")}
+    assert got[3]["PPO"][0] == alone["PPO and PPO"]["PPO"][0] and got[3]["Policy Gradient"][0] == alone["Policy Gradient, policy gradients"]["Policy Gradient"][0]
+    assert sorted(rank for _, rank in got[3].values()) == [1, 2]
