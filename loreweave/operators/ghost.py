@@ -176,18 +176,28 @@ def with_answers(own: DataFrame, answers: DataFrame, concepts: DataFrame, most:
     """(doc_id, tag, score, origin, existing): tags found here and those of an answer (doc_id, answer), which may name concepts.
 
     What both have gains 0.2; what only the answer has starts at 0.55 if it is a concept, at 0.4 if not, and loses 0.02
-    for each place.  Answers that can't be read add nothing.
+    for each place.  Answers that can't be read add nothing.  Equal answers (told apart by 64-bit hashes) are read once,
+    and a row that comes twice counts once.
     """
     norm = lambda c: F.array_join(F.expr(concept_tokens(c)), " ")
     names = concepts.select("title", F.posexplode(F.expr("concat(array(title), coalesce(aliases, array()))")).alias("at", "name")).select("title", "at", norm("name").alias("norm"))
     names = names.where("norm <> ''").groupBy("norm").agg(F.min_by("title", F.struct("at", "title")).alias("title"))
     spark = own.sparkSession
     out = spark.createDataFrame([(x,) for x in (*NEVER, *exclude)], "name string").select(norm("name").alias("key"))
-    said = answers.select("doc_id", F.posexplode(F.expr(tag_list("answer"))).alias("place", "said")).withColumn("norm", norm("said")).join(names, "norm", "left")
-    said = said.select("doc_id", "place", F.coalesce("title", "said").alias("tag"), F.col("title").isNotNull().alias("existing")).withColumn("key", norm("tag"))
+    given = answers.select("doc_id", "answer").where("answer is not null").withColumn("a", F.xxhash64("answer"))
+    said = given.select("a", "answer").distinct().select("a", F.posexplode(F.expr(tag_list("answer"))).alias("place", "said")).withColumn("norm", norm("said")).join(names, "norm", "left")
+    said = said.select("a", "place", F.coalesce("title", "said").alias("tag"), F.col("title").isNotNull().alias("existing")).withColumn("key", norm("tag"))
     said = said.where("key <> ''").join(F.broadcast(out), "key", "left_anti")
-    first = said.groupBy("doc_id", "key").agg(F.min(F.struct("place", "tag", "existing")).alias("s"), F.count("*").alias("n")).select("doc_id", "key", "s.*", "n")
-    both = own.select("doc_id", F.col("tag").alias("own"), "score", norm("tag").alias("key")).join(first, ["doc_id", "key"], "full_outer")
+    first = said.groupBy("a", "key").agg(F.min(F.struct("place", "tag", "existing")).alias("s"), F.count("*").alias("n"))
+    listed = first.groupBy("a").agg(F.collect_list(F.struct("key", "s", "n")).alias("list"))
+    theirs = given.select("doc_id", "a").repartition("a").distinct().join(listed, "a").select("doc_id", "list")
+    # lists come to their ids before they are opened; what an id has of one key is put together there
+    theirs = theirs.repartition("doc_id").select("doc_id", F.explode("list").alias("l")).select("doc_id", "l.key", "l.s", "l.n", F.lit(None).cast("string").alias("own"), F.lit(None).cast("double").alias("score"))
+    ours = own.select("doc_id", norm("tag").alias("key"), F.lit(None).cast(first.schema["s"].dataType).alias("s"), F.lit(0).cast("long").alias("n"), F.col("tag").alias("own"), "score")
+    by_key = Window.partitionBy("doc_id", "key").orderBy(F.desc_nulls_last("own"))
+    all_of = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = ours.unionByName(theirs).select("doc_id", "own", "score", F.min("s").over(all_of).alias("s"), F.sum("n").over(all_of).alias("n"), F.row_number().over(by_key).alias("at"))
+    both = both.where("own is not null or at = 1").select("doc_id", "own", "score", "s.*", "n")
     begin = F.when(F.col("existing"), 0.55).otherwise(0.4) - 0.02 * F.col("place")
     # a name that an answer repeats gains again, as if found
     score = F.when(F.col("own").isNull(), F.least(F.lit(1.0), begin + 0.2 * (F.col("n") - 1))).when(F.col("place").isNull(), F.col("score")).otherwise(F.least(F.lit(1.0), F.col("score") + 0.2 * F.col("n")))

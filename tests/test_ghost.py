@@ -200,3 +200,14 @@ def test_repeated_rows_and_ids_with_several_texts(spark):
     alone = {t: tags(spark, t, CONCEPTS) for t in ("Policy Gradient, policy gradients", "PPO and PPO")}
     assert got[3]["PPO"][0] == alone["PPO and PPO"]["PPO"][0] and got[3]["Policy Gradient"][0] == alone["Policy Gradient, policy gradients"]["Policy Gradient"][0]
     assert sorted(rank for _, rank in got[3].values()) == [1, 2]
+
+
+def test_a_repeated_answer_counts_once(spark):
+    """Equal rows are one answer; different answers of an id, and names that an answer repeats, still add up."""
+    concepts = spark.createDataFrame(CONCEPTS, SCHEMA)
+    own = spark.createDataFrame([(1, "PPO", 0.5), (2, "PPO", 0.5), (3, "PPO", 0.5), (3, "Atari", 0.4)], "doc_id int, tag string, score double")
+    rows = [(1, '["PPO", "Nothing Known"]')] * 3 + [(2, '["PPO", "Nothing Known"]'), (4, '["PPO", "ppo"]'), (4, 'also ["PPO"]'), (5, None)]
+    out = ghost.with_answers(own, spark.createDataFrame(rows, "doc_id int, answer string"), concepts).collect()
+    got = {i: sorted((r.tag, r.score, r.origin, r.existing) for r in out if r.doc_id == i) for i in range(1, 6)}
+    assert got[1] == got[2] == [("Nothing Known", 0.38, "ai", False), ("PPO", 0.7, "both", True)]
+    assert got[3] == [("Atari", 0.4, "graph", True), ("PPO", 0.5, "graph", True)] and got[4] == [("PPO", 0.95, "both", True)] and not got[5]
