@@ -375,10 +375,21 @@ def candidates(met: DataFrame, similarity: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def left_over(clusters: DataFrame, found: DataFrame, sets: DataFrame, tokens: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) across the components of ``found`` that a cluster (set, sig) holds, where it holds several."""
+    root = components(found).withColumnRenamed("node", "set")
+    placed = clusters.join(sets.select("set", "size"), "set").join(root, "set", "left").withColumn("root", F.coalesce("component", "set")).drop("component")
+    several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    rest = stored(placed.join(several, "sig"))
+    return across(rest, tokens, similarity)
+
+
 def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: int, near: DataFrame | None = None) -> DataFrame:
     """(a, b): similar sets, enough of them to connect all that are linked.
 
-    Pairs of ``near``, if given, are verified before all others, and what they connect is not verified again.
+    Pairs of ``near``, if given, are verified before all others, and what they connect is not verified again.  They are
+    a forest of what fingerprints propose; a group of it that then holds several components is compared across those,
+    so that all proposed pairs are decided.
 
     Buckets of the same members count once.  Bitmaps tell in each bucket which sets may be similar; what they connect is
     a cluster, and no link leaves one.  The pairs that made the clusters are verified first, which settles nearly all of
@@ -398,13 +409,11 @@ def links(signed: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, sim
         found = stored(verified(pairs, tokens, similarity))
     else:
         first = stored(verified(near, tokens, similarity))
+        groups = stored(components(near).withColumnRenamed("node", "set").withColumnRenamed("component", "sig"))
+        first = stored(first.unionByName(left_over(groups, first, sets, tokens, similarity)))
         left = unlinked(pairs, stored(components(first)))
         found = stored(first.unionByName(verified(left, tokens, similarity)))
-    root = components(found).withColumnRenamed("node", "set")
-    placed = clusters.join(sets.select("set", "size"), "set").join(root, "set", "left").withColumn("root", F.coalesce("component", "set")).drop("component")
-    several = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = stored(placed.join(several, "sig"))
-    return found.unionByName(across(rest, tokens, similarity))
+    return found.unionByName(left_over(clusters, found, sets, tokens, similarity))
 
 
 def classes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
@@ -448,8 +457,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     share the smallest id one text stays, and one of equal rows; rows whose id is null stay all, as nothing tells them
     apart.  An empty table gives an empty one; all columns stay, whatever their names.
 
-    SimHash comes first: pairs whose fingerprints differ in four bits at most are held against each other's shingles.
-    The join of shingles then finds the links that fingerprints miss.
+    SimHash comes first: of sets whose fingerprints differ in four bits at most, all that are similar by their shingles
+    are linked; what links connect already is not verified again.  The join of shingles then finds the links that
+    fingerprints miss.
 
     Only ids and hashes of texts are shuffled: what goes is taken out of ``df`` by an anti join.
     """

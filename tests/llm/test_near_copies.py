@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from loreweave.llm import ngram_join, simhash
@@ -85,3 +87,16 @@ def test_fingerprint_pairs_equal_brute_force(spark):
         for a, b in pairs:
             found = [min(found[a], found[b]) if f in (found[a], found[b]) else f for f in found]
     assert found == label and all(a < b for a, b in pairs)
+
+
+def test_a_proposed_pair_beside_failed_ones_is_verified(spark, monkeypatch):
+    """A third text of their fingerprint may take both pairs of the forest from two copies; the copies are linked still."""
+    monkeypatch.setattr(ngram_join, "indexed", lambda rows, sets, similarity: spark.createDataFrame([], "sig long, set long, size int"))
+    texts = ["a b c d e f g " * 400 + " ".join(f"{c}{k}" for k in range(30)) for c in "pqrstuvwxyz"]
+    name = lambda t: np.uint64(xxhash.xxh64_intdigest(ngram_join.shingles(t).tobytes(), simhash.SEED)).view(np.int64)
+    third, one = sorted(texts, key=name)[0], sorted(texts, key=name)[-1]
+    copy = next(t for t in (f"{one}{k}" for k in range(99)) if name(t) > name(third))  # the last word is another
+    rows = [(0, one), (1, copy), (2, third)]
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    got = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got == plain(rows) == [0, 2]
